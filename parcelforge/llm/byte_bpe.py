@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from parcelforge.llm.common import map_arrow, table
 
 #: Entries of a worker's caches; a full cache is emptied, which costs time but no result.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 
 
 def merge_plainly(ids: dict[str, int], text: str) -> list[int]:
@@ -56,13 +57,18 @@ class Codec:
         for token, i in self.ids.items():
             self.automaton.add_word(token, i)
         self.automaton.make_automaton()
-        self.shorter: dict[int, int | None] = {i: self._prefix(token) for token, i in self.ids.items()}
+        #: the longest token at every node of the automaton's tree
+        self.node: dict[str, int | None] = {}
+        for token in self.ids:
+            for n in range(1, len(token) + 1):
+                if (prefix := token[:n]) not in self.node:
+                    own = self.ids.get(prefix)
+                    self.node[prefix] = self.node.get(prefix[:-1]) if own is None else own
+        self.shorter: dict[int, int | None] = {i: self.node.get(token[:-1]) for token, i in self.ids.items()}
         self.pattern = regex.compile(pattern)
         self.fits: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
-
-    def _prefix(self, token: str) -> int | None:
-        return next((self.ids[token[:n]] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ids), None)
+        self.first: dict[tuple[int, int | None], int] = {}
+        self.cache = _Pieces(self)
 
     def compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
@@ -77,55 +83,75 @@ class Codec:
         """Ids of one match of the pattern, given as Latin-1 of its bytes."""
         if (whole := self.ids.get(piece)) is not None:
             return [whole]
-        end = len(piece)
-        longest = [-1] * end
-        reach = [0] * end
-        size = self.size
-        for last, i in self.automaton.iter(piece):
-            first = last + 1 - size[i]
-            if size[i] > reach[first]:
-                reach[first], longest[first] = size[i], i
-        if -1 in longest:
-            raise ValueError("the ranks lack a byte of this text")
+        end, size, first = len(piece), self.size, self.first
         out: list[int] = []
+        last = -1
         dead = bytearray(end + 1)
-        at, token = 0, longest[0]
+        at, token = 0, self._longest(piece, 0)
         while True:
-            stop = at + size[token]
-            if not dead[stop] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = stop
+            # the longest token of the chain that may follow the last one and isn't known to lead nowhere
+            found = first.get((last, token)) or self._follow(last, token)
+            while found > 0 and dead[at + size[found - 1]]:
+                less = self.shorter[found - 1]
+                found = 0 if less is None else first.get((last, less)) or self._follow(last, less)
+            if found > 0:
+                last = found - 1
+                out.append(last)
+                at += size[last]
                 if at == end:
                     return out
-                token = longest[at]
+                token = self._longest(piece, at)
                 continue
-            less = self.shorter[token]
+            less = None
             while less is None:  # nothing leads on from here
                 dead[at] = 1
                 token = out.pop()
                 at -= size[token]
                 less = self.shorter[token]
-            token = less
+            last, token = out[-1] if out else -1, less
+
+    def _follow(self, last: int, token: int | None) -> int:
+        """1 + the longest prefix of ``token``, itself included, that may follow ``last``; -1: none. Remembered."""
+        if len(self.first) >= 4 * CACHE_ENTRIES:
+            self.first.clear()
+        i = token
+        while i is not None and last >= 0 and not self.compatible(last, i):
+            i = self.shorter[i]
+        self.first[last, token] = found = -1 if i is None else i + 1
+        return found
+
+    def _longest(self, piece: str, at: int) -> int:
+        """The longest token that starts at ``at``."""
+        part = piece[at:]
+        found = self.node.get(part[: self.automaton.longest_prefix(part)])
+        if found is None:
+            raise ValueError("the ranks lack a byte of this text")
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        out = []
-        for piece in self.pattern.findall(text):
-            got = cache.get(piece)
-            if got is None:
-                got = np.array(self.encode_piece(piece.encode().decode("latin-1")), "<u4").tobytes()
-                if len(piece) <= 64:
-                    if len(cache) >= CACHE_ENTRIES:
-                        cache.clear()
-                    cache[piece] = got
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.cache.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+class _Pieces(dict):
+    """Packed ids by piece, encoded when first asked for."""
+
+    def __init__(self, owner: Codec):
+        super().__init__()
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> bytes:
+        got = pack(f"<{len(ids := self.owner.encode_piece(piece.encode().decode('latin-1')))}I", *ids)
+        if len(piece) <= 64:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 @lru_cache(maxsize=2)
 def codec(ranks: bytes, pattern: str) -> Codec:
     """One codec a worker, however many tasks it runs."""
