@@ -190,6 +190,7 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
     positive = []
     for text, own in zip(toxic, codes[1], strict=True):
         words = sorted({w.strip(".,;:!?\"'()") for w in text.lower().split()} & seeds.keys(), key=lambda w: (-seeds[w], w))[:3]
+        words = [w for w in words if 2 * seeds[w] > seeds[words[0]]]
         raw = bytes(WINDOW) + text.encode("utf-8", "surrogatepass").lower()
         starts = [at for w in words if (at := raw.find(w.encode("utf-8", "surrogatepass"))) >= 0]
         positive += list(_windows(own, np.array(starts))) if starts else []
@@ -213,10 +214,13 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
         for kind, into in ((1, positive), (0, negative)):
             for own in codes[kind]:
                 scores = window_scores(own, weight) + offset
+                taken = 0
                 for _ in range(3 if kind else 6):
                     at = int(np.argmax(scores))
-                    if scores[at] < -0.5 and (kind == 0 or into is positive and len(into) and scores[at] < 0):
+                    # of a toxic text the worst window counts in any case, others only if they are far on its side
+                    if scores[at] < (0.8 if taken else -np.inf if kind else -0.5):
                         break
+                    taken = kind
                     into.append(own[at : at + WINDOW + REACH])
                     scores[max(0, at - WINDOW) : at + WINDOW] = -np.inf
     worst = np.array([window_scores(symbols(t), weight).max() for t in texts])
