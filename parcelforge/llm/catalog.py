@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import byte_bpe, quality, toxicity
+from parcelforge.llm import byte_bpe, decontaminate, quality, toxicity
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity_kernel": toxicity.op3_toxicity_kernel,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
 }
