@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import byte_bpe, decontaminate, quality, toxicity
+from parcelforge.llm import byte_bpe, decontaminate, quality, toxicity, warc
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity_kernel": toxicity.op3_toxicity_kernel,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
+    "op9_warc": warc.op9_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_warc": warc.OP9_SQL,
+}

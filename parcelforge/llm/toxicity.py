@@ -133,11 +133,11 @@ class Landmarks:
 
     def features(self, windows: np.ndarray) -> np.ndarray:
         out = np.empty((len(windows), self.rows.shape[1]), np.float32)
-        for lo in range(0, len(windows), 500):
-            ids, values = _features(windows[lo : lo + 500])
+        for lo in range(0, len(windows), 200):
+            ids, values = _features(windows[lo : lo + 200])
             at = np.searchsorted(self.columns, ids)
             at[self.columns[np.minimum(at, len(self.columns) - 1)] != ids] = len(self.columns)
-            out[lo : lo + 500] = np.einsum("nij,i->nj", self.rows[at], values)
+            out[lo : lo + 200] = np.einsum("nij,i->nj", self.rows[at], values)
         return out @ self.map
 
     def fold(self, line: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
     rng = np.random.default_rng(seed)
     toxic = [t for t, y in zip(texts, labels, strict=True) if y]
     clean = [t for t, y in zip(texts, labels, strict=True) if not y]
-    codes = {1: [symbols(t) for t in toxic], 0: [symbols(t) for t in clean]}
+    codes = {1: [symbols(t).astype(np.uint8) for t in toxic], 0: [symbols(t).astype(np.uint8) for t in clean]}
     seeds = _seeds(toxic, clean)
     positive = []
     for text, own in zip(toxic, codes[1], strict=True):
@@ -200,7 +200,7 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
         positive = [w for own in codes[1] for w in _windows(own, rng.integers(0, len(own) - WINDOW - REACH + 1, 3))]
     weight, offset = blank.weight, 0.0
     for turn in range(turns):
-        p, n = np.unique(np.array(positive), axis=0), np.unique(np.array(negative), axis=0)
+        p, n = (np.unique(np.array(w, np.int32), axis=0) for w in (positive, negative))
         chosen = np.concatenate([p[rng.permutation(len(p))[: landmarks * 3 // 4]], n[rng.permutation(len(n))[: landmarks // 4]]])
         marks = Landmarks(np.unique(chosen, axis=0))
         both = np.concatenate([p, n])
@@ -213,7 +213,7 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
         positive = []
         for kind, into in ((1, positive), (0, negative)):
             for own in codes[kind]:
-                scores = window_scores(own, weight) + offset
+                scores = window_scores(own.astype(np.int32), weight) + offset
                 taken = 0
                 for _ in range(3 if kind else 6):
                     at = int(np.argmax(scores))
