@@ -21,15 +21,17 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % parts
 
 
-def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply ``step`` to each Arrow batch, with batches small enough for long texts."""
-    spark = df.sparkSession
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
 
+
+def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """Apply ``step`` to each Arrow batch, with batches small enough for long texts."""
+    bounded_batches(df.sparkSession)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if (out := step(batch)) is not None:
-                yield out
+        yield from map(step, batches)
 
     return df.mapInArrow(each, schema)
