@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import byte_bpe, decontaminate, jaccard_join, pii, quality, secrets, toxicity, warc
+from parcelforge.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, pii, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity_kernel": toxicity.op3_toxicity_kernel,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op7_pii_boosting": pii.op7_pii_boosting,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
