@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, pii, quality, secrets, toxicity, warc
+from parcelforge.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, lattice_lm, pii, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_toxicity_kernel": toxicity.op3_toxicity_kernel,
+    "op4_lattice_lm": lattice_lm.op4_lattice_lm,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op7_pii_boosting": pii.op7_pii_boosting,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,

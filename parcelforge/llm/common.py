@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(doc_id: Column, parts: int = 5) -> Column:
-    """crc32 of the id as text, modulo ``parts``."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo ``parts``; -1 for a null id, which so is in no named fold."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts, F.lit(-1))
 
 
 def bounded_batches(spark: SparkSession) -> None:
