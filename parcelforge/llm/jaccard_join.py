@@ -117,11 +117,15 @@ def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray) -> DataFrame:
 
 
 def _plausible(at_a: Column, at_b: Column) -> Column:
-    """Length filter and positional filter of two sets that share the shingle at these places."""
+    """Length filter and positional filter of two sets that share the shingle at these places.
+
+    Of the shingles that two similar sets share, the first in the order leaves as many after
+    it, itself included, in either set as the whole overlap must count. So at least one
+    shingle of such a pair passes, and the pair isn't lost.
+    """
     n_a, n_b = F.shiftright(at_a, 32), F.shiftright(at_b, 32)
-    p_a, p_b = at_a.bitwiseAND(0xFFFFFFFF), at_b.bitwiseAND(0xFFFFFFFF)
-    most = F.least(p_a, p_b) + 1 + F.least(n_a - p_a, n_b - p_b) - 1
-    return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * most >= 3 * (n_a + n_b))
+    after = F.least(n_a - at_a.bitwiseAND(0xFFFFFFFF), n_b - at_b.bitwiseAND(0xFFFFFFFF))
+    return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * after >= 3 * (n_a + n_b))
 
 
 def _verify(pairs: DataFrame, documents: DataFrame, reps: DataFrame, size: int) -> DataFrame:
@@ -164,7 +168,8 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
     reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     dealt = _prefixes(docs, size, sketch).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle")
-    shared = dealt.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi").select("shingle")
+    # the test on ``at`` is always true: with it both uses of ``dealt`` need all its columns, and so share one exchange
+    shared = dealt.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("at").alias("at")).filter("lo != hi and at >= 0").select("shingle")
     buckets = materialize(dealt.join(shared.hint("shuffle_hash"), "shingle").distinct(), "buckets")
 
     links: list[DataFrame] = []
