@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelforge.session import materialize
+
 #: Rows in an Arrow batch of whole texts: bounds what a Python worker holds at once.
 TEXT_BATCH_ROWS = 2000
 
@@ -35,3 +37,18 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
         yield from map(step, batches)
 
     return df.mapInArrow(each, schema)
+
+
+#: Ids that may be broadcast, 8 bytes each; a longer list is joined by shuffle.
+BROADCAST_IDS = 4_000_000
+
+
+def by_size(ids: DataFrame) -> DataFrame:
+    """A written list of ids, marked for broadcast if it is short enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id isn't among the doc_id of ``ids``; rows with a null id stay."""
+    gone = materialize(ids.select(F.col("doc_id").cast("long").alias("_gone")).dropna().distinct(), "gone")
+    return documents.join(by_size(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import map_arrow, table
+from parcelforge.llm.common import map_arrow, table, without
 
 #: Bytes of words as they are, A-Z lowered, all else a blank.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -222,5 +222,10 @@ def _scan(docs: DataFrame, documents: DataFrame, groups: list[Windows], first: b
     return map_arrow(docs, step, _FOUND if last else _PASSED)
 
 
+def keep_clean(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The documents without any occurrence of a benchmark window, with all their columns; rows that share an id stay or go together."""
+    return without(documents, find(documents, benchmark, size).filter("contaminated"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")

@@ -36,14 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.graph.components import connected_components
-from parcelforge.llm.common import bounded_batches, map_arrow, table
+from parcelforge.llm.common import bounded_batches, by_size, map_arrow, table, without
 from parcelforge.llm.shingles import set_key, shingle_keys
 from parcelforge.session import materialize
 
 CELLS = 1 << 20
 _BLOCK = 1 << 13
-#: Ids that may be broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 4_000_000
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
@@ -131,9 +129,7 @@ def _plausible(at_a: Column, at_b: Column) -> Column:
 def _verify(pairs: DataFrame, documents: DataFrame, reps: DataFrame, size: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a Jaccard similarity of 0.75 or more."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = materialize(reps.join(wanted, "node").select("doc_id"), "candidates")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    ids = by_size(materialize(reps.join(wanted, "node").select("doc_id"), "candidates"))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [shingle_keys(t, size) for t in batch.column(0).to_pylist()]
@@ -207,5 +203,15 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
     return sets.join(own, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(documents: DataFrame, size: int = 5) -> DataFrame:
+    """The documents, of each component only the one with the smallest id.
+
+    A document is its id: rows that share an id stay or go together, and rows without an
+    id stay. All columns stay as they are.
+    """
+    found = jaccard_components(documents, size)
+    return without(documents, found.filter("component_id != doc_id"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))

@@ -17,10 +17,10 @@ spans; very long texts count whole; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import table
+from parcelforge.llm.common import by_size, table
 from parcelforge.llm.spans import digest_text, matches, no_spans, placed, row_key
 from parcelforge.session import materialize
 
@@ -38,15 +38,25 @@ WEAK = [
 ]
 
 
+def _spans(kinds: list[tuple[str, str, str]]) -> Column:
+    """Sorted spans of these kinds in the column _text, whose matches are in a column for each kind."""
+    ranks = {kind: rank for rank, (kind, _, _) in enumerate(BASE + WEAK)}
+    spans = {kind: placed(F.col("_text"), pattern, F.col(f"_{kind}"), kind, ranks[kind]) for kind, pattern, _ in kinds}
+    if "assign" in spans:
+        spans["assign"] = F.filter(spans["assign"], lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 12)
+    return F.array_sort(F.concat(*spans.values()))
+
+
+def _matched(documents: DataFrame, kinds: list[tuple[str, str, str]]) -> DataFrame:
+    """The documents with _text (null: empty) and the matches of each kind."""
+    rows = documents.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return rows.withColumns({f"_{kind}": matches(F.col("_text"), pattern) for kind, pattern, _ in kinds})
+
+
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, key, base, weak): sorted spans of each text."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    every = BASE + WEAK
-    rows = rows.select("doc_id", "text", *[matches(F.col("text"), pattern).alias(kind) for kind, pattern, _ in every])
-    spans = {kind: placed(F.col("text"), pattern, F.col(kind), kind, rank) for rank, (kind, pattern, _) in enumerate(every)}
-    spans["assign"] = F.filter(spans["assign"], lambda s: F.char_length(F.regexp_extract(s["match"], ASSIGN, 2)) >= 12)
-    join = lambda kinds: F.array_sort(F.concat(*[spans[k] for k, _, _ in kinds]))
-    return rows.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), join(BASE).alias("base"), join(WEAK).alias("weak"))
+    rows = _matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BASE + WEAK)
+    return rows.select("doc_id", row_key(F.col("doc_id"), F.col("_text")).alias("key"), _spans(BASE).alias("base"), _spans(WEAK).alias("weak"))
 
 
 def link(scanned: DataFrame, scope: int = 400) -> DataFrame:
@@ -74,21 +84,25 @@ def find(documents: DataFrame, scope: int = 400) -> DataFrame:
 
 
 def redact(documents: DataFrame, mark: str = "[secret]", scope: int = 400) -> DataFrame:
-    """The documents with every reported span replaced by ``mark``; other columns stay as they are."""
-    keyed = documents.withColumn("_key", row_key(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    scanned = materialize(scan(documents), "secrets")
-    dirty = scanned.filter("size(base) + size(weak) > 0").dropDuplicates(["key"]).join(link(scanned, scope), "key", "left")
-    spans = dirty.select(F.col("key").alias("_key"), F.array_sort(F.concat("base", F.coalesce("added", no_spans()))).alias("_spans"))
+    """The documents with every reported span replaced by ``mark`` and n_chars, if there, counted anew.
+
+    Base spans are cut where the text is read; only the linked spans of some texts are joined.
+    """
+    added = materialize(link(materialize(scan(documents), "secrets"), scope), "linked").withColumnsRenamed({"key": "_key", "added": "_added"})
+    rows = _matched(documents, BASE).withColumn("_key", row_key(F.col("doc_id").cast("long"), F.col("_text")))
+    rows = rows.join(by_size(added), "_key", "left").withColumn("_spans", F.array_sort(F.concat(_spans(BASE), F.coalesce("_added", no_spans()))))
 
-    def cut(state, s):
-        start = F.greatest(s["start"], state["at"])
-        fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, start - state["at"]), F.lit(mark))).otherwise(state["out"])
+    def cut(state: Column, s: Column) -> Column:
+        gap = F.substring(F.col("_text"), state["at"] + 1, s["start"] - state["at"])
+        out = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
         return F.struct(F.greatest(s["end"], state["at"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.lit(1 << 30))))
-    text = F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))
-    return keyed.join(spans, "_key", "left").select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
+    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.lit(1 << 30))))
+    rows = rows.withColumn("_clean", F.when(F.size("_spans") > 0, clean))
+    new = {"text": F.coalesce("_clean", "text")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(F.col("_clean").isNotNull(), F.char_length("_clean")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

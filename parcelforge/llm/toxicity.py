@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import fold, map_arrow, table
+from parcelforge.llm.common import fold, map_arrow, table, without
 
 DECAY = 0.6
 #: Distances from the first to the second and from the second to the third symbol.
@@ -265,6 +265,11 @@ def score(documents: DataFrame, model: Machine, threshold: float = 0.5) -> DataF
     return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, score double, predicted int")
 
 
+def keep_clean(documents: DataFrame, model: Machine, threshold: float = 0.5) -> DataFrame:
+    """The documents that aren't predicted toxic, with all their columns; rows that share an id stay or go together."""
+    return without(documents, score(documents, model, threshold).filter("predicted = 1"))
+
+
 def op3_toxicity_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
