@@ -52,8 +52,8 @@ def within_radius(points: DataFrame, lat: float, lon: float, radius: float) -> D
     return points.filter(box).withColumn("distance", geo.haversine(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))).filter(F.col("distance") <= radius)
 
 
-def grid_features(properties: DataFrame, points: DataFrame, crimes: DataFrame, size: float) -> DataFrame:
-    """One row for each cell with a property: values, densities, crime and the median distance to schools of the same cell."""
+def grid_features(properties: DataFrame, points: DataFrame, crimes: DataFrame, size: float, digits: int = 4) -> DataFrame:
+    """One row for each cell with a property: values, densities, crime (rounded to ``digits``) and the median distance to schools of the same cell."""
     rows = properties.filter("lat is not null and lon is not null and value is not null").withColumns({"gx": geo.cell(F.col("lon"), size), "gy": geo.cell(F.col("lat"), size)})
     there = points.filter("lat is not null and lon is not null").withColumns({"gx": geo.cell(F.col("lon"), size), "gy": geo.cell(F.col("lat"), size), "kind": F.lower("category")})
     index = crime_rollup(crimes).withColumn("neighbourhood_key", F.lower(F.trim("neighbourhood"))).drop("neighbourhood")
@@ -62,7 +62,7 @@ def grid_features(properties: DataFrame, points: DataFrame, crimes: DataFrame, s
     cells = rows.groupBy("gx", "gy").agg(
         F.count("*").alias("property_count"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median_value"),
         F.round(F.greatest(F.lit(0.0), 1 - F.avg(walk) * 5), 4).alias("walkability"),
-        F.round(F.coalesce(F.avg("rate_index"), F.lit(0.0)), 4).alias("crime_rate_index"), F.round(F.coalesce(F.avg("severity_index"), F.lit(0.0)), 4).alias("crime_severity_index"))
+        F.round(F.coalesce(F.avg("rate_index"), F.lit(0.0)), digits).alias("crime_rate_index"), F.round(F.coalesce(F.avg("severity_index"), F.lit(0.0)), digits).alias("crime_severity_index"))
     counts = there.groupBy("gx", "gy").agg(F.count_if(F.col("kind").contains("store")).alias("stores"), F.count_if(F.col("kind").isin("park", "dog_park", "green_space")).alias("parks"))
     stores = there.filter(F.col("kind").contains("store")).groupBy("gx", "gy", "kind").agg(F.count("*").alias("n"))
     types = stores.groupBy("gx", "gy").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "kind", F.col("n").cast("string")))), ",").alias("store_types"))
