@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geo, ids, text
+from parcelforge.graph import roads
 from parcelforge.operators import aggregates, entity, ingest, nearest, valuation, viewport
 from parcelforge.plans.adapters import view, with_views
+from parcelforge.sources import readers
+from parcelforge.streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,7 +237,7 @@ ORACLE_SQL["dedupe_components"] = with_views(
 
 
 def _listings(p: DataFrame) -> DataFrame:
-    return p.filter("hash(location_id) is not null").select(F.concat(F.lit("lst-"), F.substring("location_id", 5, 20)).alias("listing_id"), "suite", "house", F.replace("street", F.lit(" ST "), F.lit(" Street ")).alias("street"), (F.col("lat") + 0.0001).alias("lat"), "lon")
+    return p.select(F.concat(F.lit("lst-"), F.substring("location_id", 5, 20)).alias("listing_id"), "suite", "house", F.replace("street", F.lit(" ST "), F.lit(" Street ")).alias("street"), (F.col("lat") + 0.0001).alias("lat"), "lon")
 
 
 @query(f"""
@@ -340,3 +343,111 @@ select target_id, point_id, matching, round(distance, 2) as distance, rank from
 def valuation_batch(spark, sf):
     groups = {"parks": "PROMO", "playgrounds": "ECONOMY", "schools": "STANDARD", "libraries": "LARGE"}
     return rounded(valuation.value_all(view(spark, sf, "properties"), view(spark, sf, "pois"), groups), 2)
+
+
+@query("select date_trunc('minute', ts) as window_start, user_id, count(*) as requests from events group by 1, 2")
+def request_rates(spark, sf):
+    return refresh.request_rates(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+@query("select user_id, round(avg(amount), 4) as mean_amount, count(*) as n from (select user_id, value as amount from events) group by 1")
+def user_activity(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("mean_amount"), F.count("*").alias("n"))
+
+
+@query("select dataset, cast(date_diff('day', cast(max(promoted_at) as date), date '2003-01-01') as bigint) as age_days, date_diff('day', cast(max(promoted_at) as date), date '2003-01-01') > 800 as degraded from (select o_orderpriority as dataset, o_orderdate as promoted_at from orders where o_orderkey % 5 = 0) group by 1")
+def freshness(spark, sf):
+    v = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 5 = 0").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderdate").alias("promoted_at"))
+    return refresh.freshness(v, "2003-01-01 00:00:00", 800)
+
+
+@query("select o_orderpriority as dataset, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as version_id, max(o_orderdate) as promoted_at from orders group by 1")
+def latest_version(spark, sf):
+    v = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").alias("promoted_at"))
+    return aggregates.latest(v, "dataset", "promoted_at", "version_id")
+
+
+@query("select page_id, nullif(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '') as title, cast(len(list_distinct(regexp_extract_all(html, '<a\\s[^>]*?href=[\"'']([^\"'']+)[\"'']', 1))) as bigint) as n_links from pages")
+def link_extract(spark, sf):
+    return readers.page_links(spark.read.parquet(f"{sf}/pages.parquet")).select("page_id", "title", F.size("links").cast("long").alias("n_links"))
+
+
+_CENSUS = "select n_name as area, 'Population, 2021' as label, cast(n_nationkey * 1000 + 500 as double) as amount, 1 as ordinal from nation union all select n_name, 'Population, 2021', cast(n_nationkey * 1000 + 700 as double), 2 from nation where n_nationkey % 2 = 0 union all select n_name, 'Population density', 3.5, 3 from nation union all select n_name, 'Land area in square kilometres', cast(n_nationkey % 7 + 1 as double), 4 from nation union all select n_name, 'Total private dwellings', cast(n_nationkey * 400 as double), 6 from nation union all select n_name, 'Private dwellings occupied by usual residents', cast(n_nationkey * 380 as double), 5 from nation where n_nationkey % 3 = 0"
+
+
+def _census(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    part = lambda label, amount, ordinal, rule="true": n.filter(rule).select(F.col("n_name").alias("area"), F.lit(label).alias("label"), F.expr(f"cast({amount} as double)").alias("amount"), F.lit(ordinal).alias("ordinal"))
+    return (
+        part("Population, 2021", "n_nationkey * 1000 + 500", 1).union(part("Population, 2021", "n_nationkey * 1000 + 700", 2, "n_nationkey % 2 = 0"))
+        .union(part("Population density", "3.5", 3)).union(part("Land area in square kilometres", "n_nationkey % 7 + 1", 4))
+        .union(part("Total private dwellings", "n_nationkey * 400", 6)).union(part("Private dwellings occupied by usual residents", "n_nationkey * 380", 5, "n_nationkey % 3 = 0"))
+    )
+
+
+_PIVOT = f"select area, arg_max(amount, ordinal) filter (contains(lower(label), 'population') and not contains(lower(label), 'density')) as population, max(amount) filter (contains(lower(label), 'land area')) as area_km2, coalesce(max(amount) filter (contains(lower(label), 'occupied')), max(amount) filter (contains(lower(label), 'dwelling'))) as households from ({_CENSUS}) group by 1"
+
+
+@query(_PIVOT)
+def census_pivot(spark, sf):
+    return ingest.census_pivot(_census(spark, sf))
+
+
+@query(f"select area as area_id, cast(population as bigint) as population, cast(households as bigint) as households, area_km2, round(population / area_km2, 4) as density, case when population > 15000 then 0.0::double else 50000.0::double end as income, cast(population > 15000 as int)::bigint as limited_accuracy from ({_PIVOT}) where area_km2 > 1")
+def census_normalise(spark, sf):
+    p = ingest.census_pivot(_census(spark, sf)).filter("area_km2 > 1")
+    rows = p.select(F.col("area").alias("area_id"), F.col("population").cast("long").alias("population"), F.col("households").cast("long").alias("households"), "area_km2", F.lit(50000.0).alias("income"), (F.col("population") > 15000).alias("suppressed"))
+    return rounded(ingest.census_rows(rows))
+
+
+@query(f"select round(avg(population / nullif(households, 0)), 6) as household_size, round(avg(population / area_km2), 6) as density from ({_PIVOT})")
+def city_baselines(spark, sf):
+    return rounded(aggregates.city_baselines(ingest.census_pivot(_census(spark, sf))), 6)
+
+
+_RULES = [("STANDARD", "retail", "r1"), ("PROMO", "leisure", "r2"), ("SMALL", "retail", "r3"), ("LARGE", "civic", "r4"), ("ECONOMY", "leisure", "r5")]
+
+
+@query("select entity_id, category, coalesce(canonical, 'Unmapped') as standard, rule_id from pois left join (values " + ", ".join(map(str, _RULES)) + ") r(raw, canonical, rule_id) on category = raw", ("pois",))
+def poi_standardise(spark, sf):
+    rules = spark.createDataFrame(_RULES, "raw string, canonical string, rule_id string")
+    return ingest.standardize_pois(view(spark, sf, "pois"), F.broadcast(rules)).select("entity_id", "category", "standard", "rule_id")
+
+
+@query("select source_id, category, count(distinct standard) as n from (select source_id, category, case when ordinal % 100 = 0 and category <> 'LARGE' then 'other' else 'one' end as standard from pois) group by 1, 2 having count(distinct standard) > 1", ("pois",))
+def mapping_conflicts(spark, sf):
+    rows = view(spark, sf, "pois").withColumn("standard", F.when((F.col("ordinal") % 100 == 0) & (F.col("category") != "LARGE"), "other").otherwise("one"))
+    return ingest.mapping_conflicts(rows)
+
+
+def _grid_roads(spark):
+    """An 8 x 8 street grid: rows and columns as polylines, one link missing."""
+    step, n = 0.004, 8
+    rows = [(f"r{i}", [(53.5 + i * step, -113.5 + j * step) for j in range(n)]) for i in range(n)] + [(f"c{j}", [(53.5 + i * step, -113.5 + j * step) for i in range(n) if not (j == 3 and i == 4)][: n if j != 5 else 4]) for j in range(n)]
+    return spark.createDataFrame([(k, [{"lat": a, "lon": b} for a, b in p]) for k, p in rows], "segment_id string, points array<struct<lat:double,lon:double>>")
+
+
+@query()
+def road_shortest_path(spark, sf):
+    graph = roads.edges(_grid_roads(spark))
+    # the city's points, drawn together onto the small street grid
+    at = lambda c, low, width: F.lit(low) + (F.col(c) - F.lit({"lat": 53.3958, "lon": -113.7136}[c])) / F.lit(width) * 0.028
+    points = view(spark, sf, "properties").select(F.col("location_id").alias("point_id"), at("lat", 53.5, 0.3202).alias("lat"), at("lon", -113.5, 0.4422).alias("lon"))
+    start = roads.snap(points, graph)
+    ways = roads.distances_in_tiles(graph, start.select("node"), 3000.0)
+    out = start.select("point_id", F.col("node").alias("origin")).join(ways.withColumnRenamed("node", "target"), "origin").select("point_id", "origin", "target", "metres")
+    return rounded(out, 2)
+
+
+@query(f"select location_id, round(distance, 2) as distance, case when distance <= 500 then 5000.0::double when distance <= 1000 then 2000.0::double when distance <= 2000 then 500.0::double else 0.0::double end as factor from (select location_id, {hav('lat', 'lon', '53.5461::double', '-113.4938::double')} as distance from properties)", ("properties",))
+def downtown_step_factor(spark, sf):
+    p = view(spark, sf, "properties").withColumn("distance", geo.haversine(F.col("lat"), F.col("lon"), F.lit(geo.DOWNTOWN[0]), F.lit(geo.DOWNTOWN[1])))
+    return p.select("location_id", F.round("distance", 2).alias("distance"), valuation.step_factor(F.col("distance")).alias("factor"))
+
+
+@query("select location_id, listing_id, method, confidence, coalesce(abs(confidence - nxt) < 1e-9, false) as quarantined from (select *, row_number() over w as r, lead(confidence) over w as nxt from (select location_id, concat('l', cast(k as string)) as listing_id, 'exact_address' as method, case when k = 3 then 0.5::double when bedrooms = 2 then 0.9::double else 0.8 + k * 0.01::double end as confidence from attributes cross join (values (1), (2), (3)) v(k)) window w as (partition by location_id order by confidence desc, listing_id)) where r = 1", ("attributes",))
+def one_listing_each(spark, sf):
+    a = view(spark, sf, "attributes").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    sure = F.when(F.col("k") == 3, 0.5).when(F.col("bedrooms") == 2, 0.9).otherwise(F.lit(0.8) + F.col("k") * 0.01)
+    return entity.one_property_each(a.select("location_id", F.concat(F.lit("l"), F.col("k").cast("string")).alias("listing_id"), F.lit("exact_address").alias("method"), sure.alias("confidence")))
