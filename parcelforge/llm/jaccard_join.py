@@ -3,7 +3,7 @@
 Texts with the same shingle set are one node, so exact copies never form pairs. Work:
 
 1. one pass gives each text's node and set size, and counts shingles in a fixed table of
-   2**20 cells (a count sketch over all texts); the global order of shingles is
+   2**22 cells (a count sketch over all texts); the global order of shingles is
    (cell count, key), rare first;
 2. a second pass gives each set's prefix in that order: a set of n shingles shares with any
    partner a shingle among its first n - ceil(3n/4) + 1;
@@ -27,12 +27,13 @@ it is alone its component is null; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelforge.graph.components import connected_components
@@ -40,8 +41,8 @@ from parcelforge.llm.common import bounded_batches, by_size, map_arrow, table, w
 from parcelforge.llm.shingles import set_key, shingle_keys
 from parcelforge.session import materialize
 
-CELLS = 1 << 20
-_BLOCK = 1 << 13
+CELLS = 1 << 22
+_BLOCK = 1 << 14
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
@@ -62,20 +63,20 @@ def _sets(documents: DataFrame, size: int) -> DataFrame:
             rows = len(nodes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         blocks = [k for k in range(CELLS // _BLOCK) if total[k * _BLOCK : (k + 1) * _BLOCK].any()]
-        data = [total[k * _BLOCK : (k + 1) * _BLOCK].tobytes() for k in blocks]
+        data = [zlib.compress(total[k * _BLOCK : (k + 1) * _BLOCK].tobytes(), 1) for k in blocks]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int64()), pa.nulls(len(blocks), pa.int64()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], names)
 
     return documents.mapInArrow(each, "doc_id long, node long, n long, block int, cells binary")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
-    """The table of all counts: 2**20 numbers, whatever the input."""
+    """The table of all counts: 2**22 numbers, whatever the input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(cells, np.uint32).astype(np.uint64)
+                own = np.frombuffer(zlib.decompress(cells), np.uint32).astype(np.uint64)
                 total[block] = total[block] + own if block in total else own
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "cells"])
 
@@ -165,31 +166,38 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
 
     dealt = _prefixes(docs, size, sketch).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle")
     # the test on ``at`` is always true: with it both uses of ``dealt`` need all its columns, and so share one exchange
-    shared = dealt.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("at").alias("at")).filter("lo != hi and at >= 0").select("shingle")
-    buckets = materialize(dealt.join(shared.hint("shuffle_hash"), "shingle").distinct(), "buckets")
+    shared = dealt.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members"), F.min("at").alias("least")).filter("lo != hi and least >= 0").select("shingle", "members")
+    # the rows of a shingle are together already, so the pivot is told to each of them without another exchange
+    in_order = Window.partitionBy("shingle").orderBy(F.col("at").bitwiseAND(0xFFFFFFFF), "node")
+    told = dealt.join(shared.hint("shuffle_hash"), "shingle").withColumns({"other": F.first("node").over(in_order), "other_at": F.first("at").over(in_order)})
+    buckets = materialize(told.filter("node != other"), "buckets")
 
     links: list[DataFrame] = []
     for turn in range(pivot_rounds + 1):
         last = turn == pivot_rounds
-        if last:
-            other = buckets.select("shingle", F.col("node").alias("other"), F.col("at").alias("other_at"), *([F.col("comp").alias("other_comp")] if links else []))
-            rule = (F.col("node") < F.col("other")) & ((F.col("comp") != F.col("other_comp")) if links else F.lit(True)) & _plausible(F.col("at"), F.col("other_at"))
-            joined = buckets.join(other.withColumnRenamed("shingle", "same"), (F.col("shingle") == F.col("same")) & rule)
+        if turn == 0 and not last:
+            joined = buckets
+        elif not last:
+            place = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "node", "at", "comp")
+            pivots = buckets.groupBy("shingle").agg(F.min(place).alias("p")).select("shingle", F.col("p.node").alias("other"), F.col("p.at").alias("other_at"), F.col("p.comp").alias("other_comp"))
+            joined = buckets.join(pivots, "shingle").filter(F.col("comp") != F.col("other_comp"))
         else:
-            place = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "node", "at")
-            pivots = buckets.groupBy("shingle").agg(F.min(place).alias("p")).select("shingle", F.col("p.node").alias("other"), F.col("p.at").alias("other_at"))
-            if links:
-                pivots = pivots.join(buckets.select("shingle", F.col("node").alias("other"), F.col("comp").alias("other_comp")), ["shingle", "other"])
-            joined = buckets.join(pivots, "shingle")
-            if links:
-                joined = joined.filter(F.col("comp") != F.col("other_comp"))
+            if turn == 0:
+                firsts = told.filter("node = other").select("shingle", "node", "at")
+                buckets = materialize(buckets.select("shingle", "node", "at").union(firsts).distinct().withColumn("comp", F.col("node")), "buckets")
+            other = buckets.select(F.col("shingle").alias("same"), F.col("node").alias("other"), F.col("at").alias("other_at"), F.col("comp").alias("other_comp"))
+            rule = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & _plausible(F.col("at"), F.col("other_at"))
+            joined = buckets.join(other, (F.col("shingle") == F.col("same")) & rule)
         pairs = materialize(_pair(joined), "pairs")
         links.append(materialize(_verify(pairs, docs, reps, size), "links"))
         comps = materialize(connected_components(reduce(DataFrame.unionByName, links)), "comps")
         if last:
             break
         # go on with the members that are not yet compared with all others of their bucket
-        rest = buckets.join(pivots.select("shingle", "other"), "shingle").filter("node != other").select("shingle", "node", "at")
+        if turn == 0:
+            rest = buckets.filter("members > 2").select("shingle", "node", "at").distinct()
+        else:
+            rest = buckets.join(pivots.select("shingle", "other"), "shingle").filter("node != other").select("shingle", "node", "at")
         rest = rest.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("shingle", "node", "at", F.coalesce("component", "node").alias("comp"))
         open_ = rest.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("shingle")
         buckets = materialize(rest.join(open_, "shingle"), "buckets")
