@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op10_jaccard_join": jaccard_join.OP10_SQL,
 }

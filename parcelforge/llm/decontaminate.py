@@ -229,3 +229,20 @@ def keep_clean(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> Da
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+#: The same rows by comparing every window of every document.
+OP2_SQL = r"""
+with iw as (select cast(item_id as varchar) as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null),
+iu as (select item, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from iw where len(w) > 0),
+win as (select distinct item, n, array_to_string(w[i:i+n-1], ' ') as k from iu),
+dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+lens as (select distinct n from win),
+pos as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from dw cross join lens),
+hits as (select p.doc_id, p.i, p.n, win.item from (select doc_id, i, n, array_to_string(w[i:i+n-1], ' ') as k from pos) p join win on p.n = win.n and p.k = win.k),
+covered as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) group by 1),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from hits) group by 1)
+select dw.doc_id, cast(len(dw.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from dw left join covered on covered.doc_id = dw.doc_id left join found on found.doc_id = dw.doc_id
+"""

@@ -223,3 +223,18 @@ def keep_one(documents: DataFrame, size: int = 5) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+#: The same rows from all pairs that share a shingle.
+OP10_SQL = r"""
+with recursive dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+du as (select doc_id, w, least(5, len(w)) as n, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from dw where len(w) > 0),
+sh as (select distinct doc_id, array_to_string(w[i:i+n-1], ' ') as s from du),
+size as (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as o from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join size x on x.doc_id = a join size y on y.doc_id = b where 100 * o >= 75 * (x.n + y.n - o)),
+both_ways as (select a, b from links union select b, a from links),
+reach as (select a as n, a as m from both_ways union select r.n, e.b from reach r join both_ways e on r.m = e.a)
+select dw.doc_id, cast(coalesce(size.n, 0) as bigint) as n_shingles, coalesce(c.m, dw.doc_id) as component_id
+from dw left join size on size.doc_id = dw.doc_id left join (select n, min(m) as m from reach group by 1) c on c.n = dw.doc_id
+"""
