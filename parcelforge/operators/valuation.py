@@ -17,16 +17,20 @@ COMPARED = {"matching": (0.12, 0.55), "nearby": (0.08, 0.25), "neighbourhood": (
 LOW_RAIL, HIGH_RAIL = 0.65, 1.35
 #: what each kind of evidence adds to completeness (100 in all)
 COMPLETENESS = {"parks": 12.0, "playgrounds": 10.0, "schools": 12.0, "libraries": 8.0, "commute": 10.0, "neighbourhood": 14.0, "crime": 8.0, "census": 8.0, "comparables": 18.0}
-#: employment centres: name, lat, lon, weight; the indices fall to zero at this many metres
-CENTRES = [("downtown", 53.5461, -113.4938, 0.4), ("university", 53.5232, -113.5263, 0.2), ("south", 53.4690, -113.4800, 0.15), ("west", 53.5225, -113.6242, 0.15), ("north", 53.6000, -113.4900, 0.1)]
+#: employment centres: name, lat, lon, weight; the indices fall to zero at COMMUTE_M metres
+CENTRES = [
+    ("downtown", 53.5461, -113.4938, 1.0), ("west edmonton mall", 53.523, -113.6227, 0.9), ("strathcona", 53.5182, -113.4973, 0.9), ("university", 53.5232, -113.5263, 0.9),
+    ("kingsway", 53.556998, -113.503331, 0.75), ("northgate", 53.5979, -113.4889, 0.75), ("south edmonton common", 53.4468, -113.4849, 0.8),
+]
 COMMUTE_M = 15_000.0
 #: metres and what a feature within them is worth
 STEPS = [(500.0, 5000.0), (1000.0, 2000.0), (2000.0, 500.0)]
 
 
 def clip(x: Column, low: Column | float, high: Column | float) -> Column:
+    """``x`` between its limits; null stays null (least and greatest alone would pass over it)."""
     col = lambda v: F.lit(v) if isinstance(v, float) else v
-    return F.greatest(col(low), F.least(x, col(high)))
+    return F.when(x.isNotNull(), F.greatest(col(low), F.least(x, col(high))))
 
 
 def compared(base: Column, other: Column, kind: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import geo, ids, text
 from parcelforge.graph import roads
-from parcelforge.operators import aggregates, entity, ingest, nearest, valuation, viewport
+from parcelforge.operators import aggregates, entity, ingest, listings, models, nearest, transit, validation, valuation, viewport
 from parcelforge.plans.adapters import view, with_views
 from parcelforge.sources import readers
 from parcelforge.streaming import refresh
@@ -314,7 +314,7 @@ def grid_features(spark, sf):
 _COMMUTE = "+".join(f"greatest(0.0::double, least(1 - {hav('lat', 'lon', f'{a}::double', f'{b}::double')} / 15000.0::double, 1.0::double)) * {w}::double" for _, a, b, w in valuation.CENTRES)
 
 
-@query(f"select location_id, round(({_COMMUTE}) / 1.0::double, 6) as commute_index from properties", ("properties",))
+@query(f"select location_id, round(({_COMMUTE}) / {sum(w for *_, w in valuation.CENTRES)}::double, 6) as commute_index from properties", ("properties",))
 def commute_index(spark, sf):
     return view(spark, sf, "properties").select("location_id", F.round(valuation.commute_index(F.col("lat"), F.col("lon")), 6).alias("commute_index"))
 
@@ -451,3 +451,63 @@ def one_listing_each(spark, sf):
     a = view(spark, sf, "attributes").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     sure = F.when(F.col("k") == 3, 0.5).when(F.col("bedrooms") == 2, 0.9).otherwise(F.lit(0.8) + F.col("k") * 0.01)
     return entity.one_property_each(a.select("location_id", F.concat(F.lit("l"), F.col("k").cast("string")).alias("listing_id"), F.lit("exact_address").alias("method"), sure.alias("confidence")))
+
+
+def _nearest_sql(measure: str) -> str:
+    return f"select target_id, point_id, round(m, 9) as squared from (select p.location_id as target_id, s.stop_id as point_id, {measure} as m, row_number() over (partition by p.location_id order by {measure}, s.stop_id) as r from properties p cross join stops s) where r = 1"
+
+
+@query(_nearest_sql("(p.lat-s.lat)*(p.lat-s.lat)+(p.lon-s.lon)*cos(radians(p.lat))*((p.lon-s.lon)*cos(radians(p.lat)))"), ("properties", "stops"))
+def nearest_stop_scaled(spark, sf):
+    o = _points(view(spark, sf, "stops").withColumnRenamed("stop_id", "entity_id"))
+    return rounded(nearest.nearest_one(_targets(view(spark, sf, "properties")), o, scaled=True).select("target_id", "point_id", "squared"), 9)
+
+
+@query(_nearest_sql("(p.lat-s.lat)*(p.lat-s.lat)+(p.lon-s.lon)*(p.lon-s.lon)"), ("properties", "stops"))
+def nearest_stop_unscaled(spark, sf):
+    o = _points(view(spark, sf, "stops").withColumnRenamed("stop_id", "entity_id"))
+    return rounded(nearest.nearest_one(_targets(view(spark, sf, "properties")), o, scaled=False).select("target_id", "point_id", "squared"), 9)
+
+
+@query("select neighbourhood, round(avg(2026 - year_built), 4) as mean_age, round(avg(gross_area), 4) as mean_area, round(100 * avg(case when garage = 'Y' then 1 else 0 end), 4) as garage_percent from properties group by 1", ("properties",))
+def neighbourhood_summary(spark, sf):
+    return transit.neighbourhood_summary(view(spark, sf, "properties"), 2026)
+
+
+@query("select count(*) as total, count(*) filter (source_type = 'observed') as observed, count(*) filter (source_type = 'inferred') as inferred, count(*) filter (source_type = 'imputed') as imputed, count(*) filter (coalesce(confidence, 0) >= 0.9) as high, count(*) filter (coalesce(confidence, 0) >= 0.75 and coalesce(confidence, 0) < 0.9) as medium, count(*) filter (coalesce(confidence, 0) < 0.75) as low, round(100 * count(bedrooms) / count(*)::double, 4) as percent_with_bedrooms from attributes", ("attributes",))
+def enrichment_report(spark, sf):
+    return listings.enrichment_report(view(spark, sf, "attributes"))
+
+
+@query("select concat(house, ' ', street) as address_key, arg_max(location_id, filled::hugeint * 1000000000 - k) as location_id, count(*) as n from (select *, cast(substr(location_id, 5, 20) as bigint) as k, (case when suite is null then 0 else 1 end) + (case when value is null then 0 else 1 end) as filled from properties) group by 1", ("properties",))
+def listing_duplicates(spark, sf):
+    p = view(spark, sf, "properties").withColumns({"address_key": F.concat_ws(" ", "house", "street"), "ordinal": F.substring("location_id", 5, 20).cast("long"), "link": F.lit("")})
+    best = listings.best_listing(p, "address_key", ["suite", "value"], "link")
+    return best.join(p.groupBy("address_key").agg(F.count("*").alias("n")), "address_key").select("address_key", "location_id", "n")
+
+
+@query("select location_id, coalesce(lat, (select arg_min(q.lat, q.k) from rows_ q where q.street = r.street and q.lat is not null)) as lat from rows_ r".replace("rows_", "(select location_id, street, cast(substr(location_id, 5, 20) as bigint) as k, case when cast(substr(location_id, 5, 20) as bigint) % 4 = 0 then null else round(lat, 6) end as lat from properties)"), ("properties",))
+def coordinate_reuse(spark, sf):
+    k = F.substring("location_id", 5, 20).cast("long")
+    gone = k % 4 == 0
+    p = view(spark, sf, "properties").withColumns({"ordinal": k, "lat": F.when(~gone, F.round("lat", 6)), "lon": F.when(~gone, F.col("lon"))})
+    return listings.reuse_coordinates(p, "street").select("location_id", "lat")
+
+
+_RIDGE_NUMERIC = ["gross_area", "lot_size", "year_built"]
+
+
+@query()
+def ridge_by_ward(spark, sf):
+    """Rows only: r2 and coefficients are held against numpy in the tests."""
+    rows = models.design(view(spark, sf, "properties").filter("value is not null"), _RIDGE_NUMERIC, {"zoning": ["RF1", "RF3"], "garage": ["Y"]}, "ward")
+    fitted = models.fit_ridge(rows, "ward", "value", 6, least=20)
+    return rounded(fitted.select("ward", "n", "intercept", "r2"), 4)
+
+
+@query("select location_id, case when k % 5 = 0 then 'lat:not_numeric' when k % 5 = 1 then 'lat:out_of_range' when k % 5 = 2 then 'lat:missing' else '' end as issues from (select location_id, cast(substr(location_id, 5, 20) as bigint) as k from properties)", ("properties",))
+def coordinate_validation(spark, sf):
+    k = F.substring("location_id", 5, 20).cast("long") % 5
+    lat = F.when(k == 0, "north").when(k == 1, "153.5").when(k == 2, None).otherwise("53.5")
+    issues = validation.coordinate_issues(lat, F.lit("-113.5"))
+    return view(spark, sf, "properties").select("location_id", F.array_join(F.transform(issues, lambda i: F.concat_ws(":", i["field"], i["reason"])), ",").alias("issues"))
