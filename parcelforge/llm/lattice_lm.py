@@ -71,6 +71,18 @@ def read_pieces(model_file: str) -> tuple[list[bytes], np.ndarray]:
     return list(weights), every / every.sum()
 
 
+def _pooled(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
+    """Batches of words put together, so that words of like length fill whole chunks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Lattice:
     """Looks substrings up in the vocabulary, for many words at once."""
 
@@ -121,6 +133,8 @@ class Lattice:
         at = 0
         while at < len(order):
             end = min(len(order), at + 4096)
+            # words that are much longer than the first would pad all others
+            end = at + int(np.searchsorted(sizes[order[at:end]], sizes[order[at]] * 5 // 4 + 1, side="right"))
             while end - at > 1 and (end - at) * sizes[order[end - 1]] * min(self.widest, sizes[order[end - 1]]) > CELLS:
                 end = at + (end - at + 1) // 2
             own = order[at:end]
@@ -222,8 +236,8 @@ def fit_pieces(counts: DataFrame, surfaces: list[bytes], start: np.ndarray, roun
 
         def each(batches: Iterator[pa.RecordBatch], log_p=log_p) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(log_p) - 1)
-            for batch in batches:
-                total += _lattice(packed).expected(batch.column(0).to_pylist(), batch.column(1).to_numpy(), log_p)
+            for pool in _pooled(batches):
+                total += _lattice(packed).expected(pool.column(0).to_pylist(), pool.column(1).to_numpy(), log_p)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["piece", "n"])
 
@@ -254,9 +268,9 @@ def score(documents: DataFrame, model_file: str, held_out_fold: int = 1, rounds:
     go_on, the_end = float(np.log10(1 - stop)), float(np.log10(stop))
 
     def words_scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = _lattice(packed).log_probability(batch.column(0).to_pylist(), log_p) / np.log(10) + go_on
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], ["token", "n", "lp"])
+        for pool in _pooled(batches):
+            values = _lattice(packed).log_probability(pool.column(0).to_pylist(), log_p) / np.log(10) + go_on
+            yield from pool.append_column("lp", pa.array(values)).to_batches()
 
     scored = materialize(counts.mapInArrow(words_scored, "token binary, n long, lp double"), "scored")
     steps = scored.filter("n > 0").groupBy(F.floor(F.log2("n") * 8).alias("step")).agg(F.count("*").alias("size")).orderBy(F.col("step").desc()).collect()  # some hundred rows
