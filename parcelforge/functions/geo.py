@@ -80,3 +80,16 @@ def ring_area_km2(points: Column) -> Column:
     after = F.concat(F.slice(points, 2, F.greatest(n - 1, F.lit(0))), F.slice(points, 1, 1))
     cross = F.zip_with(points, after, lambda a, b: (a["lon"] * b["lat"] - b["lon"] * a["lat"]))
     return F.when(n >= 3, F.abs(F.aggregate(cross, F.lit(0.0), lambda s, x: s + x)) / 2 * kx * ky).otherwise(0.0)
+
+
+def to_segment(lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
+    """struct(metres, share): distance to a short segment on a local plane, and where along it the nearest point lies (0 to 1)."""
+    k = F.lit(KM_PER_DEGREE * 1000)
+    scale = F.cos(F.radians(lat)) * k
+    ax, ay = (lon_a - lon) * scale, (lat_a - lat) * k
+    bx, by = (lon_b - lon) * scale, (lat_b - lat) * k
+    dx, dy = bx - ax, by - ay
+    length = dx * dx + dy * dy
+    share = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * dx + ay * dy) / length))).otherwise(0.0)
+    x, y = ax + share * dx, ay + share * dy
+    return F.struct(F.sqrt(x * x + y * y).alias("metres"), share.alias("share"))
