@@ -6,6 +6,8 @@ by metres; the two stages rank differently, so both are kept.
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,15 @@ def knn(targets: DataFrame, points: DataFrame, k: int = 3, candidates: int = 25,
     ``candidates`` least by L1 degrees (ties by id), then the ``k`` least by two-leg metres.
     Cells are joined in blocks; a target meets the nine blocks around it and is done when
     ``candidates`` points lie nearer than a block's width, for then none outside is nearer.
-    Blocks grow fourfold for the targets that are left, until one spans the globe.
+    Blocks grow fourfold for the targets that are left, until one spans the globe; the first
+    is chosen by the points' mean density, so that most targets are done in one round.
     """
     points = points.filter("p_lat is not null and p_lon is not null").withColumns({"cx": geo.cell(F.col("p_lon"), size), "cy": geo.cell(F.col("p_lat"), size)})
     rest = targets.filter("t_lat is not null and t_lon is not null").withColumns({"tx": geo.cell(F.col("t_lon"), size), "ty": geo.cell(F.col("t_lat"), size)})
     parts: list[DataFrame] = []
-    block = 2
+    n, width, height = points.agg(F.count("*"), F.max("cx") - F.min("cx") + 1, F.max("cy") - F.min("cy") + 1).first()
+    # four times the candidates in the diamond of one block's width, were the points spread evenly
+    block = max(1, ceil(sqrt(2 * candidates * width * height / n))) if n else 1
     while True:
         whole = block * size > 720
         dealt = rest.withColumns({"bx": F.floor(F.col("tx") / block), "by": F.floor(F.col("ty") / block)})
