@@ -70,3 +70,12 @@ def comparables(targets: DataFrame, points: DataFrame, matches: Column, k: int =
     """Of the max(4k, 60) nearest, the ``k`` nearest that match and the ``k`` nearest that don't."""
     near = knn(targets, points, k=max(4 * k, 60), candidates=max(4 * k, 60)).withColumn("matching", F.coalesce(matches, F.lit(False)))
     return _ranked(near.drop("rank"), ["target_id", "matching"], [F.col("distance"), F.col("point_id")], "rank", k)
+
+
+def same_street(targets: DataFrame, points: DataFrame, k: int = 5, candidates: int = 25) -> DataFrame:
+    """The ``k`` nearest points on each target's own street, by the same two stages; both sides have ``street``."""
+    met = targets.filter("street is not null and t_lat is not null").join(points.filter("p_lat is not null"), "street").filter("target_id != point_id")
+    met = met.withColumn("l1", geo.l1_degrees(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon")))
+    first = _ranked(met, ["target_id"], [F.col("l1"), F.col("point_id")], "stage", candidates)
+    metres = first.withColumn("distance", geo.two_legs(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon")))
+    return _ranked(metres, ["target_id"], [F.col("distance"), F.col("point_id")], "rank", k).drop("l1", "stage")

@@ -511,3 +511,43 @@ def coordinate_validation(spark, sf):
     lat = F.when(k == 0, "north").when(k == 1, "153.5").when(k == 2, None).otherwise("53.5")
     issues = validation.coordinate_issues(lat, F.lit("-113.5"))
     return view(spark, sf, "properties").select("location_id", F.array_join(F.transform(issues, lambda i: F.concat_ws(":", i["field"], i["reason"])), ",").alias("issues"))
+
+
+@query(f"""
+select target_id, point_id, round(distance, 2) as distance, rank from (
+  select *, row_number() over (partition by target_id order by distance, point_id) as rank from (
+    select *, {legs('t_lat', 't_lon', 'p_lat', 'p_lon')} as distance from (
+      select a.location_id as target_id, a.lat as t_lat, a.lon as t_lon, b.location_id as point_id, b.lat as p_lat, b.lon as p_lon,
+        row_number() over (partition by a.location_id order by abs(a.lat-b.lat)+abs(a.lon-b.lon), b.location_id) as stage
+      from properties a join properties b on a.street = b.street and a.location_id <> b.location_id) where stage <= 25)) where rank <= 3
+""", ("properties",))
+def same_street_ranked(spark, sf):
+    p = view(spark, sf, "properties")
+    t = p.select(F.col("location_id").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), "street")
+    o = p.select(F.col("location_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "street")
+    return rounded(nearest.same_street(t, o, 3).select("target_id", "point_id", "distance", "rank"), 2)
+
+
+@query(f"""
+select target_id, point_id, round(distance, 2) as distance, rank from (
+  select *, row_number() over (partition by target_id order by distance, point_id) as rank from (
+    select p.location_id as target_id, c.neighbourhood as point_id, {legs('p.lat', 'p.lon', 'c.lat', 'c.lon')} as distance
+    from properties p cross join (select neighbourhood, avg(lat) as lat, avg(lon) as lon from properties group by 1) c)) where rank <= 4
+""", ("properties",))
+def nearest_neighbourhoods(spark, sf):
+    p = view(spark, sf, "properties")
+    centres = p.groupBy("neighbourhood").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")).withColumnRenamed("neighbourhood", "entity_id")
+    return rounded(nearest.knn(_targets(p), _points(centres), k=4).select("target_id", "point_id", "distance", "rank"), 2)
+
+
+@query("select location_id, concat_ws('|', coalesce(suite, ''), house, concat(split_part(street, ' ', 1), ' AVE NW')) as address_key from properties", ("properties",))
+def address_keys(spark, sf):
+    p = view(spark, sf, "properties")
+    written = F.concat(F.split("street", " ")[0], F.lit(" avnue. North West"))
+    return p.select("location_id", text.address_key(F.col("suite"), F.col("house"), written).alias("address_key"))
+
+
+@query("select source_id, category, count(*) as n, min(name) as first_name from pois where lower(source_id) = 'pois_a' and lower(category) = 'promo' group by 1, 2", ("pois",))
+def poi_query(spark, sf):
+    found = transit.find_pois(view(spark, sf, "pois"), source="POIS_A", category="Promo")
+    return found.groupBy("source_id", "category").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
