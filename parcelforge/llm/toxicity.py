@@ -132,13 +132,13 @@ class Landmarks:
         self.map = vectors[:, keep] / np.sqrt(values[keep])
 
     def features(self, windows: np.ndarray) -> np.ndarray:
-        out = np.empty((len(windows), self.rows.shape[1]), np.float32)
+        out = np.empty((len(windows), self.map.shape[1]))
         for lo in range(0, len(windows), 200):
             ids, values = _features(windows[lo : lo + 200])
             at = np.searchsorted(self.columns, ids)
             at[self.columns[np.minimum(at, len(self.columns) - 1)] != ids] = len(self.columns)
-            out[lo : lo + 200] = np.einsum("nij,i->nj", self.rows[at], values)
-        return out @ self.map
+            out[lo : lo + 200] = np.einsum("nij,i->nj", self.rows[at], values) @ self.map
+        return out
 
     def fold(self, line: np.ndarray) -> np.ndarray:
         """The weight table of the machine that is ``line`` in the mapped space."""
@@ -149,19 +149,26 @@ class Landmarks:
 
 def _squared_hinge(rows: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss by Newton steps on the active rows."""
-    rows = np.hstack([rows.astype(np.float64), np.ones((len(rows), 1))])
-    line = np.zeros(rows.shape[1])
-    keep = ridge * np.eye(len(line))
+    width = rows.shape[1]
+    keep = ridge * np.eye(width + 1)
     keep[-1, -1] = 1e-6
+    line, offset = np.zeros(width), 0.0
     active = np.ones(len(y), bool)
     for _ in range(steps):
-        own = rows[active] * cost[active, None]
-        line = np.linalg.solve(keep + own.T @ rows[active], own.T @ y[active])
-        now = y * (rows @ line) < 1
+        left, right = keep.copy(), np.zeros(width + 1)
+        for lo in range(0, len(rows), 2048):  # in pieces, so that no second copy of all rows is made
+            some = active[lo : lo + 2048]
+            part = np.hstack([rows[lo : lo + 2048][some], np.ones((some.sum(), 1))])
+            weighted = part * cost[lo : lo + 2048][some, None]
+            left += weighted.T @ part
+            right += weighted.T @ y[lo : lo + 2048][some]
+        solved = np.linalg.solve(left, right)
+        line, offset = solved[:-1], float(solved[-1])
+        now = y * (rows @ line + offset) < 1
         if (now == active).all():
             break
         active = now
-    return line[:-1], float(line[-1])
+    return line, offset
 
 
 def _seeds(toxic: list[str], clean: list[str]) -> dict[str, float]:
