@@ -10,7 +10,8 @@ Texts with the same shingle set are one node, so exact copies never form pairs.
 3. prefixes meet on the shingle. Shingles of one node only drop out. In every other bucket,
    the pivot (the member with the fewest rarer shingles) is paired with all others: a number
    of pairs in proportion to the bucket, whatever its size. Pairs pass the length filter and
-   the positional filter and are made distinct;
+   the positional filter, must share as much of their prefixes as similar sets do, and are
+   made distinct;
 4. the pairs are verified: the suffix filter compares counts by key range, then the sets are
    intersected;
 5. links give components; buckets whose members are all in one component are done, and in
@@ -154,6 +155,28 @@ def _pair(df: DataFrame) -> DataFrame:
     return kept.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _first_pairs(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b) of pivots and members that pass the filters and share enough of their prefixes.
+
+    Two similar sets share not one shingle but several within their prefixes: with overlap o
+    the i-th shared one has o - i shared ones after it, so it lies within a prefix of length L
+    of n as long as i <= L - n + o. The rows of a pair count what they share in buckets of
+    which one of them is the pivot; what they may share in others is bounded by the number of
+    such buckets that either is in.
+    """
+    rows = buckets.withColumns({"n": F.shiftright("at", 32), "other_n": F.shiftright("other_at", 32)}).filter(4 * F.least("n", "other_n") >= 3 * F.greatest("n", "other_n"))
+    first = F.col("node") < F.col("other")
+    grouped = rows.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(
+        F.count("*").alias("rows"), F.max(_plausible(F.col("at"), F.col("other_at"))).alias("fits"),
+        F.max(F.when(first, F.col("n")).otherwise(F.col("other_n"))).alias("n_a"), F.max(F.when(first, F.col("other_n")).otherwise(F.col("n"))).alias("n_b")).filter("fits")
+    hidden = buckets.filter("members > 2").groupBy("node").agg(F.count("*").alias("hidden"))
+    both = grouped.join(hidden.select(F.col("node").alias("a"), F.col("hidden").alias("h_a")), "a", "left").join(hidden.select(F.col("node").alias("b"), F.col("hidden").alias("h_b")), "b", "left")
+    ceil = lambda x, y: F.floor((x + (y - 1)) / y)
+    within = F.least(1 - ceil(3 * F.col("n_a"), 4), 1 - ceil(3 * F.col("n_b"), 4)) + ceil(3 * (F.col("n_a") + F.col("n_b")), 7)
+    shared = F.col("rows") + F.least(F.coalesce("h_a", F.lit(0)), F.coalesce("h_b", F.lit(0)))
+    return both.filter(shared >= within).select("a", "b")
+
+
 def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document, at similarity 0.75 of ``size``-word shingles."""
     spark = documents.sparkSession
@@ -176,19 +199,19 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
     for turn in range(pivot_rounds + 1):
         last = turn == pivot_rounds
         if turn == 0 and not last:
-            joined = buckets
+            pairs = _first_pairs(buckets)
         elif not last:
             place = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "node", "at", "comp")
             pivots = buckets.groupBy("shingle").agg(F.min(place).alias("p")).select("shingle", F.col("p.node").alias("other"), F.col("p.at").alias("other_at"), F.col("p.comp").alias("other_comp"))
-            joined = buckets.join(pivots, "shingle").filter(F.col("comp") != F.col("other_comp"))
+            pairs = _pair(buckets.join(pivots, "shingle").filter(F.col("comp") != F.col("other_comp")))
         else:
             if turn == 0:
                 firsts = told.filter("node = other").select("shingle", "node", "at")
                 buckets = materialize(buckets.select("shingle", "node", "at").union(firsts).distinct().withColumn("comp", F.col("node")), "buckets")
             other = buckets.select(F.col("shingle").alias("same"), F.col("node").alias("other"), F.col("at").alias("other_at"), F.col("comp").alias("other_comp"))
             rule = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & _plausible(F.col("at"), F.col("other_at"))
-            joined = buckets.join(other, (F.col("shingle") == F.col("same")) & rule)
-        pairs = materialize(_pair(joined), "pairs")
+            pairs = _pair(buckets.join(other, (F.col("shingle") == F.col("same")) & rule))
+        pairs = materialize(pairs, "pairs")
         links.append(materialize(_verify(pairs, docs, reps, size), "links"))
         comps = materialize(connected_components(reduce(DataFrame.unionByName, links)), "comps")
         if last:
