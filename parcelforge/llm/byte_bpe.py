@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from parcelforge.llm.common import map_arrow, table
 
-#: Entries of a worker's caches; a full cache is emptied, which costs time but no result.
+#: Pieces and pairs of tokens that a worker remembers; a full memory is emptied, which costs time but no result.
 CACHE_ENTRIES = 400_000
+PAIR_ENTRIES = 400_000
 
 
 def merge_plainly(ids: dict[str, int], text: str) -> list[int]:
@@ -73,7 +74,7 @@ class Codec:
     def compatible(self, left: int, right: int) -> bool:
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) >= 4 * CACHE_ENTRIES:
+            if len(self.fits) >= PAIR_ENTRIES:
                 self.fits.clear()
             both = (self.raw[left] + self.raw[right]).decode("latin-1")
             known = self.fits[left, right] = merge_plainly(self.ids, both) == [left, right]
@@ -112,7 +113,7 @@ class Codec:
 
     def _follow(self, last: int, token: int | None) -> int:
         """1 + the longest prefix of ``token``, itself included, that may follow ``last``; -1: none. Remembered."""
-        if len(self.first) >= 4 * CACHE_ENTRIES:
+        if len(self.first) >= PAIR_ENTRIES:
             self.first.clear()
         i = token
         while i is not None and last >= 0 and not self.compatible(last, i):
