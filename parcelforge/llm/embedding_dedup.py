@@ -1,7 +1,9 @@
 """Near-duplicate vectors by a forest of random projection trees.
 
 A tree splits a sample again and again by a random direction between two of its points, at
-the median; points close to the cut go to both sides (spill). Every vector then walks down
+the median; points close to the cut go to both sides (spill). The spill is as wide as the
+links among the sample rows need (a split parts at most LOSS of them), and a node which no
+cut makes cheaper to compare stays one leaf, so a hot group isn't cut through. Every vector then walks down
 all trees, so near vectors meet in some leaf. Inside leaves all vectors are compared by
 cosine in double precision; only pairs that are verified count, each once, in the first
 leaf that both share. Union of the links gives the components.
@@ -10,8 +12,9 @@ Hot groups: equal vectors are one row with a weight. Tight groups of many differ
 are found on the sample: members within half the linking angle of a centre link with each
 other for certain (triangle inequality), so they are counted, not compared. Where no other
 vector comes near enough to link with a member, the group never enters a tree. Leaves that
-are still large are dealt out in chunks, compared chunk against chunk, each in a task of
-its own; a block returns sums and a spanning forest, never its pairs.
+are still large are dealt out in chunks, compared chunk against chunk, each a group of its
+own; a block returns sums and a spanning forest, never its pairs. Rows that met in an unsplit
+leaf are not dealt to each other again in later trees.
 
 Bounds: trees and centres are fitted on at most ``sample_rows`` vectors by hash order; all
 vectors are indexed. The forest (a direction for each split) and the centres are broadcast;
@@ -38,18 +41,21 @@ from parcelforge.llm.common import map_arrow, table
 from parcelforge.session import materialize
 
 #: Rows of a chunk of a leaf; a block compares two chunks.
-CHUNK = 768
+CHUNK = 2048
+#: A split parts at most this share of the links among this many of its sample rows.
+LOSS, PROBES = 0.03, 1000
 
 
 @dataclass
 class Tree:
-    """Splits by number: direction, cut and spill, and the two children (a leaf is ~number)."""
+    """Splits by number: direction, cut and spill, and the two children (a leaf is ~number); and the large leaves left whole."""
 
     direction: np.ndarray
     cut: np.ndarray
     spill: np.ndarray
     child: np.ndarray
     leaves: int
+    whole: np.ndarray
 
     def walk(self, unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(rows, leaf) for all leaves that each row reaches."""
@@ -66,34 +72,65 @@ class Tree:
         return out
 
 
-def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator, spill: float) -> Tree:
+def _linked(unit: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that link, and of each pair its share of all links and, the second row, of all linked rows."""
+    a, b = np.nonzero(np.triu(unit @ unit.T >= threshold, 1))
+    degree = np.bincount(np.concatenate([a, b]), minlength=len(unit))
+    if len(a) > 20 * PROBES:
+        a, b = a[:: len(a) // (20 * PROBES) + 1], b[:: len(b) // (20 * PROBES) + 1]
+    weight = np.stack([np.ones(len(a)), 1 / np.maximum(degree[a], 1) + 1 / np.maximum(degree[b], 1)])
+    return a, b, weight / np.maximum(weight.sum(1, keepdims=True), 1e-300)
+
+
+def _wide_enough(side: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, loss: float) -> float:
+    """The least spill that parts at most ``loss`` of the pairs, by either weight."""
+    apart = np.flatnonzero(side[a] * side[b] < 0)
+    need = np.minimum(np.abs(side[a[apart]]), np.abs(side[b[apart]]))
+    order = np.argsort(-need)
+    lost = np.cumsum(weight[:, apart[order]], axis=1).max(0) if len(apart) else np.zeros(0)
+    at = int(np.searchsorted(lost, loss, side="right"))
+    return float(need[order[at]]) if at < len(order) else 0.0
+
+
+def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator, spill: float, threshold: float, loss: float = LOSS) -> Tree:
+    """A node is split only where few of its links are parted and less is left to compare; else it is one leaf."""
     directions, cuts, spills, children = [], [], [], []
-    leaves = 0
+    leaves, whole = 0, []
 
     def split(rows: np.ndarray, depth: int) -> int:
         nonlocal leaves
         if len(rows) > leaf and depth < 40:
-            for _ in range(4):
+            some = rows if len(rows) <= PROBES else rng.choice(rows, PROBES, replace=False)
+            a_, b_, weight = _linked(sample[some], threshold)
+            best = None
+            for _ in range(6):
+                if best and best[0] < 0.7:
+                    break
                 a, b = sample[rng.choice(rows, 2, replace=False)]
                 line = a - b
                 side = sample[rows] @ line
                 cut = float(np.median(side))
-                width = float(np.quantile(np.abs(side - cut), spill))
+                width = max(float(np.quantile(np.abs(side - cut), spill)), _wide_enough(sample[some] @ line - cut, a_, b_, weight, loss))
                 low, high = rows[side - cut <= width], rows[side - cut >= -width]
-                if max(len(low), len(high)) < 0.9 * len(rows):
-                    node = len(cuts)
-                    directions.append(line)
-                    cuts.append(cut)
-                    spills.append(width)
-                    children.append((0, 0))
-                    children[node] = (split(low, depth + 1), split(high, depth + 1))
-                    return node
+                work = (len(low) ** 2 + len(high) ** 2) / len(rows) ** 2
+                if work < 0.85 and max(len(low), len(high)) < 0.9 * len(rows) and (best is None or work < best[0]):
+                    best = work, line, cut, width, low, high
+            if best:
+                _, line, cut, width, low, high = best
+                node = len(cuts)
+                directions.append(line)
+                cuts.append(cut)
+                spills.append(width)
+                children.append((0, 0))
+                children[node] = (split(low, depth + 1), split(high, depth + 1))
+                return node
+            whole.append(leaves)
         leaves += 1
         return ~(leaves - 1)
 
     split(np.arange(len(sample)), 0)
     width = sample.shape[1] if sample.ndim == 2 else 0
-    return Tree(np.array(directions).reshape(-1, width), np.array(cuts), np.array(spills), np.array(children).reshape(-1, 2), leaves)
+    return Tree(np.array(directions).reshape(-1, width), np.array(cuts), np.array(spills), np.array(children).reshape(-1, 2), leaves, np.array(whole, int))
 
 
 def dense_centres(sample: np.ndarray, threshold: float, least: int, most: int) -> np.ndarray:
@@ -146,33 +183,39 @@ def _compare(threshold: float):
         for k, x in enumerate(pdf.leaves):
             own[k, : len(x)] = x
         chunk, node, weight, ball = (pdf[c].to_numpy() for c in ("chunk", "node", "weight", "ball"))
-        count, label = np.zeros(len(pdf), np.int64), node.copy()
-        links: list[tuple[np.ndarray, np.ndarray]] = []
+        lower = np.where(own < leaf, own, -1)
+        common, times = np.unique(lower, return_counts=True)
+        common = common[(common >= 0) & (times > 1)]  # leaves before this one in which rows can meet
+        hit = np.zeros((len(pdf), len(pdf)), bool)
         for lo in range(0, len(pdf), 256):
-            cosine = unit[lo : lo + 256] @ unit.T
-            x, y = np.nonzero(cosine >= threshold)
-            x += lo
-            keep = (x < y) & ((chunk[x] != chunk[y]) if i != j else True) & ((ball[x] < 0) | (ball[x] != ball[y]))
-            x, y = x[keep], y[keep]
-            for at in range(0, len(x), 20_000):
-                a, b = x[at : at + 20_000], y[at : at + 20_000]
-                shared = (own[a][:, :, None] == own[b][:, None, :]) & (own[a][:, :, None] >= 0)
-                first = np.where(shared.any(2), own[a], np.iinfo(np.int64).max).min(1)
-                mine = first == leaf
-                a, b = a[mine], b[mine]
-                np.add.at(count, a, weight[b])
-                np.add.at(count, b, weight[a])
-                links.append((a, b))
-        if links:
-            a, b = np.concatenate([p[0] for p in links]), np.concatenate([p[1] for p in links])
-            while len(a):
-                low = np.minimum(label[a], label[b])
-                before = label.copy()
-                np.minimum.at(label, a, low)
-                np.minimum.at(label, b, low)
-                if (before == label).all():
-                    break
-        some = count > 0
+            strip = unit[lo : lo + 256] @ unit.T >= threshold
+            strip &= np.arange(lo, lo + len(strip))[:, None] < np.arange(len(pdf))
+            strip &= (ball[lo : lo + 256, None] < 0) | (ball[lo : lo + 256, None] != ball)
+            if i != j:
+                strip &= chunk[lo : lo + 256, None] != chunk
+            x, y = np.nonzero(strip)
+            if len(x) <= 20_000:
+                met = ((lower[x + lo][:, :, None] == lower[y][:, None, :]) & (lower[x + lo][:, :, None] >= 0)).any((1, 2))
+                strip[x[met], y[met]] = False
+            else:
+                for at in range(0, len(common), 256):
+                    some = common[at : at + 256]
+                    place = np.searchsorted(some, lower).clip(0, len(some) - 1)
+                    r, c = np.nonzero(some[place] == lower)
+                    inside = np.zeros((len(pdf), len(some)), np.float32)
+                    inside[r, place[r, c]] = 1
+                    strip &= inside[lo : lo + 256] @ inside.T == 0
+            hit[lo : lo + 256] = strip
+        count = hit @ weight + hit.T @ weight
+        hit |= hit.T
+        some, label = count > 0, node.copy()
+        left = some.copy()
+        for first in np.flatnonzero(some):
+            front = np.array([first]) if left[first] else np.zeros(0, int)
+            while len(front):
+                left[front] = False
+                label[front] = node[first]
+                front = np.flatnonzero(hit[front].any(0) & left)
         return pd.DataFrame({"node": node[some], "n": count[some], "label": label[some]})
 
     return block
@@ -209,8 +252,9 @@ def _same_length(whole: DataFrame, threshold: float, trees: int, spill: float, l
     unit = _units(sample["embedding"].combine_chunks())
     rng = np.random.default_rng(seed)
     centres = dense_centres(unit[: min(len(unit), 8000)], threshold, least, most_centres)
-    forest = [grow(unit, max(8, leaf_rows * len(unit) // max(1, total)), rng, spill) for _ in range(trees)]
+    forest = [grow(unit, max(8, leaf_rows * len(unit) // max(1, total)), rng, spill, threshold) for _ in range(trees)]
     bases = np.cumsum([0] + [t.leaves for t in forest])
+    unsplit = {int(base) + int(x) for base, t in zip(bases, forest, strict=False) for x in t.whole}
 
     def balls(batch: pa.RecordBatch) -> pa.RecordBatch:
         ball, near = _ball_of(_units(batch.column("embedding")), centres, threshold)
@@ -230,17 +274,26 @@ def _same_length(whole: DataFrame, threshold: float, trees: int, spill: float, l
             for rows, leaf in tree.walk(vectors_):
                 for r, at in zip(rows.tolist(), leaf.tolist(), strict=True):
                     where[r].append(int(base) + at)
-        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), batch.column("ball"), batch.column("embedding"), pa.array(where, pa.list_(pa.int32()))], ["node", "weight", "ball", "embedding", "leaves"])
+        hot = [min((x for x in own if x in unsplit), default=-1) for own in where]
+        return pa.RecordBatch.from_arrays([batch.column("node"), batch.column("weight"), batch.column("ball"), batch.column("embedding"), pa.array(where, pa.list_(pa.int32())), pa.array(hot, pa.int32())], ["node", "weight", "ball", "embedding", "leaves", "hot"])
 
     kind = whole.schema["embedding"].dataType.simpleString()
-    placed = map_arrow(indexed, leaves, f"node long, weight long, ball int, embedding {kind}, leaves array<int>")
-    counts = {r.leaf: r.n for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # a row for each leaf of the forest
-    chunks = {leaf: -(-n // CHUNK) for leaf, n in counts.items()}
-    large = {leaf: c for leaf, c in chunks.items() if c > 1}
-    of_leaf = F.coalesce(F.create_map(*[F.lit(x) for kv in large.items() for x in kv])[F.col("leaf")], F.lit(1)) if large else F.lit(1)
-    rows = placed.select("node", "weight", "ball", "embedding", "leaves", F.explode("leaves").alias("leaf")).withColumn("chunks", of_leaf)
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    placed = map_arrow(indexed, leaves, f"node long, weight long, ball int, embedding {kind}, leaves array<int>, hot int")
+    # rows that share an unsplit leaf before this one have been compared there: where they are many, they get chunks of their own that don't meet each other
+    rows = placed.select("node", "weight", "ball", "embedding", "leaves", "hot", F.explode("leaves").alias("leaf")).withColumn("hot", F.when(F.col("hot") < F.col("leaf"), F.col("hot")).otherwise(-1))
+    counted = rows.groupBy("leaf", "hot").agg(F.count("*").alias("n")).withColumn("hot", F.when(F.col("n") > CHUNK, F.col("hot")).otherwise(-1)).groupBy("leaf", "hot").agg(F.sum("n").alias("n"))
+    deal: dict[int, list[tuple[int, int, int]]] = {}
+    for r in counted.orderBy("leaf", "hot").collect():  # a row for each leaf of the forest, and for CHUNK rows of a leaf at most one more
+        own = deal.setdefault(r.leaf, [])
+        own.append((r.hot, sum(x[2] for x in own), -(-r.n // CHUNK)))
+    large = [(leaf, hot, at, n, sum(x[2] for x in own)) for leaf, own in deal.items() for hot, at, n in own if len(own) > 1 or hot >= 0 or n > 1]
+    plan = rows.sparkSession.createDataFrame(large, "leaf int, hot int, first int, chunks int, total int")
+    apart = plan.filter("hot >= 0").select("leaf", "hot", F.col("first").alias("own_first"), F.col("chunks").alias("own_chunks"), F.col("total").alias("own_total"))
+    rows = rows.join(F.broadcast(apart), ["leaf", "hot"], "left").join(F.broadcast(plan.filter("hot < 0").drop("hot")), "leaf", "left")
+    part = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("chunk", F.coalesce(F.col("own_first") + part(F.col("own_chunks")), F.col("first") + part(F.col("chunks")), F.lit(0)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("own_total", "total", F.lit(1)) - 1)))
+    rows = rows.filter("own_first is null or other < own_first or other >= own_first + own_chunks")
     rows = rows.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
     found = materialize(rows.select("node", "weight", "ball", "embedding", "leaves", "leaf", "chunk", "i", "j").groupBy("leaf", "i", "j").applyInPandas(_compare(threshold), "node long, n long, label long"), "links")
 

@@ -62,6 +62,42 @@ def test_hot_groups_and_large_leaves(spark, noise):
     assert np.mean([got[v].component_id == c for v, _, c in want]) >= 0.99
 
 
+def test_deep_trees_do_not_cut_hot_groups():
+    """A third of a million rows, all within the linking angle: nearly every pair shares a leaf."""
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    base = unit(rng.normal(size=(1, 64)))
+    hot = lambda n: unit(base + 0.02 * rng.normal(size=(n, 64)))
+    sample = np.concatenate([hot(1300), unit(rng.normal(size=(2700, 64)))])
+    members = hot(300)
+    together = np.zeros((300, 300), bool)
+    for _ in range(5):
+        for rows, leaf in ed.grow(sample, 8, rng, 0.08, 0.95).walk(members):
+            together[np.ix_(rows, rows)] |= leaf[0] >= 0 if len(leaf) else False
+    links = np.triu(members @ members.T >= 0.95, 1)
+    assert together[links].mean() >= 0.99
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_unsplit_leaves_of_many_chunks(spark, monkeypatch, groups):
+    """Links of chunks that meet in several trees count once."""
+    monkeypatch.setattr(ed, "CHUNK", 150)
+    rng = np.random.default_rng(4)
+    rows = [b + 0.02 * rng.normal(size=64) for b in unit_rows(rng, groups) for _ in range(900 // groups)]
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate([*rows, *unit_rows(rng, 500)])]
+    want = plainly(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in ed.near_duplicates(df, leaf_rows=60).collect()}
+    assert all(got[v].n_links <= n for v, n, _ in want)
+    assert sum(r.n_links for r in got.values()) >= 0.99 * sum(n for _, n, _ in want)
+    assert all(got[v].component_id == c for v, _, c in want)
+
+
+def unit_rows(rng, n):
+    rows = rng.normal(size=(n, 64))
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(5, None), (6, []), (7, [0.0, 0.0]), (8, [1.0, None]), (9, [nan, 1.0]), (10, [inf, 1.0]), (4, [1.0, 2.0]), (3, [2.0, 4.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (None, [1.0, 2.0]), (11, [1.0, 2.0, 0.0]), (None, [-5.0, 1.0]), (12, [-0.0, 1.0]), (13, [0.0, 1.0])]
