@@ -10,8 +10,9 @@ leaf that both share. Union of the links gives the components.
 
 Hot groups: equal vectors are one row with a weight. Tight groups of many different vectors
 are found on the sample: members within half the linking angle of a centre link with each
-other for certain (triangle inequality), so they are counted, not compared. Where no other
-vector comes near enough to link with a member, the group never enters a tree. Leaves that
+other for certain (triangle inequality), so they are counted, not compared. Where no vector
+outside comes near enough to link with a member (each names all balls within one and a half
+linking angles), the group never enters a tree. Leaves that
 are still large are dealt out in chunks, compared chunk against chunk, each a group of its
 own; a block returns sums and a spanning forest, never its pairs. Rows that met in an unsplit
 leaf are not dealt to each other again in later trees.
@@ -154,20 +155,20 @@ def _units(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _ball_of(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The ball that each row is in (-1: none) and the first other ball that it comes near to (-1: none)."""
+def _ball_of(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, list[list[int]]]:
+    """The ball that each row is in (-1: none) and all other balls that it comes near to."""
     ball = np.full(len(unit), -1)
-    near = np.full(len(unit), -1)
+    near: list[list[int]] = [[] for _ in range(len(unit))]
     if len(centres):
         angle = np.arccos(threshold)
         cosine = unit @ centres.T
         best = np.argmax(cosine, axis=1)
         inside = cosine[np.arange(len(unit)), best] >= np.cos(angle / 2) + 1e-9
         ball[inside] = best[inside]
-        cosine[np.arange(len(unit))[inside], best[inside]] = -1
-        other = np.argmax(cosine, axis=1)
-        close = cosine[np.arange(len(unit)), other] >= np.cos(angle * 1.5) - 1e-9
-        near[close] = other[close]
+        close = cosine >= np.cos(angle * 1.5) - 1e-9
+        close[np.arange(len(unit))[inside], best[inside]] = False
+        for row, other in zip(*(x.tolist() for x in np.nonzero(close)), strict=True):
+            near[row].append(other)
     return ball, near
 
 
@@ -258,10 +259,10 @@ def _same_length(whole: DataFrame, threshold: float, trees: int, spill: float, l
 
     def balls(batch: pa.RecordBatch) -> pa.RecordBatch:
         ball, near = _ball_of(_units(batch.column("embedding")), centres, threshold)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball, pa.int32()), pa.array(near, pa.int32())], [*batch.schema.names, "ball", "near"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball, pa.int32()), pa.array(near, pa.list_(pa.int32()))], [*batch.schema.names, "ball", "near"])
 
-    dealt = materialize(map_arrow(whole, balls, whole._jdf.schema().toDDL() + ", ball int, near int"), "balls")
-    touched = dealt.filter("near >= 0").select(F.col("near").alias("ball")).distinct()
+    dealt = materialize(map_arrow(whole, balls, whole._jdf.schema().toDDL() + ", ball int, near array<int>"), "balls")
+    touched = dealt.select(F.explode("near").alias("ball")).distinct()
     sizes = dealt.filter("ball >= 0").groupBy("ball").agg(F.sum("weight").alias("size"), F.min("node").alias("first"))
     sizes = F.broadcast(sizes)  # a row for each centre at most
     alone = F.broadcast(sizes.join(touched, "ball", "left_anti").select("ball", F.lit(True).alias("alone")))

@@ -93,6 +93,21 @@ def test_unsplit_leaves_of_many_chunks(spark, monkeypatch, groups):
     assert all(got[v].component_id == c for v, _, c in want)
 
 
+def test_a_vector_between_two_tight_groups(spark):
+    """It is nearer to one centre than to the other, yet links with members of both."""
+    angle = np.arccos(0.95)
+    at = lambda turn, tilt: [float(np.cos(turn * angle) * np.cos(tilt)), float(np.sin(turn * angle) * np.cos(tilt)), float(np.sin(tilt))]
+    first = [at(0.001 * i, 0.001 * (i % 3)) for i in range(40)]
+    second = [at(1.51 + 0.001 * i, 0.001 * (i % 3)) for i in range(40)] + [at(1.1, 0.0)]
+    rows = list(enumerate([*first, *second, at(0.7, 0.0)]))
+    unit = np.array([v for _, v in rows])
+    _, near = ed._ball_of(unit, np.array([first[0], second[0]]), 0.95)
+    assert list(near[-1]) == [0, 1]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(df).collect())
+    assert got == sorted(plainly(rows))
+
+
 def unit_rows(rng, n):
     rows = rng.normal(size=(n, 64))
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
