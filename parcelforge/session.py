@@ -28,11 +28,15 @@ def build(app: str = "parcelforge", master: str | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in spark.checkpoint.dir. Where that is unset, as in local
-    tests, a new temporary folder is made and kept in the session's settings.
+    A cluster names it in spark.checkpoint.dir. Where that is unset, a local master gets a
+    new temporary folder, kept in the session's settings; any other master is an error, for
+    its executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("parcelforge.shared.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         found = "file://" + tempfile.mkdtemp(prefix="parcelforge-")
         spark.conf.set("parcelforge.shared.dir", found)
     return found.rstrip("/")
