@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from parcelforge.session import materialize
 
-#: Rows in an Arrow batch of whole texts: bounds what a Python worker holds at once.
+#: Rows and bytes in an Arrow batch of whole texts: bounds what a Python worker holds at once.
 TEXT_BATCH_ROWS = 2000
+TEXT_BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +25,11 @@ def fold(doc_id: Column, parts: int = 5) -> Column:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    """Keep Arrow batches of whole texts small; smaller settings of the session stay, larger ones are lowered in it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
@@ -39,13 +42,14 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(each, schema)
 
 
-#: Ids that may be broadcast, 8 bytes each; a longer list is joined by shuffle.
-BROADCAST_IDS = 4_000_000
+#: Bytes of a written list that may be broadcast; a longer one is joined by shuffle.
+BROADCAST_BYTES = 32_000_000
 
 
-def by_size(ids: DataFrame) -> DataFrame:
-    """A written list of ids, marked for broadcast if it is short enough."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def by_size(rows: DataFrame, row_bytes: int | Column = 8) -> DataFrame:
+    """Written rows, marked for broadcast if all of them, at ``row_bytes`` each, are small enough."""
+    size = rows.count() * row_bytes if isinstance(row_bytes, int) else rows.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
