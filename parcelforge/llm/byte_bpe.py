@@ -54,6 +54,7 @@ class Codec:
         self.ids = {token.decode("latin-1"): i for token, i in table_.items()}
         self.raw = {i: token for token, i in table_.items()}
         self.size = {i: len(token) for token, i in table_.items()}
+        self.widest = max(map(len, table_), default=1)
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
             self.automaton.add_word(token, i)
@@ -123,7 +124,7 @@ class Codec:
 
     def _longest(self, piece: str, at: int) -> int:
         """The longest token that starts at ``at``."""
-        part = piece[at:]
+        part = piece[at : at + self.widest]
         found = self.node.get(part[: self.automaton.longest_prefix(part)])
         if found is None:
             raise ValueError("the ranks lack a byte of this text")
