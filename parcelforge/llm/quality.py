@@ -199,12 +199,17 @@ def features(documents: DataFrame) -> DataFrame:
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 12_000, **how) -> Gam:
-    """Fit on at most ``max_rows`` labelled rows, taken by hash order of the id from all of them."""
+    """Fit on at most ``max_rows`` labelled ids, taken by hash order from all of them.
+
+    Where rows share an id the one with the least features stands for it, so what comes to
+    the driver is at most ``max_rows`` rows.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).dropna()
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     some = texts.join(F.broadcast(known.select("doc_id")), "doc_id")  # at most max_rows ids
-    got = features(some).join(F.broadcast(known), "doc_id").toPandas().sort_values("doc_id")
+    one = features(some).groupBy("doc_id").agg(F.min("features").alias("features"))
+    got = one.join(F.broadcast(known), "doc_id").toPandas().sort_values("doc_id")
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.stack(got.features.to_numpy()), got.y.to_numpy(), **how)

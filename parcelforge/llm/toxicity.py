@@ -252,13 +252,14 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_texts: int = 1500, max_chars: int = 50_000, **how) -> Machine:
-    """Fit on at most ``max_texts`` labelled texts of each class (twice as many clean ones)."""
+    """Fit on at most ``max_texts`` labelled ids of each class (twice as many clean ones); of rows that share an id, on the least text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna()
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.filter("y = 1").orderBy(*order).limit(max_texts).union(known.filter("y = 0").orderBy(*order).limit(2 * max_texts))
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= max_chars)
-    got = texts.join(F.broadcast(some), "doc_id").toPandas().sort_values(["doc_id", "text"])  # at most 3 * max_texts rows
+    one = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    got = one.toPandas().sort_values("doc_id")  # at most 3 * max_texts rows
     return fit(got.text.tolist(), got.y.to_numpy(float), **how)
 
 
