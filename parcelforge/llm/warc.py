@@ -39,9 +39,11 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from parcelforge.llm.common import table
-from parcelforge.session import shared_dir
+from parcelforge.llm.common import BROADCAST_BYTES, table
+from parcelforge.session import materialize, shared_dir
 
+#: Parts that the rows of one digest are dealt over where the repeated digests are too many to broadcast.
+SALTS = 32
 SCHEMA = "record_type string, record_id string, target_uri string, refers_to string, payload_digest string, http_length long, payload binary"
 #: Header of each column that predicates can be pushed to.
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
@@ -286,14 +288,26 @@ def register(spark: SparkSession) -> None:
 
 
 def records(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """Rows of SCHEMA for the writer: of equal payloads of at least ``least`` bytes, the largest page_id carries it."""
+    """Rows of SCHEMA for the writer: of equal payloads of at least ``least`` bytes, the largest page_id carries it.
+
+    Payloads stay where they were read: only digests are counted, and the repeated ones come
+    back by broadcast if they are few enough. Beyond that the larger payloads are joined by
+    shuffle, dealt over ``SALTS`` parts for each digest. Smaller ones never enter a join.
+    """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("target_uri"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"),
     ).withColumns({"http_length": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")})
+    large = F.col("http_length") >= least
     # only digests that occur twice or more come into the join; counts are summed before the shuffle
-    twice = rows.filter(F.col("http_length") >= least).groupBy("payload_digest", "http_length").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    linked = rows.join(twice, ["payload_digest", "http_length"], "left")
+    twice = rows.filter(large).groupBy("payload_digest", "http_length").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    twice = materialize(twice, "repeated-payloads")
+    if twice.count() * 100 <= BROADCAST_BYTES:  # a digest of 40 letters and two numbers a row
+        linked = rows.join(F.broadcast(twice), ["payload_digest", "http_length"], "left")
+    else:
+        salted = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        linked = rows.filter(large).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["payload_digest", "http_length", "salt"], "left").drop("salt")
+        linked = linked.unionByName(rows.filter(~large).withColumn("keeper", F.lit(None).cast("long")))
     again = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(c.cast("string"), F.lit("null")))
     return linked.select(
