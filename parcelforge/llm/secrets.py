@@ -4,9 +4,10 @@ A credential has parts: an access identifier, a secret and an endpoint. Assignme
 access identifiers and long hexadecimal runs (the base kinds) are reported wherever they
 are. Three weaker kinds are only candidates: a temporary access identifier (``id``), a
 bare secret of forty mixed characters (``key``) and an endpoint (``endpoint``). A candidate
-is reported when a part of another role lies within ``scope`` code points of it: the parts
-are dealt into bins of that width and joined with the bins beside them, so the join
-compares neighbours only.
+is reported when a part of another role lies within ``scope`` code points of it, from the
+end of one to the start of the other: every part is dealt into each bin of that width which
+it covers and joined with the bins within reach of the candidate, so the join compares
+neighbours only.
 
 DataFrame operations only. Texts are read once and not shuffled; the join carries the rows
 of texts that have a candidate.
@@ -64,14 +65,14 @@ def link(scanned: DataFrame, scope: int = 400) -> DataFrame:
     some = scanned.filter(F.size("weak") > 0).dropDuplicates(["key"])
     role = F.create_map(*[F.lit(x) for kind, _, r in BASE + WEAK for x in (kind, r)])
     parts = some.select("key", F.explode(F.concat("base", "weak")).alias("s")).withColumn("role", role[F.col("s.kind")]).filter("role != ''")
-    parts = parts.withColumn("bin", F.floor(F.col("s.start") / scope))
+    parts = parts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s.start") / scope), F.floor(F.col("s.end") / scope))))
     weak = some.select("key", "base", F.explode("weak").alias("s")).withColumn("role", role[F.col("s.kind")])
     # what a base span already covers is no candidate
     weak = weak.filter(~F.exists("base", lambda b: (b["start"] < F.col("s.end")) & (F.col("s.start") < b["end"]))).drop("base")
-    # a part that begins before the candidate may end close to it: its bin can be one before; one after likewise
-    weak = weak.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s.start") / scope) - 1, F.floor((F.col("s.end") + scope) / scope))))
+    # a part within reach covers a place from ``scope`` before the candidate to ``scope`` behind it
+    weak = weak.withColumn("bin", F.explode(F.sequence(F.floor((F.col("s.start") - scope) / scope), F.floor((F.col("s.end") + scope) / scope))))
     w, p = weak.alias("w"), parts.alias("p")
-    near = (F.col("p.s.start") - F.col("w.s.end") <= scope) & (F.col("w.s.start") - F.col("p.s.start") <= scope)
+    near = (F.col("p.s.start") - F.col("w.s.end") <= scope) & (F.col("w.s.start") - F.col("p.s.end") <= scope)
     linked = w.join(p, (F.col("w.key") == F.col("p.key")) & (F.col("w.bin") == F.col("p.bin")) & (F.col("w.role") != F.col("p.role")) & near, "left_semi")
     return linked.select("key", "s").distinct().groupBy("key").agg(F.collect_list("s").alias("added"))
 
@@ -90,7 +91,8 @@ def redact(documents: DataFrame, mark: str = "[secret]", scope: int = 400) -> Da
     """
     added = materialize(link(materialize(scan(documents), "secrets"), scope), "linked").withColumnsRenamed({"key": "_key", "added": "_added"})
     rows = _matched(documents, BASE).withColumn("_key", row_key(F.col("doc_id").cast("long"), F.col("_text")))
-    rows = rows.join(by_size(added), "_key", "left").withColumn("_spans", F.array_sort(F.concat(_spans(BASE), F.coalesce("_added", no_spans()))))
+    span_bytes = F.octet_length("_key") + F.aggregate("_added", F.lit(0).cast("long"), lambda n, s: n + 64 + F.octet_length(s["match"]))
+    rows = rows.join(by_size(added, span_bytes), "_key", "left").withColumn("_spans", F.array_sort(F.concat(_spans(BASE), F.coalesce("_added", no_spans()))))
 
     def cut(state: Column, s: Column) -> Column:
         gap = F.substring(F.col("_text"), state["at"] + 1, s["start"] - state["at"])
