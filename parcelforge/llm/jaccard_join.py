@@ -9,21 +9,28 @@ Texts with the same shingle set are one node, so exact copies never form pairs.
    partner a shingle among its first n - ceil(3n/4) + 1;
 3. prefixes meet on the shingle. Shingles of one node only drop out. In every other bucket,
    the pivot (the member with the fewest rarer shingles) is paired with all others: a number
-   of pairs in proportion to the bucket, whatever its size. Pairs pass the length filter and
-   the positional filter, must share as much of their prefixes as similar sets do, and are
-   made distinct;
+   of pairs in proportion to the bucket, whatever its size. A shingle that the count table
+   holds for hot is dealt over as many parts as there are shuffle partitions, each with a
+   pivot of its own, so no task gets all its rows. Pairs pass the length filter and the
+   positional filter, must share as much of their prefixes as similar sets do, and are made
+   distinct;
 4. the pairs are verified: the suffix filter compares counts by key range, then the sets are
    intersected;
 5. links give components; buckets whose members are all in one component are done, and in
-   the others the next pivot is paired with the members of other components only. After
-   ``pivot_rounds`` what is left is paired in full, across components: nothing is capped.
+   the others the next pivot, one for the whole bucket, is paired with the members of other
+   components only, for ``pivot_rounds`` rounds. Of two similar sets at least one has the
+   shared shingle among its first seventh (see ``_leads``), so pivots are taken from such
+   members only, and a bucket without any is done;
+6. what is left after that is joined: leading members with all members of other components,
+   on shingle and size band. Nothing is capped.
 
 So no link between components is lost, and pairs inside a component that is already known
 are not formed. Set keys and shingle keys have 64 bits.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; rows
-with equal text are one node whatever their ids; a null id never is a component's name; if
-it is alone its component is null; extra columns are not read.
+with equal text are one node whatever their ids, null ids included; a null id never is a
+component's name, but links like any other row and gets its component's least id; if none
+in its component has an id, its component is null; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -44,6 +51,8 @@ from parcelforge.session import materialize
 
 CELLS = 1 << 22
 _BLOCK = 1 << 14
+#: A shingle is hot where its cell counts this many sets, and HOT_SHARE times the mean cell.
+HOT_SETS, HOT_SHARE = 512, 16
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
@@ -88,15 +97,19 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray) -> DataFrame:
-    """(shingle, node, at): a task gives each set once; ``at`` packs set size and position."""
+def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray, parts: int) -> DataFrame:
+    """(shingle, salt, node, at): a task gives each set once; ``at`` packs set size and position.
+
+    The salt deals the rows of hot shingles over ``parts`` by their node; it is 0 for others.
+    """
     cells = sketch.tobytes()
+    hot = max(HOT_SETS, HOT_SHARE * float(sketch.mean()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(cells, np.uint32)
         given: set[int] = set()
         for batch in batches:
-            shingles, nodes, places, lengths = [], [], [], []
+            shingles, salts, nodes, places, lengths = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 keys = shingle_keys(text, size)
                 node = set_key(keys)
@@ -105,15 +118,17 @@ def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray) -> DataFrame:
                 given.add(node)
                 n = len(keys)
                 count = n - (3 * n + 3) // 4 + 1
-                order = np.lexsort((keys, rank[(keys & np.uint64(CELLS - 1)).astype(np.int64)]))[:count]
+                often = rank[(keys & np.uint64(CELLS - 1)).astype(np.int64)]
+                order = np.lexsort((keys, often))[:count]
                 shingles.append(keys[order].view(np.int64))
+                salts.append(np.where(often[order] >= hot, 1 + (node >> 8) % parts, 0).astype(np.int32))
                 places.append((np.int64(n) << np.int64(32)) + np.arange(count, dtype=np.int64))
                 nodes.append(node)
                 lengths.append(count)
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.concatenate(places))], ["shingle", "node", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.concatenate(salts)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)), pa.array(np.concatenate(places))], ["shingle", "salt", "node", "at"])
 
-    return documents.select("text").mapInArrow(each, "shingle long, node long, at long")
+    return documents.select("text").mapInArrow(each, "shingle long, salt int, node long, at long")
 
 
 def _plausible(at_a: Column, at_b: Column) -> Column:
@@ -128,17 +143,36 @@ def _plausible(at_a: Column, at_b: Column) -> Column:
     return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * after >= 3 * (n_a + n_b))
 
 
+def _leads(at: Column) -> Column:
+    """The shingle's place is within the first seventh of the set.
+
+    Beyond it ``_plausible`` admits smaller partners only: with n the size and p the place,
+    7(n - p) >= 3(n + m) and 7p > n give m < n. Of two members that are both beyond it each
+    would have to be smaller than the other, so at least one of a similar pair leads.
+    """
+    return 7 * at.bitwiseAND(0xFFFFFFFF) <= F.shiftright(at, 32)
+
+
 def _verify(pairs: DataFrame, documents: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of 0.75 or more."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ids = by_size(materialize(reps.join(wanted, "node").select("doc_id"), "candidates"))
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of 0.75 or more.
+
+    Texts are fetched by the least id of their node, those without an id by shingling them.
+    """
+    wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node"), "candidates")
+    nameless = wanted.filter("doc_id is null").limit(1).count() > 0
+    ids = by_size(wanted.select("doc_id").dropna())
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [shingle_keys(t, size) for t in batch.column(0).to_pylist()]
         ranges = [np.minimum(np.bincount((k >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tolist() for k in keys]
         return pa.RecordBatch.from_arrays([pa.array(map(set_key, keys), pa.int64()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64())), pa.array(ranges, pa.list_(pa.int16()))], ["node", "keys", "ranges"])
 
-    sets = map_arrow(documents.join(ids, "doc_id", "left_semi").select("text"), step, "node long, keys array<long>, ranges array<smallint>").dropDuplicates(["node"])
+    texts = documents.join(ids, "doc_id", "left_semi").select("text")
+    if nameless:
+        texts = texts.union(documents.filter("doc_id is null").select("text"))
+    sets = map_arrow(texts, step, "node long, keys array<long>, ranges array<smallint>")
+    # ids may repeat with other texts, and nameless texts are unchecked: only what pairs name goes on
+    sets = sets.join(by_size(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
     first = sets.select(F.col("node").alias("a"), F.col("keys").alias("keys_a"), F.col("ranges").alias("ranges_a"))
     second = sets.select(F.col("node").alias("b"), F.col("keys").alias("keys_b"), F.col("ranges").alias("ranges_b"))
     both = pairs.join(first, "a").join(second, "b")
@@ -164,12 +198,12 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
     which one of them is the pivot; what they may share in others is bounded by the number of
     such buckets that either is in.
     """
-    rows = buckets.withColumns({"n": F.shiftright("at", 32), "other_n": F.shiftright("other_at", 32)}).filter(4 * F.least("n", "other_n") >= 3 * F.greatest("n", "other_n"))
+    rows = buckets.filter("node != other").withColumns({"n": F.shiftright("at", 32), "other_n": F.shiftright("other_at", 32)}).filter(4 * F.least("n", "other_n") >= 3 * F.greatest("n", "other_n"))
     first = F.col("node") < F.col("other")
     grouped = rows.groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).agg(
         F.count("*").alias("rows"), F.max(_plausible(F.col("at"), F.col("other_at"))).alias("fits"),
         F.max(F.when(first, F.col("n")).otherwise(F.col("other_n"))).alias("n_a"), F.max(F.when(first, F.col("other_n")).otherwise(F.col("n"))).alias("n_b")).filter("fits")
-    hidden = buckets.filter("members > 2").groupBy("node").agg(F.count("*").alias("hidden"))
+    hidden = buckets.filter("members > 2 or salt > 0").groupBy("node").agg(F.count("*").alias("hidden"))
     both = grouped.join(hidden.select(F.col("node").alias("a"), F.col("hidden").alias("h_a")), "a", "left").join(hidden.select(F.col("node").alias("b"), F.col("hidden").alias("h_b")), "b", "left")
     ceil = lambda x, y: F.floor((x + (y - 1)) / y)
     within = F.least(1 - ceil(3 * F.col("n_a"), 4), 1 - ceil(3 * F.col("n_b"), 4)) + ceil(3 * (F.col("n_a") + F.col("n_b")), 7)
@@ -177,7 +211,27 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
     return both.filter(shared >= within).select("a", "b")
 
 
-def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int = 2) -> DataFrame:
+def _by_bucket(buckets: DataFrame, *aggregates: Column) -> DataFrame:
+    """``aggregates`` of whole buckets, one row for each (shingle, salt): joined on both, a hot bucket stays dealt."""
+    salts = buckets.select("shingle", "salt").distinct()
+    return salts.join(buckets.groupBy("shingle").agg(*aggregates), "shingle")
+
+
+def _pairs_left(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b) of all leading members with all members of other components, by shingle and size band.
+
+    A band is as wide as the length filter allows, so partners are in the same or the next
+    band either way. The leading rows are told to every part of a hot bucket.
+    """
+    band = F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
+    rows = buckets.withColumn("band", band)
+    leading = rows.filter(_leads(F.col("at"))).withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
+    leading = leading.select("shingle", "band", F.col("node").alias("other"), F.col("at").alias("other_at"), F.col("comp").alias("other_comp"))
+    leading = leading.join(rows.select("shingle", "salt", "band").distinct(), ["shingle", "band"])
+    return _pair(rows.join(leading, ["shingle", "salt", "band"]).filter(F.col("comp") != F.col("other_comp")))
+
+
+def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document, at similarity 0.75 of ``size``-word shingles."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -185,45 +239,45 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
     written = materialize(_sets(docs, size), "sets")
     sketch = _sketch(written)
     sets = written.filter("n is not null").select("doc_id", "node", "n")
-    reps = sets.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    reps = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    dealt = _prefixes(docs, size, sketch).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shingle")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["shingle", "salt"]
+    dealt = _prefixes(docs, size, sketch, parts).repartition(parts, *key)
     # the test on ``at`` is always true: with it both uses of ``dealt`` need all its columns, and so share one exchange
-    shared = dealt.groupBy("shingle").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members"), F.min("at").alias("least")).filter("lo != hi and least >= 0").select("shingle", "members")
-    # the rows of a shingle are together already, so the pivot is told to each of them without another exchange
-    in_order = Window.partitionBy("shingle").orderBy(F.col("at").bitwiseAND(0xFFFFFFFF), "node")
-    told = dealt.join(shared.hint("shuffle_hash"), "shingle").withColumns({"other": F.first("node").over(in_order), "other_at": F.first("at").over(in_order)})
-    buckets = materialize(told.filter("node != other"), "buckets")
+    shared = dealt.groupBy(*key).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("members"), F.min("at").alias("least")).filter("(lo != hi or salt > 0) and least >= 0").select(*key, "members")
+    # the rows of a part are together already, so the pivot is told to each of them without another exchange
+    in_order = Window.partitionBy(*key).orderBy(F.col("at").bitwiseAND(0xFFFFFFFF), "node")
+    told = dealt.join(shared.hint("shuffle_hash"), key).withColumns({"other": F.first("node").over(in_order), "other_at": F.first("at").over(in_order)})
+    # a part's pivot has met all other rows only where the part is the whole bucket
+    buckets = materialize(told.filter("node != other or salt > 0"), "buckets")
 
     links: list[DataFrame] = []
-    for turn in range(pivot_rounds + 1):
-        last = turn == pivot_rounds
-        if turn == 0 and not last:
+    comps = None
+    last = max(1, pivot_rounds)
+    for turn in range(last + 1):
+        if turn == 0:
             pairs = _first_pairs(buckets)
-        elif not last:
+        elif turn < last:
             place = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "node", "at", "comp")
-            pivots = buckets.groupBy("shingle").agg(F.min(place).alias("p")).select("shingle", F.col("p.node").alias("other"), F.col("p.at").alias("other_at"), F.col("p.comp").alias("other_comp"))
-            pairs = _pair(buckets.join(pivots, "shingle").filter(F.col("comp") != F.col("other_comp")))
+            pivots = materialize(_by_bucket(buckets, F.min(F.when(_leads(F.col("at")), place)).alias("p")).select(*key, F.col("p.node").alias("other"), F.col("p.at").alias("other_at"), F.col("p.comp").alias("other_comp")), "pivots")
+            pairs = _pair(buckets.join(pivots, key).filter(F.col("comp") != F.col("other_comp")))
         else:
-            if turn == 0:
-                firsts = told.filter("node = other").select("shingle", "node", "at")
-                buckets = materialize(buckets.select("shingle", "node", "at").union(firsts).distinct().withColumn("comp", F.col("node")), "buckets")
-            other = buckets.select(F.col("shingle").alias("same"), F.col("node").alias("other"), F.col("at").alias("other_at"), F.col("comp").alias("other_comp"))
-            rule = (F.col("node") < F.col("other")) & (F.col("comp") != F.col("other_comp")) & _plausible(F.col("at"), F.col("other_at"))
-            pairs = _pair(buckets.join(other, (F.col("shingle") == F.col("same")) & rule))
+            pairs = _pairs_left(buckets)
         pairs = materialize(pairs, "pairs")
         links.append(materialize(_verify(pairs, docs, reps, size), "links"))
         comps = materialize(connected_components(reduce(DataFrame.unionByName, links)), "comps")
-        if last:
+        if turn == last:
             break
         # go on with the members that are not yet compared with all others of their bucket
         if turn == 0:
-            rest = buckets.filter("members > 2").select("shingle", "node", "at").distinct()
+            rest = buckets.filter("members > 2 or salt > 0").select(*key, "node", "at").distinct()
         else:
-            rest = buckets.join(pivots.select("shingle", "other"), "shingle").filter("node != other").select("shingle", "node", "at")
-        rest = rest.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("shingle", "node", "at", F.coalesce("component", "node").alias("comp"))
-        open_ = rest.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("shingle")
-        buckets = materialize(rest.join(open_, "shingle"), "buckets")
+            rest = buckets.join(pivots.select(*key, "other"), key).filter("node != other").select(*key, "node", "at")
+        rest = rest.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select(*key, "node", "at", F.coalesce("component", "node").alias("comp"))
+        rest = materialize(rest, "rest")
+        open_ = _by_bucket(rest, F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(_leads(F.col("at"))).alias("leads")).filter("lo != hi and leads").select(*key)
+        buckets = materialize(rest.join(open_, key), "buckets")
         if buckets.isEmpty():
             break
 

@@ -68,6 +68,49 @@ def test_near_copies_of_one_text_in_every_round(spark):
         assert sorted(map(tuple, jaccard_join.jaccard_components(docs, pivot_rounds=rounds).collect()), key=str) == want
 
 
+def test_rows_without_an_id_link_and_bridge(spark):
+    base = [f"w{i}" for i in range(60)]
+    text = lambda changed: " ".join(f"x{i}" if i in changed else w for i, w in enumerate(base))
+    apart = " ".join(f"q{i}" for i in range(40))
+    # 9 and 30 are too far from each other, the row without an id is near to both
+    rows = [(5, apart), (None, apart + " tail"), (9, text({0})), (None, text({0, 59})), (30, text({59})), (31, text({0, 1, 2, 57, 58, 59})), (None, "not near to anything here at all"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plainly(rows)
+    assert (None, 37, 5) in want and (30, 56, 9) in want
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=str) == want
+    only = spark.createDataFrame([(None, apart), (None, apart + " tail")], "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.jaccard_components(only).collect()] == [None, None]
+
+
+def test_hot_shingles_are_dealt_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 0)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(50)]
+    rows = []
+    for k in range(150):
+        words = list(base) if k % 3 else [f"u{i}" for i in range(40)] + [f"own{k}" for _ in range(2)]
+        for i in rng.integers(0, len(words), rng.integers(0, 6)):
+            words[i] = f"x{rng.integers(0, 20)}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plainly(rows)
+    for rounds in (1, 3):
+        assert sorted(map(tuple, jaccard_join.jaccard_components(docs, pivot_rounds=rounds).collect()), key=str) == want
+
+
+def test_one_passage_in_all_texts_forms_no_pairs(spark, monkeypatch):
+    """Texts that share a passage but aren't similar: nobody leads in its buckets, so none is joined with itself."""
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(k, " ".join(f"o{k}_{i}" for i in range(20)) + " " + passage) for k in range(60)]
+    left = []
+    own = jaccard_join._pairs_left
+    monkeypatch.setattr(jaccard_join, "_pairs_left", lambda b: left.append(b.count()) or own(b))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(r.doc_id == r.component_id for r in got.collect())
+    assert not left
+
+
 def test_edge_rows(spark):
     long = " ".join(f"v{i % 9001}" for i in range(60_000))
     rows = [(5, None), (6, ""), (7, " \n"), (3, "one two"), (2, "ONE  two"), (4, "two one"), (None, "one two"), (9, long), (1, long + " tail"), (2, "one two"), (None, "alone here"), (8, "É a b c d e"), (10, "é a b c d e")]
