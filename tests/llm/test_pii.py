@@ -2,6 +2,7 @@ import hashlib
 import re
 import tempfile
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -82,13 +83,46 @@ def test_any_mix(spark, texts):
     check(docs, as_op(spark, docs))
 
 
-def test_boosting_adds_what_looks_like_the_base_spans(spark):
-    docs = [(i, f"reach us: user{i}.x@mail{i % 7}.example.com or not {i}") for i in range(300)]
-    docs += [(1000 + i, f"reach us: user{i} (at) mail{i}.example.com or not") for i in range(4)]
-    docs += [(2000 + i, f"numbers 12 34 56 and version 1.{i}") for i in range(50)]
+def luhn_number(rng, n):
+    stem = "".join(map(str, rng.integers(0, 10, n - 1)))
+    return next(stem + str(d) for d in range(10) if luhn(stem + str(d)))
+
+
+def test_added_spans_of_planted_texts(spark):
+    """Hidden personal data is found, look-alikes are left alone; neither is in the texts that the trees learn from."""
+    rng = np.random.default_rng(4)
+    filler = ["ther", "onwhor", "und", "elle", "taque", "ringble", "heheor", "mente"]
+    words = lambda n: " ".join(rng.choice(filler, n))
+    mail = lambda: (f"{rng.choice(filler)}.{rng.integers(1, 99)}", f"mail{rng.integers(1, 9)}.example.com")
+    ip = lambda: ".".join(map(str, rng.integers(1, 256, 4)))
+    phone = lambda: f"({rng.integers(200, 999)}) {rng.integers(200, 999)}-{rng.integers(1000, 9999)}"
+    docs = []
+    for i in range(400):
+        docs.append((i, f"{words(9)} {'@'.join(mail())} {words(7)} {ip()} {words(6)} {luhn_number(rng, 16)} {words(5)} +1 {phone()} {words(8)}"))
+    hidden, alike = {}, {}
+    for i in range(60):
+        user, host = mail()
+        forms = [f"{user} (at) {host}", f"{user}[at]{host}", f"{user} at {host.replace('.', ' dot ')}"]
+        shown = [forms[i % 3], ip().replace(".", "[.]"), luhn_number(rng, 13), f"1 {phone()}"]
+        hidden[1000 + i] = shown
+        docs.append((1000 + i, " ".join(x for s in shown for x in (words(6), s)) + " " + words(6)))
+        card = luhn_number(rng, 16)
+        false = [f"{rng.choice(filler)} (at) {rng.choice(filler)}.{rng.choice(filler)}", f"{rng.integers(300, 999)}[.]{rng.integers(300, 999)}[.]3[.]4", card[:15] + str((int(card[15]) + 3) % 10), f"order no. 1 {phone()}"]
+        alike[2000 + i] = false
+        docs.append((2000 + i, " ".join(x for s in false for x in (words(6), s)) + " " + words(6)))
     got = {r.doc_id: r.spans for r in as_op(spark, docs).collect()}
-    assert all(got[i].count(",") == 0 and got[i].startswith("email:10:") for i in range(300))
-    assert all(got[2000 + i] == "" for i in range(50))
+    text = dict(docs)
+    spans = lambda d: [text[d][int(s):int(e)] for _, s, e in (x.split(":") for x in got[d].split(",") if x)]
+    found = {kind: sum(any(want in s or s in want for s in spans(d)) for d, want in ((d, shown[k]) for d, shown in hidden.items())) for k, kind in enumerate(KINDS)}
+    wrong = sum(len(spans(d)) for d in alike)
+    assert all(n >= 54 for n in found.values()), found
+    assert wrong <= 0.05 * sum(found.values()), (wrong, found)
+    assert all(got[i].count(",") == 3 for i in range(400))
+
+
+def test_no_base_spans_nothing_added(spark):
+    docs = [(i, f"user{i} (at) mail.example.com and 555-123-{1000 + i}") for i in range(50)]
+    assert {r.spans for r in as_op(spark, docs).collect()} == {""}
 
 
 def test_empty(spark):
