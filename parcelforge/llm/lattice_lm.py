@@ -18,15 +18,17 @@ Work on the cluster:
 
 Defined results: null and empty texts are one end; a null id counts as training text and
 isn't held out; repeated rows are counted and scored each for itself; words of any length
-are scored whole; without training texts all counts are zero and the weights stay as the
+are scored whole, the long ones in blocks of places, with 16 bytes a place held throughout; without training texts all counts are zero and the weights stay as the
 vocabulary gives them; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import exp, inf, log
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ from parcelforge.session import materialize
 HELD_WORDS = 300_000
 #: Substrings of words that are looked up at once.
 CELLS = 1_500_000
+#: Words of this many bytes are walked place by place, their arcs looked up for BLOCK places at once.
+LONG, BLOCK = 512, 8192
 _BYTE = np.random.default_rng(41).integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = 0xD6E8FEB86659FD93
 _SLOTS = 1 << 18
@@ -127,9 +131,10 @@ class Lattice:
         return out
 
     def chunks(self, batch: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(numbers in the batch, sizes, padded bytes) of words of like size; each word gets its blank."""
+        """(numbers in the batch, sizes, padded bytes) of words of like size, all but the long ones; each word gets its blank."""
         sizes = np.fromiter(map(len, batch), np.int64, len(batch)) + 1
         order = np.argsort(sizes, kind="stable")
+        order = order[: np.searchsorted(sizes[order], LONG)]
         at = 0
         while at < len(order):
             end = min(len(order), at + 4096)
@@ -170,12 +175,72 @@ class Lattice:
             alpha[:, end] = self._sum(alpha[:, start:end] + log_p[piece])
         return alpha
 
+    def _arcs_of(self, raw: np.ndarray, lo: int, hi: int, by_end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, pieces) of one word's arcs that end in (lo, hi], or start in [lo, hi), in that order."""
+        base, top = (max(0, lo - self.widest), hi) if by_end else (lo, min(len(raw), hi + self.widest))
+        self._powers(top - base + 1)
+        run = np.zeros(top - base + 1, np.uint64)
+        np.cumsum(_BYTE[raw[base:top]] * self.up[: top - base], out=run[1:])
+        sizes = np.arange(1, self.widest + 1)
+        here = np.arange(lo, hi)[:, None]
+        start, end = np.broadcast_arrays(*((here + 1 - sizes, here + 1) if by_end else (here, here + sizes)))
+        fits = (start >= 0) & (end <= len(raw))
+        s, e = np.where(fits, start - base, 0), np.where(fits, end - base, 0)
+        piece = np.where(fits, self.find((run[e] - run[s]) * self.down[s]), -1)
+        found = np.nonzero(piece >= 0)
+        return start[found], end[found], piece[found]
+
+    @staticmethod
+    def _walk(value: array, at: list[int], arcs: list[int], others: list[int], lp: list[float]) -> None:
+        """Log sums into ``value`` at the places ``at``, each over its next ``arcs`` arcs from ``others``."""
+        k = 0
+        for place, n in zip(at, arcs, strict=True):
+            if n == 1:
+                value[place] = value[others[k]] + lp[k]
+            elif n:
+                terms = [value[others[j]] + lp[j] for j in range(k, k + n)]
+                top = max(terms)
+                value[place] = top + log(sum([exp(t - top) for t in terms])) if top > -inf else -inf
+            k += n
+
+    def forward_long(self, raw: np.ndarray, log_p: np.ndarray) -> array:
+        """``forward`` for one word of any length."""
+        alpha = array("d", bytes(8)) + array("d", [-inf]) * len(raw)
+        for lo in range(0, len(raw), BLOCK):
+            hi = min(len(raw), lo + BLOCK)
+            start, end, piece = self._arcs_of(raw, lo, hi, by_end=True)
+            arcs = np.bincount(end - lo - 1, minlength=hi - lo).tolist()
+            self._walk(alpha, range(lo + 1, hi + 1), arcs, start.tolist(), log_p[piece].tolist())
+        return alpha
+
+    def expected_long(self, raw: np.ndarray, count: float, log_p: np.ndarray, total: np.ndarray) -> None:
+        """Adds one long word's expected uses to ``total``, arcs looked up again from the end to the start."""
+        alpha = self.forward_long(raw, log_p)
+        whole = alpha[-1]
+        if whole == -inf:
+            return
+        beta = array("d", [-inf]) * len(raw) + array("d", bytes(8))
+        a, b = np.frombuffer(alpha), np.frombuffer(beta)
+        for lo in reversed(range(0, len(raw), BLOCK)):
+            hi = min(len(raw), lo + BLOCK)
+            start, end, piece = (x[::-1] for x in self._arcs_of(raw, lo, hi, by_end=False))
+            arcs = np.bincount(start - lo, minlength=hi - lo)[::-1].tolist()
+            lp = log_p[piece]
+            self._walk(beta, range(hi - 1, lo - 1, -1), arcs, end.tolist(), lp.tolist())
+            total += np.bincount(piece, np.exp(a[start] + lp + b[end] - whole) * count, len(log_p))
+
     def log_probability(self, batch: list[bytes], log_p: np.ndarray) -> np.ndarray:
         out = np.zeros(len(batch))
         for own, sizes, raw in self.chunks(batch):
             out[own] = self.forward(raw, log_p)[np.arange(len(own)), sizes]
+        for i, raw in self._long(batch):
+            out[i] = self.forward_long(raw, log_p)[-1]
         return out
 
+    @staticmethod
+    def _long(batch: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        return ((i, np.frombuffer(b" " + w, np.uint8)) for i, w in enumerate(batch) if len(w) + 1 >= LONG)
+
     def expected(self, batch: list[bytes], counts: np.ndarray, log_p: np.ndarray) -> np.ndarray:
         """Expected uses of every piece in the words, each weighing its count."""
         total = np.zeros(len(log_p))
@@ -193,6 +258,8 @@ class Lattice:
                     use = np.exp(alpha[:, start:end] + through - whole[:, None]) * weight
                 total += np.bincount(piece.ravel() % len(log_p), np.nan_to_num(use).ravel(), len(log_p))
                 beta[:, start:end] = np.logaddexp(beta[:, start:end], through)
+        for i, raw in self._long(batch):
+            self.expected_long(raw, float(counts[i]), log_p, total)
         return total[:-1]
 
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -43,6 +44,18 @@ def test_long_runs(own, theirs):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
 
 
+def test_one_long_piece_takes_linear_time(own):
+    rng = np.random.default_rng(2)
+    took = []
+    for n in (250_000, 1_000_000):
+        piece = bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+        began = time.process_time()
+        ids = own.encode_piece(piece)
+        took.append(time.process_time() - began)
+        assert own.decode(np.array(ids, "<u4").tobytes()) == piece.encode()
+    assert took[1] < 8 * took[0] + 1 and took[1] < 20, took
+
+
 def test_rows(spark, theirs):
     rows = [(1, "Hello wörld", "x"), (2, None, "x"), (3, "", None), (1, "Hello wörld", "y"), (None, "z", "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")

@@ -1,4 +1,5 @@
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -63,6 +64,56 @@ def test_probabilities_of_all_words_sum_to_at_most_one():
     assert np.exp(lattice.log_probability(every, lm._log(weights))).sum() <= 1 + 1e-9
 
 
+def test_long_words_equal_short_ones_and_take_linear_time(monkeypatch):
+    surfaces, start = lm.read_pieces(MODEL)
+    lattice, log_p = lm.Lattice(surfaces), lm._log(start)
+    rng = np.random.default_rng(6)
+    batch = [bytes(rng.choice(list(b"etaoinshr-/.x9"), n).tolist()) for n in (600, 1, 777, 40)] + ["é日本x".encode() * 90]
+    counts = np.arange(1, len(batch) + 1)
+    monkeypatch.setattr(lm, "BLOCK", 100)
+    got = lattice.log_probability(batch, log_p), lattice.expected(batch, counts, log_p)
+    monkeypatch.setattr(lm, "LONG", 1 << 30)
+    want = lattice.log_probability(batch, log_p), lattice.expected(batch, counts, log_p)
+    np.testing.assert_allclose(got[0], want[0], rtol=1e-10)
+    np.testing.assert_allclose(got[1], want[1], rtol=1e-6, atol=1e-9)
+    monkeypatch.undo()
+    took = []
+    for n in (250_000, 1_000_000):
+        word = bytes(rng.integers(97, 123, n, dtype=np.uint8))
+        began = time.process_time()
+        lattice.expected([word], np.ones(1), log_p)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1 and took[1] < 40, took
+
+
+def plain_score(rows, surfaces, p):
+    """The unfitted score by its definition, word by word."""
+    def split(t):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+    learn = [split(t) for i, t in rows if not (i is not None and zlib.crc32(str(i).encode()) % 5 == 1)]
+    total, ends = sum(map(len, learn)), len(learn)
+    stop = (ends + 1) / (total + ends + 2)
+    widest = max(map(len, p))
+
+    def log_p(word):
+        alpha = [1.0] + [0.0] * len(word)  # short words: no need for logarithms
+        for end in range(1, len(word) + 1):
+            alpha[end] = sum(alpha[s] * p.get(word[s:end], 0.0) for s in range(max(0, end - widest), end))
+        return math.log10(alpha[-1])
+
+    return {i: sum(log_p(b" " + w) + math.log10(1 - stop) for w in split(t)) + math.log10(stop) for i, t in rows}
+
+
+def test_unfitted_score_by_its_definition(spark):
+    surfaces, start = lm.read_pieces(MODEL)
+    docs = table(spark, "/root/testdata/sf0.001", "documents").filter("length(text) < 3000")
+    want = plain_score([(r.doc_id, r.text) for r in docs.collect()], surfaces, dict(zip(surfaces, start)))
+    got = {r.doc_id: r.score for r in lm.score(docs, MODEL, rounds=0).collect()}
+    assert len(got) == len(want) > 100
+    for i, w in want.items():
+        assert got[i] == pytest.approx(w, rel=1e-9)
+
+
 def plain_base(rows):
     """The base columns by their definition."""
     def split(t):
