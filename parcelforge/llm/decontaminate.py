@@ -11,9 +11,12 @@ one of them is a necessary prefix; the join uses its rarest. Order of work:
    candidates whose window would begin before or end after the document (length and
    positional bound), and compares all words of the remaining ones (exact verification).
 
-Documents never move: no shuffle of texts and so no hot document or hot passage. Only the
-windows travel, in blocks of at most ``block_windows`` (about 200 bytes each); with a larger
-benchmark, each document passes one block after another and takes its hits along.
+Documents never move: no shuffle of texts and so no hot document or hot passage. Windows are
+cut from the items on the cluster, made distinct and written; only they travel, in blocks of
+about ``block_windows`` rows (window, item), some 200 bytes each, dealt by hash so that
+neither a long item nor a window of many items makes a block larger. The driver holds one
+block at a time. With more than one block, each gives the hits of the documents it hits; they
+are put together by key (id and text) at the end.
 
 Defined results: null or empty texts have no words, no hits and digest of the empty string;
 null or empty items have no windows; repeated items count one by one under their ids, and
@@ -25,14 +28,18 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import map_arrow, table, without
+from parcelforge.llm.common import bounded_batches, map_arrow, table, without
+from parcelforge.llm.spans import row_key
+from parcelforge.session import materialize
 
 #: Bytes of words as they are, A-Z lowered, all else a blank.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -83,20 +90,34 @@ class Windows:
         return at[hit], found[hit]
 
 
-def windows_of(items: list[tuple[str, list[bytes]]], size: int) -> list[Windows]:
-    """Distinct windows by length."""
+def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
+    """Distinct (length, words, item): every window of every item, its words joined by blanks."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = words(text)
+                length = min(size, len(own))
+                starts = range(len(own) - length + 1 if own else 0)
+                for at in range(0, len(starts), 10_000):
+                    part = [b" ".join(own[i : i + length]) for i in starts[at : at + 10_000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([length] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([item] * len(part))], ["length", "words", "item"])
+
+    bounded_batches(benchmark.sparkSession)
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).dropna()
+    return items.mapInArrow(each, "length int, words binary, item string").distinct()
+
+
+def windows_of(rows: pa.Table) -> list[Windows]:
+    """The windows of one block by length."""
     vocabulary: dict[bytes, int] = {}
-    groups: dict[int, dict[tuple[int, ...], list[str]]] = defaultdict(lambda: defaultdict(list))
-    for item, text_words in items:
-        ids = [vocabulary.setdefault(w, len(vocabulary)) for w in text_words]
-        length = min(size, len(ids))
-        for at in range(len(ids) - length + 1 if ids else 0):
-            owners = groups[length][tuple(ids[at : at + length])]
-            if not owners or owners[-1] != item:
-                owners.append(item)
+    groups: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
+    for length, window, item in zip(*(c.to_pylist() for c in rows.columns), strict=True):
+        groups[length][window].append(item)
     out = []
     for length, found in sorted(groups.items()):
-        own = Windows(length, min(SHINGLE, length), np.array(list(found), np.int64), list(found.values()), vocabulary)
+        ids = np.array([[vocabulary.setdefault(w, len(vocabulary)) for w in window.split(b" ")] for window in found], np.int64)
+        own = Windows(length, min(SHINGLE, length), ids, list(found.values()), vocabulary)
         own.shingles = np.unique(own.keys(own.ids))
         out.append(own)
     return out
@@ -155,71 +176,77 @@ def _digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()
 
 
+_FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
+_PART = "key string, size int, hit binary, items array<string>"
+
+
 def find(documents: DataFrame, benchmark: DataFrame, size: int = 10, block_windows: int = 500_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items) of every document.
 
     ``n_hit``: words inside an occurrence of some window; ``items``: ids of the items with
     an occurring window, sorted as strings.
     """
-    parts = [(r.item, words(r.text)) for r in benchmark.select(F.col("item_id").cast("string").alias("item"), "text").dropna().distinct().orderBy("item", "text").toLocalIterator()]
-    blocks: list[list] = [[]]
-    filled = 0
-    for item, text_words in parts:
-        if filled >= block_windows:
-            blocks.append([])
-            filled = 0
-        blocks[-1].append((item, text_words))
-        filled += max(1, len(text_words) - size + 1)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    for k, block in enumerate(blocks):
-        docs = _scan(docs, documents, windows_of(block, size), first=k == 0, last=k == len(blocks) - 1)
-    return docs
-
-
-_PASSED = "doc_id long, text string, hit binary, items array<string>"
-_FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-
-
-def _scan(docs: DataFrame, documents: DataFrame, groups: list[Windows], first: bool, last: bool) -> DataFrame:
-    """Pass the documents through one block; the last block gives the result's columns."""
+    windows = materialize(item_windows(benchmark, size), "windows")
+    blocks = max(1, -(-windows.count() // block_windows))
+    if blocks == 1:
+        return _scan(docs, windows_of(windows.toArrow()))  # at most ``block_windows`` rows
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"), "text")
+    block = F.pmod(F.xxhash64("words", "item"), F.lit(blocks))
+    parts = [materialize(_scan(keyed, windows_of(windows.filter(block == k).toArrow()), part=True), "block-hits") for k in range(blocks)]
+    hits = reduce(DataFrame.union, parts).dropDuplicates(["key", "hit", "items"]).groupBy("key").agg(F.max("size").alias("size"), F.collect_list("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def merged(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_hit = []
+        for n, bits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            n_hit.append(int(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits]), count=n).sum()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_hit, pa.int64()), batch.column(3)], ["key", "n_hit", "items"])
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(words(t)) for t in batch.column(2).to_pylist()], pa.int64())], ["doc_id", "key", "n_words"])
+
+    every = map_arrow(keyed, counted, "doc_id long, key string, n_words long").join(map_arrow(hits, merged, "key string, n_hit long, items array<string>"), "key", "left")
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
+    return every.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), items.alias("items"))
+
+
+def _scan(docs: DataFrame, groups: list[Windows], part: bool = False) -> DataFrame:
+    """Pass the documents through one block: the result's rows, or with ``part`` the hits of the documents that have some."""
     if groups:
-        _rarity(documents, groups)
+        _rarity(docs, groups)
     indexes = [_prefix_index(g) for g in groups]
 
+    def look(text: str | None) -> tuple[np.ndarray, list[str]]:
+        own_words = words(text)
+        hit, items = np.zeros(len(own_words) + 1, np.int64), set()
+        ids = groups[0].word_ids(own_words) if groups else np.zeros(0, np.int64)
+        for own, index in zip(groups, indexes, strict=True):
+            start, window = _matches(own, index, ids)
+            np.add.at(hit, start, 1)
+            np.add.at(hit, start + own.length, -1)
+            for w in set(window.tolist()):
+                items.update(own.items[w])
+        return np.cumsum(hit[:-1]) > 0, sorted(items)
+
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bits, found, sizes = [], [], []
-        before = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True) if not first else None
-        for text in batch.column(1).to_pylist():
-            own_words = words(text)
-            hit, items = np.zeros(len(own_words) + 1, np.int64), set()
-            ids = groups[0].word_ids(own_words) if groups else np.zeros(0, np.int64)
-            for own, index in zip(groups, indexes, strict=True):
-                start, window = _matches(own, index, ids)
-                np.add.at(hit, start, 1)
-                np.add.at(hit, start + own.length, -1)
-                for w in set(window.tolist()):
-                    items.update(own.items[w])
-            covered = np.cumsum(hit[:-1]) > 0
-            if before is not None:
-                old, names = next(before)
-                covered |= np.unpackbits(np.frombuffer(old, np.uint8), count=len(covered)).astype(bool)
-                items.update(names)
-            bits.append(covered)
-            found.append(sorted(items))
-            sizes.append(len(own_words))
-        names = pa.array(found, pa.list_(pa.string()))
-        if not last:
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.packbits(c).tobytes() for c in bits], pa.binary()), names], ["doc_id", "text", "hit", "items"])
-        n_hit = [int(c.sum()) for c in bits]
+        found = [look(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        if part:
+            some = [i for i, (covered, _) in enumerate(found) if covered.any()]
+            return pa.RecordBatch.from_arrays(
+                [batch.column(1).take(pa.array(some, pa.int32())), pa.array([len(found[i][0]) for i in some], pa.int32()), pa.array([np.packbits(found[i][0]).tobytes() for i in some], pa.binary()), pa.array([found[i][1] for i in some], pa.list_(pa.string()))],
+                ["key", "size", "hit", "items"],
+            )
+        n_hit = [int(covered.sum()) for covered, _ in found]
+        items = [names for _, names in found]
         return pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array(sizes, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, found), pa.int64()),
-                pa.array(map(_digest, found), pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), names,
+                batch.column(0), pa.array([len(covered) for covered, _ in found], pa.int64()), pa.array(n_hit, pa.int64()), pa.array(map(len, items), pa.int64()),
+                pa.array(map(_digest, items), pa.string()), pa.array([n > 0 for n in n_hit], pa.bool_()), pa.array(items, pa.list_(pa.string())),
             ],
             ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
         )
 
-    return map_arrow(docs, step, _FOUND if last else _PASSED)
+    return map_arrow(docs, step, _PART if part else _FOUND)
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
