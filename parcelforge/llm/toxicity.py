@@ -2,7 +2,9 @@
 
 The kernel compares two windows of text by their shared subsequences of three symbols;
 a subsequence that spans s symbols counts decay**s, so inserted characters weaken a match
-but don't break it. A window is a run of start positions; sentences are covered by all
+but don't break it, up to two of them between neighbours; beyond that a subsequence isn't
+counted. A word with a sign after every letter keeps two thirds of each subsequence but
+fewer of them fit in a window, so it can go unseen. A symbol is a code point; those without a width aren't symbols at all. A window is a run of start positions; sentences are covered by all
 their windows, and a text is as toxic as its worst window.
 
 Training has labelled texts only, so windows are learned by turns: start from windows on
@@ -12,7 +14,7 @@ of toxic texts as positive and the worst of clean ones as negative, and fit agai
 The machine is linear in the kernel's values at the landmarks, and each of those is linear
 in the window's subsequences. So the fitted machine folds, without loss, into one table
 with a weight for every three symbols (64**3 numbers): a text is scored in one vectorised
-pass over its bytes, at a cost that doesn't depend on the number of landmarks.
+pass over its symbols, at a cost that doesn't depend on the number of landmarks.
 
 Bounds: at most ``max_texts`` labelled texts per class of at most ``max_chars`` characters
 each are fitted on, by hash order of the id; scoring reads every whole text.
@@ -34,33 +36,44 @@ from pyspark.sql import functions as F
 
 from parcelforge.llm.common import fold, map_arrow, table, without
 
-DECAY = 0.6
+DECAY = 0.8
 #: Distances from the first to the second and from the second to the third symbol.
-STEPS = [(1, 1), (1, 2), (2, 1), (1, 3), (2, 2), (3, 1)]
+STEPS = [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]
 WEIGHTS = np.array([DECAY ** (a + b + 1) for a, b in STEPS], np.float32)
 REACH = max(a + b for a, b in STEPS)
 #: Start positions of a window.
 WINDOW = 8
 SYMBOLS = 64
-#: Bytes that are scored at once: keeps the work arrays small.
+#: Symbols that are scored at once: keeps the work arrays small.
 CHUNK = 1 << 19
 
 
-def _symbol(byte: int) -> int:
-    """0 blank or sign, 1-26 letters in either case, 27-36 digits, 37 first and 38-63 later bytes of other letters."""
-    c = chr(byte)
-    if byte < 128:
-        return ord(c.lower()) - 96 if c.isalpha() else 27 + byte - 48 if c.isdigit() else 0
-    return 37 if byte >= 0xC0 else 38 + byte % 26
+#: Code points that take no room in a line.
+WIDTHLESS = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufe0e\ufe0f\ufeff"
+_NONE = 255
 
 
-_TABLE = bytes(_symbol(b) for b in range(256))
+def _symbol(code: int) -> int:
+    """0 blank or sign, 1-26 letters in either case, 27-36 digits, 37-63 other letters; _NONE without a width."""
+    c = chr(code)
+    if code < 128:
+        return ord(c.lower()) - 96 if c.isalpha() else 27 + code - 48 if c.isdigit() else 0
+    return _NONE if c in WIDTHLESS else 37 + code % 27 if c.isalpha() else 0
+
+
+#: By code point; all from the last on count as signs.
+_TABLE = np.array([_symbol(c) for c in range(0x10000)], np.uint8)
+
+
+def visible(text: str | None) -> str:
+    """The text without the code points that have no width."""
+    return (text or "").translate(dict.fromkeys(map(ord, WIDTHLESS)))
 
 
 def symbols(text: str | None) -> np.ndarray:
-    """One symbol a byte, with blanks before and after."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
-    return np.frombuffer(bytes(WINDOW) + raw + bytes(WINDOW + REACH), np.uint8).astype(np.int32)
+    """One symbol a code point, with blanks before and after."""
+    raw = _TABLE[np.minimum(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)]
+    return np.concatenate([np.zeros(WINDOW, np.uint8), raw[raw != _NONE], np.zeros(WINDOW + REACH, np.uint8)]).astype(np.int32)
 
 
 def _triples(codes: np.ndarray) -> np.ndarray:
@@ -190,16 +203,16 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
     if share in (0.0, 1.0):
         return blank
     rng = np.random.default_rng(seed)
-    toxic = [t for t, y in zip(texts, labels, strict=True) if y]
-    clean = [t for t, y in zip(texts, labels, strict=True) if not y]
+    toxic = [visible(t) for t, y in zip(texts, labels, strict=True) if y]
+    clean = [visible(t) for t, y in zip(texts, labels, strict=True) if not y]
     codes = {1: [symbols(t).astype(np.uint8) for t in toxic], 0: [symbols(t).astype(np.uint8) for t in clean]}
     seeds = _seeds(toxic, clean)
     positive = []
     for text, own in zip(toxic, codes[1], strict=True):
         words = sorted({w.strip(".,;:!?\"'()") for w in text.lower().split()} & seeds.keys(), key=lambda w: (-seeds[w], w))[:3]
         words = [w for w in words if 2 * seeds[w] > seeds[words[0]]]
-        raw = bytes(WINDOW) + text.encode("utf-8", "surrogatepass").lower()
-        starts = [at for w in words if (at := raw.find(w.encode("utf-8", "surrogatepass"))) >= 0]
+        raw = "\0" * WINDOW + "".join(c.lower() if c.isascii() else c for c in text)
+        starts = [at for w in words if (at := raw.find(w)) >= 0]
         positive += list(_windows(own, np.array(starts))) if starts else []
     spread = 3 + 12_000 // len(clean)
     negative = [w for own in codes[0] for w in _windows(own, rng.integers(0, len(own) - WINDOW - REACH + 1, spread))]
