@@ -17,9 +17,12 @@ are still large are dealt out in chunks, compared chunk against chunk, each a gr
 own; a block returns sums and a spanning forest, never its pairs. Rows that met in an unsplit
 leaf are not dealt to each other again in later trees.
 
-Bounds: trees and centres are fitted on at most ``sample_rows`` vectors by hash order; all
-vectors are indexed. The forest (a direction for each split) and the centres are broadcast;
-their size depends on the sample, not on the input.
+Bounds: trees are fitted on one vector of fifty, but no fewer than ``sample_rows`` and no more
+than ``most_sample_rows``, by hash order (centres on the first 8,000 of them); all vectors are
+indexed. The forest (a direction for each split) and the centres are broadcast; their size is
+bounded by the sample's. Leaves hold about ``leaf_rows`` vectors up to 10 million rows, and
+total / 25,000 beyond. As a link may be parted at every split, the number of trees grows with
+the depth: one more for each three levels beyond the seventh.
 
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component
 link with nothing, nor do vectors of different lengths; rows with equal vectors are linked
@@ -223,7 +226,7 @@ def _compare(threshold: float):
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.95, trees: int = 5, spill: float = 0.08, leaf_rows: int = 400, sample_rows: int = 20_000, least: int = 12, most_centres: int = 512, seed: int = 5,
+    vectors: DataFrame, threshold: float = 0.95, trees: int = 5, spill: float = 0.08, leaf_rows: int = 400, sample_rows: int = 20_000, most_sample_rows: int = 200_000, least: int = 12, most_centres: int = 512, seed: int = 5,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -234,7 +237,7 @@ def near_duplicates(
     rows = rows.withColumn("node", F.when(usable, F.xxhash64(plain)))
     whole = materialize(rows.filter("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least_id"), F.first("embedding").alias("embedding")), "vectors")
     lengths = sorted(r[0] for r in whole.select(F.size("embedding").alias("d")).distinct().collect())
-    parts = [_same_length(whole.filter(F.size("embedding") == d), threshold, trees, spill, leaf_rows, sample_rows, least, most_centres, seed) for d in lengths]
+    parts = [_same_length(whole.filter(F.size("embedding") == d), threshold, trees, spill, leaf_rows, (sample_rows, most_sample_rows), least, most_centres, seed) for d in lengths]
     result = rows.select("vec_id", "node")
     if not parts:
         return result.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -246,14 +249,16 @@ def near_duplicates(
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _same_length(whole: DataFrame, threshold: float, trees: int, spill: float, leaf_rows: int, sample_rows: int, least: int, most_centres: int, seed: int) -> DataFrame:
+def _same_length(whole: DataFrame, threshold: float, trees: int, spill: float, leaf_rows: int, sample_rows: tuple[int, int], least: int, most_centres: int, seed: int) -> DataFrame:
     """(node, n_links, component_id) of distinct vectors of one length."""
     total = whole.count()
-    sample = whole.orderBy(F.xxhash64("node")).limit(sample_rows).select("embedding").toArrow()  # at most sample_rows vectors
+    sample = whole.orderBy(F.xxhash64("node")).limit(min(sample_rows[1], max(sample_rows[0], total // 50))).select("embedding").toArrow()  # at most most_sample_rows vectors
     unit = _units(sample["embedding"].combine_chunks())
     rng = np.random.default_rng(seed)
     centres = dense_centres(unit[: min(len(unit), 8000)], threshold, least, most_centres)
-    forest = [grow(unit, max(8, leaf_rows * len(unit) // max(1, total)), rng, spill, threshold) for _ in range(trees)]
+    leaf = max(8, leaf_rows * len(unit) // max(1, total))
+    trees += max(0, int(np.log2(max(1, len(unit) / leaf))) - 7) // 3
+    forest = [grow(unit, leaf, rng, spill, threshold) for _ in range(trees)]
     bases = np.cumsum([0] + [t.leaves for t in forest])
     unsplit = {int(base) + int(x) for base, t in zip(bases, forest, strict=False) for x in t.whole}
 

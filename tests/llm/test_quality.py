@@ -38,6 +38,14 @@ def test_held_out_accuracy_on_the_corpus(spark):
     assert got.filter(F.col("held_out") != (fold(F.col("doc_id")) == 0)).count() == 0
 
 
+def test_repeated_ids_are_one_row_of_the_fit(spark):
+    docs = table(spark, SF, "documents").limit(300)
+    labels = table(spark, SF, "labels")
+    rows = np.random.default_rng(0).random((20, 16)) * 10
+    once, thrice = quality.train(docs, labels), quality.train(docs.union(docs).union(docs), labels)
+    assert np.array_equal(once.score(rows), thrice.score(rows))
+
+
 def test_edge_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "A quiet line.", 5), (1, None, 5), (3, "word " * 200_000, 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(2, 0, None), (3, 1, 0), (None, 1, 1), (2, 0, None)], "doc_id long, quality int, toxic int")

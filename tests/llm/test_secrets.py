@@ -82,6 +82,14 @@ def test_weak_parts_only_with_their_complement(spark):
     assert got[8] == "assign:0:49"
 
 
+def test_reach_is_from_end_to_start(spark):
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
+    url = "https://db.example.com/" + "x" * 900
+    docs = [(1, f"{url} {key}"), (2, f"{key} {url}"), (3, f"token={'Zz9' * 400} {url}"), (4, f"{url}{' ' * 399} {key}"), (5, f"{url}{' ' * 401} {key}"), (6, f"{key}{' ' * 401} {url}")]
+    got = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x] for r in as_op(spark, docs).collect()}
+    assert got == {1: ["endpoint", "key"], 2: ["key", "endpoint"], 3: ["assign", "endpoint"], 4: ["endpoint", "key"], 5: [], 6: []}
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["password", "Token", "=", ":", " ", "'", '"', "AKIA", "ABCD1234", "0123456789", "abcdef", "é", "𝒳", "api_key", "g", "-"]), max_size=14).map("".join), min_size=1, max_size=30))
 def test_any_mix(spark, texts):

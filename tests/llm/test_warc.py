@@ -49,6 +49,13 @@ def test_edge_rows(spark):
     assert through(spark, pages.limit(0)).count() == 0
 
 
+def test_many_repeated_digests_are_joined_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_BYTES", 0)
+    rows = [(i, "z" * 1200 if i % 3 else f"{i % 5} " * 600 if i % 2 else "small" if i % 4 else None) for i in range(300)] + [(None, "z" * 1200)]
+    pages = spark.createDataFrame([(a, "http://h", b) for a, b in rows], "page_id long, url string, html string")
+    assert sorted(map(tuple, through(spark, pages).collect()), key=str) == plainly(rows)
+
+
 def test_pushdown_and_foreign_archives(spark, tmp_path):
     warc.register(spark)
     for k in range(3):
