@@ -9,11 +9,11 @@ Texts with the same shingle set are one node, so exact copies never form pairs.
    partner a shingle among its first n - ceil(3n/4) + 1;
 3. prefixes meet on the shingle. Shingles of one node only drop out. In every other bucket,
    the pivot (the member with the fewest rarer shingles) is paired with all others: a number
-   of pairs in proportion to the bucket, whatever its size. A shingle that the count table
-   holds for hot is dealt over as many parts as there are shuffle partitions, each with a
-   pivot of its own, so no task gets all its rows. Pairs pass the length filter and the
-   positional filter, must share as much of their prefixes as similar sets do, and are made
-   distinct;
+   of pairs in proportion to the bucket, whatever its size. A shingle that alone may fill a
+   quarter of a shuffle partition, by the count table, is dealt over all partitions, each part
+   with a pivot of its own, so no task gets all its rows. Pairs pass the length filter and
+   the positional filter, must share as much of their prefixes as similar sets do, and are
+   made distinct;
 4. the pairs are verified: the suffix filter compares counts by key range, then the sets are
    intersected;
 5. links give components; buckets whose members are all in one component are done, and in
@@ -45,14 +45,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelforge.graph.components import connected_components
-from parcelforge.llm.common import bounded_batches, by_size, map_arrow, table, without
+from parcelforge.llm.common import BROADCAST_BYTES, bounded_batches, by_size, map_arrow, table, without
 from parcelforge.llm.shingles import set_key, shingle_keys
 from parcelforge.session import materialize
 
 CELLS = 1 << 22
 _BLOCK = 1 << 14
-#: A shingle is hot where its cell counts this many sets, and HOT_SHARE times the mean cell.
-HOT_SETS, HOT_SHARE = 512, 16
+#: A shingle is dealt where its cell counts this many sets or more, and HOT_SHARE of the prefix rows of a mean shuffle partition.
+HOT_SETS, HOT_SHARE = 1024, 0.25
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
@@ -97,13 +97,18 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
+def _hot(sketch: np.ndarray, parts: int) -> float:
+    """The count from which on a cell's shingles are dealt; a prefix is about a quarter of a set."""
+    return max(HOT_SETS, HOT_SHARE * float(sketch.sum(dtype=np.float64)) / 4 / parts)
+
+
 def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray, parts: int) -> DataFrame:
     """(shingle, salt, node, at): a task gives each set once; ``at`` packs set size and position.
 
     The salt deals the rows of hot shingles over ``parts`` by their node; it is 0 for others.
     """
     cells = sketch.tobytes()
-    hot = max(HOT_SETS, HOT_SHARE * float(sketch.mean()))
+    hot = _hot(sketch, parts)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = np.frombuffer(cells, np.uint32)
@@ -159,8 +164,10 @@ def _verify(pairs: DataFrame, documents: DataFrame, reps: DataFrame, size: int)
     Texts are fetched by the least id of their node, those without an id by shingling them.
     """
     wanted = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node"), "candidates")
-    nameless = wanted.filter("doc_id is null").limit(1).count() > 0
-    ids = by_size(wanted.select("doc_id").dropna())
+    named, nameless = wanted.agg(F.count("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    short = (named + nameless) * 8 <= BROADCAST_BYTES
+    ids = wanted.select("doc_id").dropna()
+    ids = F.broadcast(ids) if short else ids
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = [shingle_keys(t, size) for t in batch.column(0).to_pylist()]
@@ -171,8 +178,10 @@ def _verify(pairs: DataFrame, documents: DataFrame, reps: DataFrame, size: int)
     if nameless:
         texts = texts.union(documents.filter("doc_id is null").select("text"))
     sets = map_arrow(texts, step, "node long, keys array<long>, ranges array<smallint>")
-    # ids may repeat with other texts, and nameless texts are unchecked: only what pairs name goes on
-    sets = sets.join(by_size(wanted.select("node")), "node", "left_semi").dropDuplicates(["node"])
+    if nameless:  # only what pairs name goes on
+        nodes = wanted.select("node")
+        sets = sets.join(F.broadcast(nodes) if short else nodes, "node", "left_semi")
+    sets = sets.dropDuplicates(["node"])
     first = sets.select(F.col("node").alias("a"), F.col("keys").alias("keys_a"), F.col("ranges").alias("ranges_a"))
     second = sets.select(F.col("node").alias("b"), F.col("keys").alias("keys_b"), F.col("ranges").alias("ranges_b"))
     both = pairs.join(first, "a").join(second, "b")
@@ -211,27 +220,20 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
     return both.filter(shared >= within).select("a", "b")
 
 
-def _by_bucket(buckets: DataFrame, *aggregates: Column) -> DataFrame:
-    """``aggregates`` of whole buckets, one row for each (shingle, salt): joined on both, a hot bucket stays dealt."""
-    salts = buckets.select("shingle", "salt").distinct()
-    return salts.join(buckets.groupBy("shingle").agg(*aggregates), "shingle")
-
-
 def _pairs_left(buckets: DataFrame) -> DataFrame:
     """Distinct (a, b) of all leading members with all members of other components, by shingle and size band.
 
     A band is as wide as the length filter allows, so partners are in the same or the next
-    band either way. The leading rows are told to every part of a hot bucket.
+    band either way.
     """
     band = F.floor(F.log(F.shiftright("at", 32).cast("double")) / F.log(F.lit(4 / 3)) + 1e-9).cast("int")
     rows = buckets.withColumn("band", band)
     leading = rows.filter(_leads(F.col("at"))).withColumn("band", F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])))
     leading = leading.select("shingle", "band", F.col("node").alias("other"), F.col("at").alias("other_at"), F.col("comp").alias("other_comp"))
-    leading = leading.join(rows.select("shingle", "salt", "band").distinct(), ["shingle", "band"])
-    return _pair(rows.join(leading, ["shingle", "salt", "band"]).filter(F.col("comp") != F.col("other_comp")))
+    return _pair(rows.join(leading, ["shingle", "band"]).filter(F.col("comp") != F.col("other_comp")))
 
 
-def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int = 3) -> DataFrame:
+def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document, at similarity 0.75 of ``size``-word shingles."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -254,14 +256,17 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
 
     links: list[DataFrame] = []
     comps = None
-    last = max(1, pivot_rounds)
+    # parts of a dealt bucket are joined with each other from the second round on only
+    last = max(1, pivot_rounds) + bool((sketch >= _hot(sketch, parts)).any())
     for turn in range(last + 1):
         if turn == 0:
             pairs = _first_pairs(buckets)
         elif turn < last:
             place = F.struct(F.col("at").bitwiseAND(0xFFFFFFFF).alias("place"), "node", "at", "comp")
-            pivots = materialize(_by_bucket(buckets, F.min(F.when(_leads(F.col("at")), place)).alias("p")).select(*key, F.col("p.node").alias("other"), F.col("p.at").alias("other_at"), F.col("p.comp").alias("other_comp")), "pivots")
-            pairs = _pair(buckets.join(pivots, key).filter(F.col("comp") != F.col("other_comp")))
+            # one row a bucket, from partial minima; while these are few the buckets' rows stay where they are
+            pivots = materialize(buckets.groupBy("shingle").agg(F.min(F.when(_leads(F.col("at")), place)).alias("p")).select("shingle", F.col("p.node").alias("other"), F.col("p.at").alias("other_at"), F.col("p.comp").alias("other_comp")), "pivots")
+            pivots = by_size(pivots, 32)
+            pairs = _pair(buckets.join(pivots, "shingle").filter(F.col("comp") != F.col("other_comp")))
         else:
             pairs = _pairs_left(buckets)
         pairs = materialize(pairs, "pairs")
@@ -271,13 +276,12 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
             break
         # go on with the members that are not yet compared with all others of their bucket
         if turn == 0:
-            rest = buckets.filter("members > 2 or salt > 0").select(*key, "node", "at").distinct()
+            rest = buckets.filter("members > 2 or salt > 0").select("shingle", "node", "at").distinct()
         else:
-            rest = buckets.join(pivots.select(*key, "other"), key).filter("node != other").select(*key, "node", "at")
-        rest = rest.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select(*key, "node", "at", F.coalesce("component", "node").alias("comp"))
-        rest = materialize(rest, "rest")
-        open_ = _by_bucket(rest, F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(_leads(F.col("at"))).alias("leads")).filter("lo != hi and leads").select(*key)
-        buckets = materialize(rest.join(open_, key), "buckets")
+            rest = buckets.join(pivots.select("shingle", "other"), "shingle").filter("node != other").select("shingle", "node", "at")
+        rest = rest.join(comps.select(F.col("id").alias("node"), "component"), "node", "left").select("shingle", "node", "at", F.coalesce("component", "node").alias("comp"))
+        open_ = materialize(rest.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(_leads(F.col("at"))).alias("leads")).filter("lo != hi and leads").select("shingle"), "open")
+        buckets = materialize(rest.join(by_size(open_), "shingle"), "buckets")
         if buckets.isEmpty():
             break
 
