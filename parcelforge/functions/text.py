@@ -17,8 +17,9 @@ ROAD_SUFFIXES = {
 }
 # Street-type spellings, right and wrong, and their short forms.
 STREET_WORDS = {
-    "STREET": "ST", "STR": "ST", "STRET": "ST", "STRRET": "ST", "STEET": "ST", "AVENUE": "AVE", "AV": "AVE", "AVNUE": "AVE", "AVENU": "AVE",
-    "ROAD": "RD", "DRIVE": "DR", "BOULEVARD": "BLVD", "COURT": "CT", "PLACE": "PL", "CRESCENT": "CRES", "LANE": "LN", "TRAIL": "TRL",
+    "STREET": "ST", "STRT": "ST", "STRET": "ST", "STRRET": "ST", "AVENUE": "AVE", "AVNUE": "AVE", "AVENEU": "AVE", "AVENUEE": "AVE",
+    "ROAD": "RD", "DRIVE": "DR", "DRV": "DR", "BOULEVARD": "BLVD", "BOULVARD": "BLVD", "COURT": "CRT", "CRESCENT": "CRES", "CRESCANT": "CRES",
+    "PLACE": "PL", "TERRACE": "TER", "TERACE": "TER", "LANE": "LN", "LAEN": "LN", "TRAIL": "TRL", "TRAL": "TRL",
 }
 # Compass words.
 DIRECTIONS = {"NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHWEST": "NW", "NORTHEAST": "NE", "SOUTHWEST": "SW", "SOUTHEAST": "SE"}
@@ -130,9 +131,9 @@ def search_text(query: Column) -> Column:
 def permit_rooms(text: Column) -> Column:
     """struct(bedrooms, bathrooms, confidence) told by a permit's text."""
     low = F.lower(text)
-    beds = F.regexp_extract(low, r"(\d+)\s*(?:bed(?:room)?s?)\b", 1).try_cast("int")
-    baths = F.regexp_extract(low, r"(\d+(?:\.\d+)?)\s*(?:full\s+)?(?:bath(?:room)?s?)\b", 1).try_cast("double")
-    half = low.rlike(r"half[\s-]*bath")
+    beds = F.regexp_extract(low, r"([0-9]+)\s*bed", 1).try_cast("int")
+    baths = F.regexp_extract(low, r"([0-9]+(?:\.[0-9]+)?)\s*bath", 1).try_cast("double")
+    half = low.rlike(r"half[- ]?bath|1/2\s*bath")
     whole = F.when(half, F.coalesce(baths, F.lit(0.0)) + 0.5).otherwise(baths)
     sure = F.when(beds.isNotNull() & whole.isNotNull(), 0.82).when(beds.isNotNull() | whole.isNotNull(), 0.72)
     return F.struct(beds.alias("bedrooms"), whole.alias("bathrooms"), sure.alias("confidence"))

@@ -17,7 +17,7 @@ REACH_M = 160.0
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """1 for equal slugs, 0.8 if one contains the other, else 0.4."""
+    """1 for equal names, 0.8 if one contains the other, else 0.4; both trimmed and in lower case."""
     inside = (F.instr(a, b) > 0) | (F.instr(b, a) > 0)
     return F.when(a == b, 1.0).when(F.coalesce(inside, F.lit(False)), 0.8).otherwise(0.4)
 
@@ -26,16 +26,16 @@ def duplicate_pairs(pois: DataFrame, size: float = 0.003) -> DataFrame:
     """Pairs of two sources and one category that are to be merged or reviewed, with confidence.
 
     Points meet in the cells around one of them: a cell is wider than REACH_M in both
-    directions, so no pair is lost.
+    directions, so no pair is lost. An id that two sources share counts for the pair.
     """
-    p = pois.select("entity_id", "source_id", "category", F.coalesce(slug(F.col("name")), F.lit("")).alias("slug"), "lat", "lon").filter("lat is not null and lon is not null")
+    p = pois.select("entity_id", "source_id", "category", F.lower(F.trim(F.coalesce("name", F.lit("")))).alias("plain_name"), "lat", "lon").filter("lat is not null and lon is not null")
     p = p.withColumns({"cx": geo.cell(F.col("lon"), size), "cy": geo.cell(F.col("lat"), size)})
     around = p.withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1))).withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
     a, b = around.alias("a"), p.alias("b")
-    same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.source_id") != F.col("b.source_id")) & (F.col("a.entity_id") < F.col("b.entity_id"))
+    same = (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.category") == F.col("b.category")) & (F.col("a.source_id") != F.col("b.source_id")) & (F.struct("a.entity_id", "a.source_id") < F.struct("b.entity_id", "b.source_id"))
     d = geo.haversine(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    pairs = a.join(b, same).select(F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"), d.alias("distance"), name_similarity(F.col("a.slug"), F.col("b.slug")).alias("name"))
-    score = W_NEAR * F.greatest(F.lit(0.0), 1 - F.col("distance") / NEAR_M) + W_NAME * F.col("name")
+    pairs = a.join(b, same).select(F.col("a.entity_id").alias("a"), F.col("b.entity_id").alias("b"), d.alias("distance"), name_similarity(F.col("a.plain_name"), F.col("b.plain_name")).alias("name"))
+    score = W_NEAR * F.greatest(F.lit(0.0), 1 - F.col("distance") / NEAR_M) + W_NAME * F.col("name") + F.when(F.col("a") == F.col("b"), W_ID).otherwise(0.0)
     return pairs.withColumn("confidence", score).filter(F.col("confidence") >= REVIEW).withColumn("decision", F.when(F.col("confidence") >= AUTO, "auto_merge").otherwise("review"))
 
 

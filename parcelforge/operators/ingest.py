@@ -99,9 +99,10 @@ def census_pivot(rows: DataFrame) -> DataFrame:
 
 
 def merge_crime(rows: DataFrame) -> DataFrame:
-    """One row for each area and type: the greatest count and the greatest rate, whichever of the two there are."""
+    """One row for each source, area, type and year: the greatest count and the greatest rate, whichever of the two there are."""
     is_rate = F.lower("metric").rlike(r"\brates?\b")
-    return rows.groupBy("neighbourhood", "crime_type").agg(F.max(F.when(~is_rate, F.col("amount"))).alias("incidents"), F.max(F.when(is_rate, F.col("amount"))).alias("rate"))
+    keys = [F.coalesce("source_id", F.lit("")).alias("source_id"), "neighbourhood", "crime_type", F.coalesce("year", F.lit(0)).alias("year")]
+    return rows.groupBy(*keys).agg(F.max(F.when(~is_rate, F.col("amount"))).alias("incidents"), F.max(F.when(is_rate, F.col("amount"))).alias("rate"))
 
 
 def crime_year(rows: DataFrame, column: str = "REF_DATE") -> DataFrame:

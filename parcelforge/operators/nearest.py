@@ -6,6 +6,7 @@ by metres; the two stages rank differently, so both are kept.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,10 +61,26 @@ def knn(targets: DataFrame, points: DataFrame, k: int = 3, candidates: int = 25,
 
 
 def nearest_one(targets: DataFrame, points: DataFrame, scaled: bool, candidates: int = 32) -> DataFrame:
-    """The nearest point of every target by squared degrees; ``scaled`` shortens longitudes by the latitude."""
-    near = knn(targets, points, k=candidates, candidates=candidates)
-    squared = near.withColumn("squared", geo.squared_degrees(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon"), scaled))
-    return _ranked(squared, ["target_id"], [F.col("squared"), F.col("point_id")], "first", 1).drop("rank", "first")
+    """The nearest point of every target by squared degrees; ``scaled`` shortens longitudes by the latitude.
+
+    It is looked for among the ``candidates`` nearest by L1 degrees. With s the square found and
+    c the shortening of a longitude, a point whose L1 is d has a square of at least
+    d^2 c^2 / (1 + c^2); where that isn't above s for the farthest candidate, a nearer point may
+    lie beyond it, and the target is looked at again with four times as many.
+    """
+    plane = [F.col(c) for c in ("t_lat", "t_lon", "p_lat", "p_lon")]
+    shorter = F.pow(F.cos(F.radians("t_lat")), 2) if scaled else F.lit(1.0)
+    rest, parts = targets, []
+    while True:
+        near = knn(rest, points, k=candidates, candidates=candidates)
+        near = near.withColumns({"squared": geo.squared_degrees(*plane, scaled), "l1": geo.l1_degrees(*plane)})
+        told = near.groupBy("target_id").agg(F.min("squared").alias("least"), F.max("l1").alias("far"), F.count("*").alias("n"), F.first("t_lat").alias("t_lat"))
+        open_ = materialize(told.filter((F.col("n") >= candidates) & (F.pow("far", 2) * shorter / (1 + shorter) <= F.col("least"))).select("target_id"), "nearest-open")
+        found = _ranked(near.join(open_, "target_id", "left_anti"), ["target_id"], [F.col("squared"), F.col("point_id")], "first", 1).drop("rank", "first", "l1")
+        parts.append(found)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        rest, candidates = rest.join(open_, "target_id", "left_semi"), candidates * 4
 
 
 def comparables(targets: DataFrame, points: DataFrame, matches: Column, k: int = 5) -> DataFrame:

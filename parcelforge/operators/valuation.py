@@ -73,13 +73,27 @@ def confidence_label(score: Column) -> Column:
 
 
 def similar(a: str, b: str, part: float) -> Column:
-    """Within a share of the first; null on either side decides nothing."""
-    return F.coalesce(F.abs(F.col(a) - F.col(b)) <= F.abs(F.col(a)) * part, F.lit(True))
+    """The second lies within a share of the first; what the target doesn't tell decides nothing, what the neighbour doesn't tell excludes it."""
+    return F.col(a).isNull() | F.coalesce(F.col(b).between(F.col(a) * (1 - part), F.col(a) * (1 + part)), F.lit(False))
+
+
+def close_to(a: str, b: str, far: float) -> Column:
+    return F.col(a).isNull() | F.coalesce(F.abs(F.col(a) - F.col(b)) <= far, F.lit(False))
+
+
+def same_text(a: str, b: str) -> Column:
+    return F.coalesce(F.trim(a) == "", F.lit(True)) | (F.upper(F.trim(F.coalesce(b, F.lit("")))) == F.upper(F.trim(a)))
 
 
 def comparable_rule() -> Column:
-    """The target (t_ columns) and a neighbour agree in year, areas, garage and tax class."""
-    return (F.abs(F.col("t_year_built") - F.col("year_built")) <= 5) & similar("t_gross_area", "gross_area", 0.2) & similar("t_lot_size", "lot_size", 0.2) & (F.col("t_tax_class") == F.col("tax_class"))
+    """The target (t_ columns) and a neighbour agree in year, rooms, areas and tax class, as far as the target tells them, and it tells one at least."""
+    known = F.lit(False)
+    for c in ("t_year_built", "t_bedrooms", "t_bathrooms", "t_gross_area", "t_lot_size", "t_tax_class"):
+        known = known | F.col(c).isNotNull()
+    return (
+        known & close_to("t_year_built", "year_built", 5) & close_to("t_bedrooms", "bedrooms", 1.0) & close_to("t_bathrooms", "bathrooms", 0.5)
+        & similar("t_gross_area", "gross_area", 0.2) & similar("t_lot_size", "lot_size", 0.2) & same_text("t_tax_class", "tax_class")
+    )
 
 
 def value_all(properties: DataFrame, pois: DataFrame, groups: dict[str, str], k: int = 5) -> DataFrame:
@@ -88,8 +102,9 @@ def value_all(properties: DataFrame, pois: DataFrame, groups: dict[str, str], k:
     groups: amenity group to point category. Comparables are the other properties nearby.
     """
     rows = properties.filter("value is not null and lat is not null and lon is not null")
-    targets = rows.select(F.col("location_id").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("year_built").alias("t_year_built"), F.col("gross_area").alias("t_gross_area"), F.col("lot_size").alias("t_lot_size"), F.col("tax_class").alias("t_tax_class"), F.col("neighbourhood").alias("t_neighbourhood"), F.col("value").alias("base"))
-    points = rows.select(F.col("location_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "year_built", "gross_area", "lot_size", "tax_class", "value")
+    rooms = lambda c, kind: F.col(c).cast(kind) if c in properties.columns else F.lit(None).cast(kind)
+    targets = rows.select(F.col("location_id").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("year_built").alias("t_year_built"), F.col("gross_area").alias("t_gross_area"), F.col("lot_size").alias("t_lot_size"), F.col("tax_class").alias("t_tax_class"), rooms("bedrooms", "double").alias("t_bedrooms"), rooms("bathrooms", "double").alias("t_bathrooms"), F.col("neighbourhood").alias("t_neighbourhood"), F.col("value").alias("base"))
+    points = rows.select(F.col("location_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "year_built", "gross_area", "lot_size", "tax_class", rooms("bedrooms", "double").alias("bedrooms"), rooms("bathrooms", "double").alias("bathrooms"), "value")
     near = comparables(targets, points, comparable_rule(), k).filter("target_id != point_id")
     both = near.groupBy("target_id").agg(
         F.percentile(F.when(F.col("matching"), F.col("value")), F.lit(0.5)).alias("m_median"), F.percentile(F.when(~F.col("matching"), F.col("value")), F.lit(0.5)).alias("n_median"),

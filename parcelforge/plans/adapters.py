@@ -59,6 +59,7 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
         [
             ("concat('NATION_', cast(user_id % 25 as string))", "neighbourhood"), ("event_type", "crime_type"), ("cast(extract(day from ts) as bigint)", "day"), ("value", "amount"),
             ("event_id", "ordinal"), (lat("event_id"), "lat"), (lon("event_id"), "lon"), ("case when event_id % 2 = 0 then 'count' else 'rate' end", "metric"),
+            ("case when event_id % 3 = 0 then 'police_a' when event_id % 3 = 1 then 'police_b' end", "source_id"), ("case when event_id % 7 = 0 then cast(null as bigint) else cast(2019 + event_id % 5 as bigint) end", "year"),
         ],
     ),
     "stops": ("supplier", [("cast(s_suppkey as string)", "stop_id"), (lat("s_suppkey*31"), "lat"), (lon("s_suppkey*31"), "lon"), ("s_name", "name")]),

@@ -126,10 +126,10 @@ def neighbourhood_model(spark, sf):
     return r.select("neighbourhood", F.round("average_value", 2).alias("average_value"), F.round("median_value", 2).alias("median_value"), "property_count", F.round("centroid_lat", 6).alias("centroid_lat"), F.round("centroid_lon", 6).alias("centroid_lon"), "flagged")
 
 
-_CRIME = "select neighbourhood, crime_type, max(case when metric = 'count' then amount end) as incidents, max(case when metric = 'rate' then amount end) as rate from crime group by 1, 2"
+_CRIME = "select neighbourhood, crime_type, max(case when metric = 'count' then amount end) as incidents, max(case when metric = 'rate' then amount end) as rate, coalesce(source_id, '') as source_id, coalesce(year, 0) as year from crime group by neighbourhood, crime_type, coalesce(source_id, ''), coalesce(year, 0)"
 
 
-@query(f"select neighbourhood, crime_type, round(incidents, 4) as incidents, round(rate, 4) as rate from ({_CRIME})", ("crime",))
+@query(f"select source_id, neighbourhood, crime_type, year, round(incidents, 4) as incidents, round(rate, 4) as rate from ({_CRIME})", ("crime",))
 def crime_merge(spark, sf):
     return rounded(ingest.merge_crime(view(spark, sf, "crime")))
 
@@ -213,9 +213,9 @@ def multi_unit_groups(spark, sf):
 
 _PAIRS = f"""
 select a, b, confidence, case when confidence >= 0.85 then 'auto_merge' else 'review' end as decision from (
-  select a.entity_id as a, b.entity_id as b, 0.55::double * greatest(0.0::double, 1 - {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 250.0::double) + 0.35::double * case when a.slug = b.slug then 1.0::double when contains(a.slug, b.slug) or contains(b.slug, a.slug) then 0.8::double else 0.4::double end as confidence
-  from (select *, lower(regexp_replace(name, '[^a-zA-Z0-9]', '', 'g')) as slug from pois) a
-  join (select *, lower(regexp_replace(name, '[^a-zA-Z0-9]', '', 'g')) as slug from pois) b on a.category = b.category and a.source_id <> b.source_id and a.entity_id < b.entity_id) where confidence >= 0.65
+  select a.entity_id as a, b.entity_id as b, 0.55::double * greatest(0.0::double, 1 - {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / 250.0::double) + 0.35::double * case when a.plain = b.plain then 1.0::double when contains(a.plain, b.plain) or contains(b.plain, a.plain) then 0.8::double else 0.4::double end as confidence
+  from (select *, lower(trim(name)) as plain from pois) a
+  join (select *, lower(trim(name)) as plain from pois) b on a.category = b.category and a.source_id <> b.source_id and a.entity_id < b.entity_id) where confidence >= 0.65
 """
 
 
@@ -321,22 +321,26 @@ def commute_index(spark, sf):
 
 @query()
 def comparables_split(spark, sf):
-    p = view(spark, sf, "properties").filter("value is not null")
-    t = p.select(F.col("location_id").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), *[F.col(c).alias(f"t_{c}") for c in ("year_built", "gross_area", "lot_size", "tax_class")])
-    o = p.select(F.col("location_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "year_built", "gross_area", "lot_size", "tax_class", "value")
+    p = view(spark, sf, "properties").filter("value is not null").join(view(spark, sf, "attributes").select("location_id", "bedrooms", "bathrooms"), "location_id", "left")
+    told = ("year_built", "gross_area", "lot_size", "tax_class", "bedrooms", "bathrooms")
+    t = p.select(F.col("location_id").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), *[F.col(c).alias(f"t_{c}") for c in told])
+    o = p.select(F.col("location_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), *told, "value")
     r = nearest.comparables(t, o, valuation.comparable_rule(), 5).filter("target_id != point_id")
     return rounded(r.select("target_id", "point_id", "matching", "distance", "rank"), 2)
 
 
 ORACLE_SQL["comparables_split"] = with_views(f"""
+, r as (select p.*, a.bedrooms, a.bathrooms from properties p left join attributes a on a.location_id = p.location_id where p.value is not null)
 select target_id, point_id, matching, round(distance, 2) as distance, rank from (
   select *, row_number() over (partition by target_id, matching order by distance, point_id) as rank from (
-    select *, abs(t_year - p_year) <= 5 and abs(t_gross - p_gross) <= abs(t_gross) * 0.2::double and abs(t_lot - p_lot) <= abs(t_lot) * 0.2::double and t_tax = p_tax as matching from (
+    select target_id, point_id, stage, distance,
+      coalesce(abs(t_year - p_year) <= 5, t_year is null) and (t_gross is null or coalesce(p_gross between t_gross * 0.8::double and t_gross * 1.2::double, false)) and (t_lot is null or coalesce(p_lot between t_lot * 0.8::double and t_lot * 1.2::double, false))
+        and (t_beds is null or coalesce(abs(t_beds - p_beds) <= 1, false)) and (t_baths is null or coalesce(abs(t_baths - p_baths) <= 0.5, false)) and upper(t_tax) = upper(p_tax) as matching from (
       select *, {legs('t_lat', 't_lon', 'p_lat', 'p_lon')} as distance, row_number() over (partition by target_id order by abs(t_lat-p_lat)+abs(t_lon-p_lon), point_id) as stage from (
-        select a.location_id as target_id, a.lat as t_lat, a.lon as t_lon, a.year_built as t_year, a.gross_area as t_gross, a.lot_size as t_lot, a.tax_class as t_tax,
-          b.location_id as point_id, b.lat as p_lat, b.lon as p_lon, b.year_built as p_year, b.gross_area as p_gross, b.lot_size as p_lot, b.tax_class as p_tax
-        from properties a cross join properties b where a.value is not null and b.value is not null)) where stage <= 60)) where rank <= 5 and target_id <> point_id
-""", "properties")
+        select a.location_id as target_id, a.lat as t_lat, a.lon as t_lon, a.year_built as t_year, a.gross_area as t_gross, a.lot_size as t_lot, a.tax_class as t_tax, a.bedrooms as t_beds, a.bathrooms as t_baths,
+          b.location_id as point_id, b.lat as p_lat, b.lon as p_lon, b.year_built as p_year, b.gross_area as p_gross, b.lot_size as p_lot, b.tax_class as p_tax, b.bedrooms as p_beds, b.bathrooms as p_baths
+        from r a cross join r b)) where stage <= 60)) where rank <= 5 and target_id <> point_id
+""", "properties", "attributes")
 
 
 @query()
@@ -356,9 +360,9 @@ def user_activity(spark, sf):
     return e.groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("mean_amount"), F.count("*").alias("n"))
 
 
-@query("select dataset, cast(date_diff('day', cast(max(promoted_at) as date), date '2003-01-01') as bigint) as age_days, date_diff('day', cast(max(promoted_at) as date), date '2003-01-01') > 800 as degraded from (select o_orderpriority as dataset, o_orderdate as promoted_at from orders where o_orderkey % 5 = 0) group by 1")
+@query("select dataset, cast(date_diff('day', cast(max(promoted_at) as date), date '2003-01-01') as bigint) as age_days, date_diff('day', cast(max(promoted_at) as date), date '2003-01-01') > 800 as degraded from (select o_orderpriority as dataset, o_orderdate as promoted_at from orders) group by 1")
 def freshness(spark, sf):
-    v = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderkey % 5 = 0").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderdate").alias("promoted_at"))
+    v = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderpriority").alias("dataset"), F.col("o_orderdate").alias("promoted_at"))
     return refresh.freshness(v, "2003-01-01 00:00:00", 800)
 
 
@@ -421,23 +425,21 @@ def mapping_conflicts(spark, sf):
     return ingest.mapping_conflicts(rows)
 
 
-def _grid_roads(spark):
-    """An 8 x 8 street grid: rows and columns as polylines, one link missing."""
-    step, n = 0.004, 8
-    rows = [(f"r{i}", [(53.5 + i * step, -113.5 + j * step) for j in range(n)]) for i in range(n)] + [(f"c{j}", [(53.5 + i * step, -113.5 + j * step) for i in range(n) if not (j == 3 and i == 4)][: n if j != 5 else 4]) for j in range(n)]
-    return spark.createDataFrame([(k, [{"lat": a, "lon": b} for a, b in p]) for k, p in rows], "segment_id string, points array<struct<lat:double,lon:double>>")
+def _roads(properties: DataFrame) -> DataFrame:
+    """A polyline for each street and for each neighbourhood, through the places of its properties from south to north."""
+    place = F.struct("lat", "lon")
+    lines = [properties.groupBy(F.concat(F.lit(f"{by}:"), F.col(by)).alias("segment_id")).agg(F.array_sort(F.collect_set(place)).alias("points")) for by in ("street", "neighbourhood")]
+    return lines[0].unionByName(lines[1])
 
 
 @query()
 def road_shortest_path(spark, sf):
-    graph = roads.edges(_grid_roads(spark))
-    # the city's points, drawn together onto the small street grid
-    at = lambda c, low, width: F.lit(low) + (F.col(c) - F.lit({"lat": 53.3958, "lon": -113.7136}[c])) / F.lit(width) * 0.028
-    points = view(spark, sf, "properties").select(F.col("location_id").alias("point_id"), at("lat", 53.5, 0.3202).alias("lat"), at("lon", -113.5, 0.4422).alias("lon"))
-    start = roads.snap(points, graph)
-    ways = roads.distances_in_tiles(graph, start.select("node"), 3000.0)
-    out = start.select("point_id", F.col("node").alias("origin")).join(ways.withColumnRenamed("node", "target"), "origin").select("point_id", "origin", "target", "metres")
-    return rounded(out, 2)
+    graph = roads.edges(_roads(view(spark, sf, "properties")))
+    stops = view(spark, sf, "stops").withColumnRenamed("stop_id", "point_id")
+    start = roads.snap(stops, graph)
+    ways = roads.distances(graph, start.select("node"), 6000.0)
+    out = start.select("point_id", F.col("node").alias("origin"), "offset").join(ways.withColumnRenamed("node", "target"), "origin")
+    return rounded(out.select("point_id", "origin", "target", (F.col("offset") + F.col("metres")).alias("metres")), 2)
 
 
 @query(f"select location_id, round(distance, 2) as distance, case when distance <= 500 then 5000.0::double when distance <= 1000 then 2000.0::double when distance <= 2000 then 500.0::double else 0.0::double end as factor from (select location_id, {hav('lat', 'lon', '53.5461::double', '-113.4938::double')} as distance from properties)", ("properties",))
@@ -540,10 +542,13 @@ def nearest_neighbourhoods(spark, sf):
     return rounded(nearest.knn(_targets(p), _points(centres), k=4).select("target_id", "point_id", "distance", "rank"), 2)
 
 
-@query("select location_id, concat_ws('|', coalesce(suite, ''), house, concat(split_part(street, ' ', 1), ' AVE NW')) as address_key from properties", ("properties",))
+@query("select location_id, concat_ws('|', coalesce(suite, ''), house, concat(split_part(street, ' ', 1), ' ', case year_built % 8 when 0 then 'CRT' when 1 then 'CRES' when 2 then 'TER' when 3 then 'LN' when 4 then 'AVE' when 5 then 'WAY' when 6 then 'TRL' else 'BLVD' end, ' ', case cast(house as bigint) % 4 when 0 then 'NW' when 1 then 'NW' when 2 then 'S' else 'SE' end)) as address_key from properties", ("properties",))
 def address_keys(spark, sf):
     p = view(spark, sf, "properties")
-    written = F.concat(F.split("street", " ")[0], F.lit(" avnue. North West"))
+    kinds = ["Court", "crescant.", "TERACE", "Laen", "Aveneu", "way", "Tral", "Boulvard"]
+    quadrants = ["North West", "nw", "SOUTH", "Southeast"]
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
+    written = F.concat_ws(" ", F.split("street", " ")[0], pick(kinds, F.col("year_built")), pick(quadrants, F.col("house").cast("long")))
     return p.select("location_id", text.address_key(F.col("suite"), F.col("house"), written).alias("address_key"))
 
 

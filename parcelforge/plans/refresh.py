@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 #: What each pipeline needs, in the order of a full refresh.
-DEPENDS = {"geospatial": [], "transit": [], "census": ["geospatial"], "crime": [], "assessments": ["geospatial", "census"], "poi_standardization": ["geospatial"], "deduplication": ["poi_standardization"]}
+DEPENDS = {"geospatial": [], "transit": [], "census": ["geospatial"], "crime": [], "assessments": ["geospatial"], "poi_standardization": ["geospatial"], "deduplication": ["poi_standardization"]}
 
 
 def closure(wanted: list[str]) -> list[str]:

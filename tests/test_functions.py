@@ -54,3 +54,11 @@ def test_geometry(spark):
     assert area == pytest.approx(1.1132 * 1.1132 * math.cos(math.radians(53.005)), rel=1e-6)
     assert length > 2000 and centre.lat == pytest.approx(53.005)
     assert one(spark, geo.cell_id(F.lit(53.555), F.lit(-113.495), 0.01)) == ("-11350_5355",)
+
+
+def test_street_types_and_half_baths(spark):
+    keys = one(spark, *[text.street_key(F.lit(x)) for x in ("Elm Court", "Elm Terace", "elm way", "Elm Laen North West", "Elm CLOSE", "Elm Avenuee")])
+    assert keys == ("ELM CRT", "ELM TER", "ELM WAY", "ELM LN NW", "ELM CLOSE", "ELM AVE")
+    got = one(spark, *[text.permit_rooms(F.lit(x)) for x in ("add 1/2 bath", "2 Bathrooms + 1/2 bath", "4 BEDS", "")])
+    assert [r.bathrooms for r in got] == [2.5, 2.5, None, None]
+    assert [r.bedrooms for r in got] == [None, None, 4, None]

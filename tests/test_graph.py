@@ -62,3 +62,11 @@ def test_snap_and_enrich(spark):
     segments = spark.createDataFrame([("s1", "52 AVE", 53.5, -113.5, 100.0), ("s2", "52 AVE", 53.5001, -113.5, 90.0)], "segment_id string, name string, lat double, lon double, length double")
     records = spark.createDataFrame([("r1", "52 AVE", 53.5, -113.5, 95.0), ("r2", "52 AVE", 53.50002, -113.5, 95.0), ("r3", "53 AVE", 53.5, -113.5, 95.0)], "record_id string, name string, lat double, lon double, length double")
     assert [(r.segment_id, r.record_id) for r in roads.road_enrichment(segments, records).collect()] == [("s1", "r1")]
+
+
+def test_far_points_snap_to_the_nearest_node(spark):
+    df = spark.createDataFrame([("s", [(53.5, -113.5), (53.52, -113.5)])], "segment_id string, points array<struct<lat:double,lon:double>>")
+    points = [("near", 53.5001, -113.5001), ("far", 53.9, -112.0), ("abroad", -33.0, 151.0), ("none", None, 1.0)]
+    got = {r.point_id: r.node for r in roads.snap(spark.createDataFrame(points, "point_id string, lat double, lon double"), roads.edges(df)).collect()}
+    assert got.keys() == {"near", "far", "abroad"}
+    assert got["near"].startswith("53.5,") and got["far"].startswith("53.52,")

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelforge.operators import entity, ingest, listings, models, transit, validation, valuation
+from parcelforge.operators import entity, ingest, listings, models, nearest, transit, validation, valuation
 from parcelforge.plans.adapters import view
 
 
@@ -89,3 +89,32 @@ def test_transit(spark):
     assert [(r.route_id, r.trips) for r in transit.routes(trips).collect()] == [("r1", 1)]
     pois = view(spark, "/root/testdata/sf0.001", "pois")
     assert transit.find_pois(pois, source="POIS_A", category="promo", centre=(53.5461, -113.4938), radius=5000.0).filter("source_id != 'pois_a'").count() == 0
+
+
+def test_nearest_one_is_not_hidden_by_many_points_of_lesser_l1(spark):
+    points = [(f"unit{i}", 53.51, -113.5) for i in range(40)] + [("house", 53.5, -113.488)]
+    t = spark.createDataFrame([("t", 53.5, -113.5)], "target_id string, t_lat double, t_lon double")
+    p = spark.createDataFrame(points, "point_id string, p_lat double, p_lon double")
+    assert nearest.nearest_one(t, p, scaled=True).first().point_id == "house"
+    assert nearest.nearest_one(t, p, scaled=False).first().point_id == "unit0"
+
+
+def test_duplicate_confidence_counts_equal_ids_and_plain_names(spark):
+    rows = [("a", "s1", "St. Anne", 53.5), ("a", "s2", "St Anne", 53.5), ("b", "s1", " Elm Park ", 53.6), ("c", "s2", "elm park", 53.6)]
+    pois = spark.createDataFrame([(i, s, n, "c", lat, -113.5) for i, s, n, lat in rows], "entity_id string, source_id string, name string, category string, lat double, lon double")
+    got = {(r.a, r.b): round(r.confidence, 4) for r in entity.duplicate_pairs(pois).collect()}
+    assert got == {("a", "a"): 0.55 + 0.35 * 0.4 + 0.1, ("b", "c"): 0.9}
+
+
+def test_comparables_need_what_the_target_tells(spark):
+    told = ("year_built", "bedrooms", "bathrooms", "gross_area", "lot_size", "tax_class")
+    target = (2000, 3, 2.0, 1000.0, 500.0, "res")
+    others = [((2004, 4, 2.5, 1200.0, 400.0, "RES "), True), ((2006, 3, 2.0, 1000.0, 500.0, "RES"), False), ((2000, 5, 2.0, 1000.0, 500.0, "RES"), False), ((2000, None, 2.0, 1000.0, 500.0, "RES"), False),
+              ((2000, 3, 3.0, 1000.0, 500.0, "RES"), False), ((2000, 3, 2.0, 1201.0, 500.0, "RES"), False), ((None, 3, 2.0, 1000.0, 500.0, "RES"), False), ((2000, 3, 2.0, 1000.0, 500.0, None), False)]
+    kinds = "int, {0}bedrooms int, {0}bathrooms double, {0}gross_area double, {0}lot_size double, {0}tax_class string"
+    schema = ", ".join(f"{p}year_built " + kinds.format(p) for p in ("t_", ""))
+    df = spark.createDataFrame([(*target, *o) for o, _ in others], schema)
+    assert [r[0] for r in df.select(valuation.comparable_rule()).collect()] == [w for _, w in others]
+    nothing = spark.createDataFrame([(*[None] * 6, *target)], schema)
+    assert nothing.select(valuation.comparable_rule()).first()[0] is False
+    assert len(told) * 2 == len(df.columns)

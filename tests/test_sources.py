@@ -118,3 +118,7 @@ def test_rate_limit_stream(spark, tmp_path):
     want = {(r.window_start, r.user_id, r.requests) for r in refresh.request_rates(events).collect()}
     assert {(r.window_start, r.user_id, r.requests) for r in spark.table("rates").collect()} == want
     assert refresh.rate_limited(events, 1).filter(F.col("requests") <= 1).count() == 0
+
+
+def test_assessments_need_places_only():
+    assert workflow.closure(["assessments"]) == ["geospatial", "assessments"]
