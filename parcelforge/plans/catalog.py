@@ -556,3 +556,6 @@ def address_keys(spark, sf):
 def poi_query(spark, sf):
     found = transit.find_pois(view(spark, sf, "pois"), source="POIS_A", category="Promo")
     return found.groupBy("source_id", "category").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
+
+
+from parcelforge.plans import record_queries  # noqa: E402,F401  registers its queries here
