@@ -33,9 +33,14 @@ def neighbourhood_model(properties: DataFrame) -> DataFrame:
     return found.select("neighbourhood", clamp(F.col("mean")).alias("average_value"), "median_value", "property_count", "centroid_lat", "centroid_lon", is_outlier(F.col("mean")).alias("flagged"))
 
 
+def steady(mean: Column) -> Column:
+    """Four digits; nine first, so that the order of a sum doesn't decide which way a half goes."""
+    return F.round(F.round(mean, 9), 4)
+
+
 def crime_rollup(crimes: DataFrame) -> DataFrame:
     return crimes.groupBy("neighbourhood").agg(
-        F.round(F.avg(F.coalesce("rate", F.lit(0.0))), 4).alias("rate_index"), F.round(F.avg(F.coalesce("incidents", F.lit(0.0)).cast("double")), 4).alias("severity_index"))
+        steady(F.avg(F.coalesce("rate", F.lit(0.0)))).alias("rate_index"), steady(F.avg(F.coalesce("incidents", F.lit(0.0)).cast("double"))).alias("severity_index"))
 
 
 def crime_by_type(crimes: DataFrame) -> DataFrame:

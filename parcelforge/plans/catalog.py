@@ -134,7 +134,7 @@ def crime_merge(spark, sf):
     return rounded(ingest.merge_crime(view(spark, sf, "crime")))
 
 
-@query(f"select neighbourhood, round(avg(coalesce(rate, 0)), 4) as rate_index, round(avg(coalesce(incidents, 0)), 4) as severity_index from ({_CRIME}) group by 1", ("crime",))
+@query(f"select neighbourhood, round(round(avg(coalesce(rate, 0)), 9), 4) as rate_index, round(round(avg(coalesce(incidents, 0)), 9), 4) as severity_index from ({_CRIME}) group by 1", ("crime",))
 def crime_rollup(spark, sf):
     return aggregates.crime_rollup(ingest.merge_crime(view(spark, sf, "crime")))
 
@@ -293,7 +293,7 @@ select grid_id, property_count, round(greatest(10000.0::double, least(mean, 1000
     greatest(0.02::double*111.32::double*0.02::double*111.32::double*greatest(cos(radians((c.gy+0.5)*0.02::double)), 0.1), 0.01) as area from (
     select gx, gy, count(*) as property_count, avg(value) as mean, median(value) as median_value, round(greatest(0.0, 1 - avg(sqrt(pow(lat-53.5461::double,2)+pow(lon- -113.4938::double,2)))*5), 4) as walkability,
       round(coalesce(avg(rate_index), 0), 8) as crime_rate_index, round(coalesce(avg(severity_index), 0), 8) as crime_severity_index, avg(value) < 10000 or avg(value) > 10000000 as flagged
-    from cells left join (select lower(trim(neighbourhood)) as k, round(avg(coalesce(rate,0)),4) as rate_index, round(avg(coalesce(incidents,0)),4) as severity_index from ({_CRIME}) group by 1) r on lower(trim(cells.neighbourhood)) = r.k group by 1, 2) c
+    from cells left join (select lower(trim(neighbourhood)) as k, round(round(avg(coalesce(rate,0)),9),4) as rate_index, round(round(avg(coalesce(incidents,0)),9),4) as severity_index from ({_CRIME}) group by 1) r on lower(trim(cells.neighbourhood)) = r.k group by 1, 2) c
   left join (select gx, gy, count(*) filter (contains(kind,'store')) as stores, count(*) filter (kind in ('park','dog_park','green_space')) as parks from geo group by 1, 2) g on g.gx = c.gx and g.gy = c.gy
   left join (select gx, gy, string_agg(concat(kind, ':', cast(n as string)), ',' order by concat(kind, ':', cast(n as string))) as store_types from (select gx, gy, kind, count(*) as n from geo where contains(kind, 'store') group by 1, 2, 3) group by 1, 2) t on t.gx = c.gx and t.gy = c.gy
   left join (select gx, gy, round(median(d), 2) as school_distance from (select p.gx, p.gy, p.location_id, min({hav('p.lat', 'p.lon', 's.lat', 's.lon')}) as d from cells p join geo s on s.gx = p.gx and s.gy = p.gy and s.kind = 'school' group by 1, 2, 3) group by 1, 2) s on s.gx = c.gx and s.gy = c.gy)
