@@ -37,7 +37,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -254,7 +253,6 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
     # a part's pivot has met all other rows only where the part is the whole bucket
     buckets = materialize(told.filter("node != other or salt > 0"), "buckets")
 
-    links: list[DataFrame] = []
     comps = None
     # parts of a dealt bucket are joined with each other from the second round on only
     last = max(1, pivot_rounds) + bool((sketch >= _hot(sketch, parts)).any())
@@ -270,8 +268,11 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
         else:
             pairs = _pairs_left(buckets)
         pairs = materialize(pairs, "pairs")
-        links.append(materialize(_verify(pairs, docs, reps, size), "links"))
-        comps = materialize(connected_components(reduce(DataFrame.unionByName, links)), "comps")
+        links = materialize(_verify(pairs, docs, reps, size), "links")
+        if comps is None:
+            comps = materialize(connected_components(links), "comps")
+        elif not links.isEmpty():  # the components so far, each a star, and what now ties them
+            comps = materialize(connected_components(links.unionByName(comps.select(F.col("id").alias("a"), F.col("component").alias("b")))), "comps")
         if turn == last:
             break
         # go on with the members that are not yet compared with all others of their bucket
