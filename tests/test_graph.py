@@ -3,11 +3,14 @@ from heapq import heappop, heappush
 
 import pytest
 
-from parcelforge.graph import roads
+from parcelforge.graph import components, roads
 from parcelforge.graph.components import connected_components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("task_edges", [components.TASK_EDGES, 0, 150])
+def test_components(spark, monkeypatch, task_edges):
+    """In one task, by shuffles, and from one to the other as edges get fewer."""
+    monkeypatch.setattr(components, "TASK_EDGES", task_edges)
     rng = random.Random(4)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7), (None, 3)]
     parent = {}
