@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, lattice_lm, pii, quality, secrets, toxicity, warc
+from parcelforge.llm import byte_bpe, decontaminate, embedding_dedup, exact_dedup, jaccard_join, lattice_lm, pii, quality, secrets, toxicity, warc
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_warc": warc.op9_warc,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op9_warc": warc.OP9_SQL,
     "op10_jaccard_join": jaccard_join.OP10_SQL,
+    "op13_exact_dedup": exact_dedup.OP13_SQL,
 }

@@ -52,6 +52,20 @@ def by_size(rows: DataFrame, row_bytes: int | Column = 8) -> DataFrame:
     return F.broadcast(rows) if size <= BROADCAST_BYTES else rows
 
 
+def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Each of ``rows`` with the row that ``one`` has for its keys; rows without one go.
+
+    ``weight`` counts the rows of a key. Keys that may fill a quarter of a shuffle partition
+    alone are fewer than four times the partitions, so they are broadcast and their rows stay
+    where they are; the others are joined by shuffle. ``rows`` and ``one`` are written tables.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = one.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.col(weight) * 4 * parts > total
+    heavy = F.broadcast(one.filter(hot))
+    return rows.join(heavy, keys).unionByName(rows.join(heavy.select(*keys), keys, "left_anti").join(one.filter(~hot), keys))
+
+
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id isn't among the doc_id of ``ids``; rows with a null id stay."""
     gone = materialize(ids.select(F.col("doc_id").cast("long").alias("_gone")).dropna().distinct(), "gone")
