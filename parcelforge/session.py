@@ -51,4 +51,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_at = path
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the table of ``materialize``; nothing that still has to be computed may read it."""
+    jvm, context = written.sparkSession._jvm, written.sparkSession.sparkContext
+    path = jvm.org.apache.hadoop.fs.Path(written.written_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
