@@ -67,6 +67,10 @@ def dealt_join(rows: DataFrame, one: DataFrame, keys: list[str], weight: str) ->
 
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id isn't among the doc_id of ``ids``; rows with a null id stay."""
-    gone = materialize(ids.select(F.col("doc_id").cast("long").alias("_gone")).dropna().distinct(), "gone")
-    return documents.join(by_size(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """The documents whose doc_id isn't among the doc_id of ``ids``; rows with a null id stay.
+
+    The caller's columns travel inside a struct, so none of their names can clash.
+    """
+    gone = materialize(ids.select(F.col("doc_id").cast("long").alias("gone")).dropna().distinct(), "gone")
+    rows = documents.select(F.struct("*").alias("row"))
+    return rows.join(by_size(gone), F.col("row.doc_id").cast("long") == F.col("gone"), "left_anti").select("row.*")

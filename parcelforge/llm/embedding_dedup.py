@@ -18,7 +18,7 @@ own; a block returns sums and a spanning forest, never its pairs. Rows that met
 leaf are not dealt to each other again in later trees.
 
 Bounds: trees are fitted on one vector of fifty, but no fewer than ``sample_rows`` and no more
-than ``most_sample_rows``, by hash order (centres on the first 8,000 of them); all vectors are
+than ``most_sample_rows`` and SAMPLE_BYTES, by hash order (centres on the first 8,000 of them); all vectors are
 indexed. The forest (a direction for each split) and the centres are broadcast; their size is
 bounded by the sample's. Leaves hold about ``leaf_rows`` vectors up to 10 million rows, and
 total / 25,000 beyond. As a link may be parted at every split, the number of trees grows with
@@ -137,6 +137,10 @@ def grow(sample: np.ndarray, leaf: int, rng: np.random.Generator, spill: float,
     return Tree(np.array(directions).reshape(-1, width), np.array(cuts), np.array(spills), np.array(children).reshape(-1, 2), leaves, np.array(whole, int))
 
 
+#: Doubles of the driver's sample, in bytes.
+SAMPLE_BYTES = 128 << 20
+
+
 def dense_centres(sample: np.ndarray, threshold: float, least: int, most: int) -> np.ndarray:
     """Sample points with ``least`` or more others within half the linking angle, no two near each other."""
     half = np.cos(np.arccos(threshold) / 2)
@@ -152,12 +156,16 @@ def dense_centres(sample: np.ndarray, threshold: float, least: int, most: int) -
     return sample[found].reshape(len(found), sample.shape[1] if sample.ndim == 2 else 0)
 
 
-def _units(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1)
+def _unit_rows(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; each is divided by its largest component first, so that no square overflows or vanishes."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def _units(column: pa.Array) -> np.ndarray:
+    return _unit_rows(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1))
+
+
 def _ball_of(unit: np.ndarray, centres: np.ndarray, threshold: float) -> tuple[np.ndarray, list[list[int]]]:
     """The ball that each row is in (-1: none) and all other balls that it comes near to."""
     ball = np.full(len(unit), -1)
@@ -180,8 +188,7 @@ def _compare(threshold: float):
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         leaf, i, j = int(pdf.leaf.iloc[0]), int(pdf.i.iloc[0]), int(pdf.j.iloc[0])
-        unit = np.stack(pdf.embedding.to_numpy()).astype(np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = _unit_rows(np.stack(pdf.embedding.to_numpy()).astype(np.float64))
         width = max(map(len, pdf.leaves))
         own = np.full((len(pdf), width), -1, np.int64)
         for k, x in enumerate(pdf.leaves):
@@ -252,7 +259,8 @@ def near_duplicates(
 def _same_length(whole: DataFrame, threshold: float, trees: int, spill: float, leaf_rows: int, sample_rows: tuple[int, int], least: int, most_centres: int, seed: int) -> DataFrame:
     """(node, n_links, component_id) of distinct vectors of one length."""
     total = whole.count()
-    sample = whole.orderBy(F.xxhash64("node")).limit(min(sample_rows[1], max(sample_rows[0], total // 50))).select("embedding").toArrow()  # at most most_sample_rows vectors
+    most = min(sample_rows[1], SAMPLE_BYTES // (8 * max(1, len(whole.first().embedding))))
+    sample = whole.orderBy(F.xxhash64("node")).limit(min(most, max(sample_rows[0], total // 50))).select("embedding").toArrow()  # at most ``most`` vectors
     unit = _units(sample["embedding"].combine_chunks())
     rng = np.random.default_rng(seed)
     centres = dense_centres(unit[: min(len(unit), 8000)], threshold, least, most_centres)

@@ -48,15 +48,15 @@ def _spans(kinds: list[tuple[str, str, str]]) -> Column:
     return F.array_sort(F.concat(*spans.values()))
 
 
-def _matched(documents: DataFrame, kinds: list[tuple[str, str, str]]) -> DataFrame:
-    """The documents with _text (null: empty) and the matches of each kind."""
-    rows = documents.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+def _matched(rows: DataFrame, text: Column, kinds: list[tuple[str, str, str]]) -> DataFrame:
+    """The rows with _text (null: empty) and the matches of each kind."""
+    rows = rows.withColumn("_text", F.coalesce(text.cast("string"), F.lit("")))
     return rows.withColumns({f"_{kind}": matches(F.col("_text"), pattern) for kind, pattern, _ in kinds})
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """(doc_id, key, base, weak): sorted spans of each text."""
-    rows = _matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), BASE + WEAK)
+    rows = _matched(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), F.col("text"), BASE + WEAK)
     return rows.select("doc_id", row_key(F.col("doc_id"), F.col("_text")).alias("key"), _spans(BASE).alias("base"), _spans(WEAK).alias("weak"))
 
 
@@ -88,9 +88,10 @@ def redact(documents: DataFrame, mark: str = "[secret]", scope: int = 400) -> Da
     """The documents with every reported span replaced by ``mark`` and n_chars, if there, counted anew.
 
     Base spans are cut where the text is read; only the linked spans of some texts are joined.
+    The caller's columns travel inside a struct, so none of their names can clash.
     """
     added = materialize(link(materialize(scan(documents), "secrets"), scope), "linked").withColumnsRenamed({"key": "_key", "added": "_added"})
-    rows = _matched(documents, BASE).withColumn("_key", row_key(F.col("doc_id").cast("long"), F.col("_text")))
+    rows = _matched(documents.select(F.struct("*").alias("row")), F.col("row.text"), BASE).withColumn("_key", row_key(F.col("row.doc_id").cast("long"), F.col("_text")))
     span_bytes = F.octet_length("_key") + F.aggregate("_added", F.lit(0).cast("long"), lambda n, s: n + 64 + F.octet_length(s["match"]))
     rows = rows.join(by_size(added, span_bytes), "_key", "left").withColumn("_spans", F.array_sort(F.concat(_spans(BASE), F.coalesce("_added", no_spans()))))
 
@@ -101,10 +102,11 @@ def redact(documents: DataFrame, mark: str = "[secret]", scope: int = 400) -> Da
 
     clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.lit(1 << 30))))
     rows = rows.withColumn("_clean", F.when(F.size("_spans") > 0, clean))
-    new = {"text": F.coalesce("_clean", "text")}
+    old = F.col("row")
+    new = {"text": F.coalesce(F.col("_clean"), old["text"])}
     if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(F.col("_clean").isNotNull(), F.char_length("_clean")).otherwise(F.col("n_chars")).cast(documents.schema["n_chars"].dataType)
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in documents.columns])
+        new["n_chars"] = F.when(F.col("_clean").isNotNull(), F.char_length("_clean")).otherwise(old["n_chars"]).cast(documents.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, old[c]).alias(c) for c in documents.columns])
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

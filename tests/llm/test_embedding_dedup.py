@@ -120,3 +120,18 @@ def test_edge_rows(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(df).collect()), key=str)
     assert got == sorted(plainly(rows), key=str)
     assert ed.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_very_large_and_very_small_vectors(spark):
+    """Squares of such components overflow or vanish; cosines don't."""
+    rows = [(1, [1e200, 1e200, 0.0]), (2, [1e200, 1.01e200, 0.0]), (3, [1e-200, 1e-200, 0.0]), (4, [1e-200, 1.01e-200, 0.0]), (5, [0.0, 0.0, 1e308]), (6, [0.0, 1e300, 1.7e308]), (7, [0.0, 0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(df).collect())
+    assert got == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 2, 5), (6, 2, 5), (7, 2, 5)]
+
+
+def test_sample_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(ed, "SAMPLE_BYTES", 8 * 64 * 50)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.repeat(unit_rows(np.random.default_rng(8), 100), 3, axis=0) + np.random.default_rng(9).normal(size=(300, 64)) * 1e-3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in ed.near_duplicates(df).collect()) == sorted(plainly(rows))
