@@ -62,6 +62,17 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("case when event_id % 3 = 0 then 'police_a' when event_id % 3 = 1 then 'police_b' end", "source_id"), ("case when event_id % 7 = 0 then cast(null as bigint) else cast(2019 + event_id % 5 as bigint) end", "year"),
         ],
     ),
+    # two kinds of transit routes over the stops: one for each nation of suppliers, one for each region
+    "nation_calls": ("supplier", [("concat('N', cast(s_nationkey as string))", "route_id"), ("s_suppkey", "position"), ("cast(s_suppkey as string)", "stop_id")]),
+    "region_calls": ("supplier join nation on s_nationkey = n_nationkey", [("concat('R', cast(n_regionkey as string))", "route_id"), ("(s_suppkey * 37) % 101", "position"), ("cast(s_suppkey as string)", "stop_id")]),
+    "trips_wanted": (
+        "customer",
+        [
+            ("concat('loc-', cast(c_custkey as string))", "request_id"), ("concat(cast(100 + c_custkey % 900 as string), ' ', cast(c_custkey % 120 as string), ' st. nw')", "origin_text"),
+            ("case when c_custkey % 3 <> 0 then " + lat("c_custkey") + " end", "origin_lat"), ("case when c_custkey % 3 <> 0 then " + lon("c_custkey") + " end", "origin_lon"),
+            (lat("c_custkey*17"), "destination_lat"), ("case when c_custkey % 53 <> 0 then " + lon("c_custkey*17") + " end", "destination_lon"),
+        ],
+    ),
     "stops": ("supplier", [("cast(s_suppkey as string)", "stop_id"), (lat("s_suppkey*31"), "lat"), (lon("s_suppkey*31"), "lon"), ("s_name", "name")]),
 }
 
