@@ -14,7 +14,8 @@ DOWNTOWN = (53.5461, -113.4938)
 
 def haversine(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
     half = F.pow(F.sin(F.radians(lat_b - lat_a) / 2), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(F.sin(F.radians(lon_b - lon_a) / 2), 2)
-    return 2 * F.lit(EARTH_M) * F.asin(F.sqrt(F.least(F.lit(1.0), half)))
+    # not least(): that passes over a null, and half the globe's girth would be the distance to nowhere
+    return 2 * F.lit(EARTH_M) * F.asin(F.sqrt(F.when(half > 1, 1.0).otherwise(half)))
 
 
 def two_legs(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:

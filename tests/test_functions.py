@@ -62,3 +62,12 @@ def test_street_types_and_half_baths(spark):
     got = one(spark, *[text.permit_rooms(F.lit(x)) for x in ("add 1/2 bath", "2 Bathrooms + 1/2 bath", "4 BEDS", "")])
     assert [r.bathrooms for r in got] == [2.5, 2.5, None, None]
     assert [r.bedrooms for r in got] == [None, None, 4, None]
+
+
+def test_distance_to_nowhere_is_null(spark):
+    from pyspark.sql import functions as F
+
+    from parcelforge.functions import geo
+
+    row = spark.sql("select 53.5D as a, -113.5D as b, cast(null as double) as n").select(geo.haversine(F.col("a"), F.col("b"), F.col("n"), F.col("b")).alias("x"), geo.haversine(F.col("a"), F.col("b"), -F.col("a"), F.col("b") + 180).alias("y")).first()
+    assert row.x is None and abs(row.y - 20015086.796) < 1
