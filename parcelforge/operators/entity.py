@@ -119,20 +119,6 @@ def grouped_impute(rows: DataFrame, keys: list[str]) -> DataFrame:
     return missing.join(groups, keys, "left").select("location_id", F.coalesce("g_beds", F.lit(3)).cast("long").alias("bedrooms"), F.coalesce("g_baths", F.lit(2.0)).alias("bathrooms"))
 
 
-def fuzzy_streets(listings: DataFrame, properties: DataFrame, least: float = 0.84) -> DataFrame:
-    """(listing_id, location_id, similarity): properties with the same house number whose street is spelled nearly alike.
-
-    The house number blocks the comparison; only pairs that share it reach the Python function.
-    """
-    from parcelforge.functions.similarity import ratio
-    from parcelforge.functions.text import clean_address, street_key
-
-    s = listings.select("listing_id", clean_address(F.col("house")).alias("number"), street_key(F.col("street")).alias("l_street"))
-    p = properties.select("location_id", clean_address(F.col("house")).alias("number"), street_key(F.col("street")).alias("p_street"))
-    pairs = s.join(p, "number").withColumn("similarity", F.when(F.col("l_street") == F.col("p_street"), 1.0).otherwise(ratio("l_street", "p_street")))
-    return pairs.filter(F.col("similarity") >= least).select("listing_id", "location_id", "similarity")
-
-
 def resolve_status(found: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """(query, status, location_id) of matches (query, location_id, lat, lon), a query without any having one row of nulls."""
     inside = geo.in_box(F.col("lat"), F.col("lon"), *box)

@@ -62,6 +62,30 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("case when event_id % 3 = 0 then 'police_a' when event_id % 3 = 1 then 'police_b' end", "source_id"), ("case when event_id % 7 = 0 then cast(null as bigint) else cast(2019 + event_id % 5 as bigint) end", "year"),
         ],
     ),
+    # properties with units and legal descriptions, and what other sources tell of some of them, each kind of error in an eighth
+    "homes": (
+        "customer join nation on c_nationkey = n_nationkey",
+        [
+            ("concat('loc-', cast(c_custkey as string))", "location_id"), ("case when c_custkey % 3 = 0 then cast(c_custkey % 5 + 1 as string) end", "suite"), ("cast(100 + c_custkey % 60 as string)", "house"),
+            ("concat(n_name, ' STREET NW')", "street"), ("concat('Plan ', cast(c_custkey as string), ' Block ', cast(c_custkey % 50 as string), ' Lot ', cast(c_custkey % 20 as string))", "legal_description"),
+            ("cast(1950 + c_custkey % 75 as string)", "year_built"), ("cast(900 + c_custkey % 1800 as double)", "gross_area"), (lat("c_custkey"), "lat"), (lon("c_custkey"), "lon"),
+        ],
+    ),
+    "offers": (
+        "customer join nation on c_nationkey = n_nationkey",
+        [
+            ("concat('src-', cast(c_custkey as string))", "source_record_id"), ("case when c_custkey % 8 <> 3 and c_custkey % 3 = 0 then concat('Unit ', cast(c_custkey % 5 + 1 as string)) end", "suite"),
+            ("case when c_custkey % 8 = 2 then '9999' when c_custkey % 8 = 7 and c_custkey % 5 = 0 then cast(null as string) else cast(100 + c_custkey % 60 as string) end", "house"),
+            (
+                "case c_custkey % 8 when 1 then concat(n_name, ' Strret North-West') when 4 then concat(substring(n_name, 2, 30), ' St NW') when 5 then concat('street ', n_name, ' nw') when 6 then concat(n_name, 'E St. NW') "
+                "when 7 then case when c_custkey % 5 = 0 then cast(null as string) else 'UNKNOWN ROAD' end else concat(n_name, ' street nw') end", "street",
+            ),
+            ("case when c_custkey % 8 = 2 then concat('PLAN ', cast(c_custkey as string), ' BLK ', cast(c_custkey % 50 as string), ' LOT ', cast(c_custkey % 20 as string)) end", "legal_description"),
+            ("case when c_custkey % 8 = 6 then cast(1950 + c_custkey % 75 as string) end", "year_built"), ("case when c_custkey % 16 = 6 then cast(850 + c_custkey % 1800 as double) end", "gross_area"),
+            ("case when c_custkey % 8 = 4 then " + lat("c_custkey") + " end", "lat"), (lon("c_custkey"), "lon"),
+            ("cast(1 + c_custkey % 5 as bigint)", "bedrooms"), ("case when c_custkey % 9 <> 0 then cast(1 + c_custkey % 6 as double) / 2 end", "bathrooms"),
+        ],
+    ),
     # two kinds of transit routes over the stops: one for each nation of suppliers, one for each region
     "nation_calls": ("supplier", [("concat('N', cast(s_nationkey as string))", "route_id"), ("s_suppkey", "position"), ("cast(s_suppkey as string)", "stop_id")]),
     "region_calls": ("supplier join nation on s_nationkey = n_nationkey", [("concat('R', cast(n_regionkey as string))", "route_id"), ("(s_suppkey * 37) % 101", "position"), ("cast(s_suppkey as string)", "stop_id")]),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelforge.functions import geo
-from parcelforge.functions.similarity import dashed, ratio
+from parcelforge.functions.similarity import alike, dashed
 from parcelforge.operators import entity
 from parcelforge.sources.shapefile import read_shapefiles
 
@@ -41,14 +41,11 @@ def test_shapefiles(spark, tmp_path):
 
 def test_similarity(spark):
     df = spark.createDataFrame([("ELM ST NW", "ELM STRET NW", "École  St."), (None, "x", None)], "a string, b string, c string")
-    rows = df.select(ratio("a", "b").alias("r"), dashed("c").alias("d")).collect()
+    rows = df.select(alike("a", "b").alias("r"), dashed("c").alias("d")).collect()
     assert rows[0].r == pytest.approx(0.857, abs=0.01) and rows[0].d == "ecole-st" and rows[1].r is None and rows[1].d is None
 
 
-def test_fuzzy_and_status(spark):
-    l = spark.createDataFrame([("l1", "10", "Mapel St NW"), ("l2", "11", "Maple St NW")], "listing_id string, house string, street string")
-    p = spark.createDataFrame([("p1", "10", "Maple Street NW"), ("p2", "10", "Oak Road"), ("p3", "12", "Maple St NW")], "location_id string, house string, street string")
-    assert [(r.listing_id, r.location_id) for r in entity.fuzzy_streets(l, p).collect()] == [("l1", "p1")]
+def test_status_of_searches(spark):
     found = spark.createDataFrame([("a", "p1", 53.5, -113.5), ("b", "p1", 53.5, -113.5), ("b", "p2", 53.5, -113.5), ("c", None, None, None), ("d", "p9", 10.0, 10.0)], "query string, location_id string, lat double, lon double")
     got = {r.query: (r.status, r.location_id) for r in entity.resolve_status(found, geo.CITY_BOX).collect()}
     assert got == {"a": ("resolved", "p1"), "b": ("ambiguous", None), "c": ("not_found", None), "d": ("unsupported_region", None)}
