@@ -20,11 +20,13 @@ def _ranked(pairs: DataFrame, keys: list[str], order: list[Column], name: str, m
     return pairs.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= most)
 
 
-def knn(targets: DataFrame, points: DataFrame, k: int = 3, candidates: int = 25, size: float = 0.02) -> DataFrame:
+def knn(targets: DataFrame, points: DataFrame, k: int = 3, candidates: int = 25, size: float = 0.02, by: str | None = None) -> DataFrame:
     """The ``k`` nearest points of every target.
 
     targets: (target_id, t_lat, t_lon); points: (point_id, p_lat, p_lon, ...). First the
     ``candidates`` least by L1 degrees (ties by id), then the ``k`` least by two-leg metres.
+    With ``by``, a column of the points (a kind), the nearest of each kind, all in one pass:
+    a target is then asked once for each kind that has points.
     Cells are joined in blocks; a target meets the nine blocks around it and is done when
     ``candidates`` points lie nearer than a block's width, for then none outside is nearer.
     Blocks grow fourfold for the targets that are left, until one spans the globe; the first
@@ -33,31 +35,48 @@ def knn(targets: DataFrame, points: DataFrame, k: int = 3, candidates: int = 25,
     points = points.filter("p_lat is not null and p_lon is not null").withColumns({"cx": geo.cell(F.col("p_lon"), size), "cy": geo.cell(F.col("p_lat"), size)})
     rest = targets.filter("t_lat is not null and t_lon is not null").withColumns({"tx": geo.cell(F.col("t_lon"), size), "ty": geo.cell(F.col("t_lat"), size)})
     parts: list[DataFrame] = []
+    keys, own = (["target_id", by], [by]) if by else (["target_id"], [])
+    if by:
+        kinds = [r[0] for r in points.select(by).dropna().distinct().collect()]  # names of kinds, not data
+        rest = rest.withColumn(by, F.explode(F.array(*map(F.lit, kinds)) if kinds else F.array().cast(f"array<{dict(points.dtypes)[by]}>")))
+        # a kind with no more points than candidates is met whole: there is nothing to choose
+        few = [r[0] for r in points.groupBy(by).count().filter(F.col("count") <= candidates).collect() if r[0] is not None]
+        if few:
+            small = rest.filter(F.col(by).isin(few)).drop("tx", "ty").join(points.drop("cx", "cy"), by)
+            l1 = geo.l1_degrees(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon"))
+            parts.append(materialize(_ranked(small.withColumn("l1", l1), keys, [F.col("l1"), F.col("point_id")], "stage", candidates), "knn"))
+            rest, points = rest.filter(~F.col(by).isin(few)), points.filter(~F.col(by).isin(few))
+            if len(few) == len(kinds):
+                return _nearest_of(parts, keys, k)
     n, width, height = points.agg(F.count("*"), F.max("cx") - F.min("cx") + 1, F.max("cy") - F.min("cy") + 1).first()
+    n = n // max(1, len(kinds) - len(few)) if by else n
     # four times the candidates in the diamond of one block's width, were the points spread evenly
     block = max(1, ceil(sqrt(2 * candidates * width * height / n))) if n else 1
+    if n <= candidates and not by:
+        block = ceil(720 / size) + 1  # all points are candidates: one block holds them
     while True:
         whole = block * size > 720
         dealt = rest.withColumns({"bx": F.floor(F.col("tx") / block), "by": F.floor(F.col("ty") / block)})
         for axis in ("bx", "by"):
             dealt = dealt.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
-        met = dealt.join(points.withColumns({"bx": F.floor(F.col("cx") / block), "by": F.floor(F.col("cy") / block)}), ["bx", "by"]).drop("bx", "by", "cx", "cy")
+        met = dealt.join(points.withColumns({"bx": F.floor(F.col("cx") / block), "by": F.floor(F.col("cy") / block)}), ["bx", "by", *own]).drop("bx", "by", "cx", "cy")
         met = met.withColumn("l1", geo.l1_degrees(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon")))
-        first = materialize(_ranked(met, ["target_id"], [F.col("l1"), F.col("point_id")], "stage", candidates), "knn")
+        first = materialize(_ranked(met, keys, [F.col("l1"), F.col("point_id")], "stage", candidates), "knn")
         if whole:
             parts.append(first.drop("tx", "ty"))
             break
-        sure = first.filter(F.col("l1") < block * size).groupBy("target_id").agg(F.count("*").alias("n")).filter(F.col("n") >= candidates).select("target_id")
-        parts.append(first.join(sure, "target_id", "left_semi").drop("tx", "ty"))
-        rest = materialize(rest.join(sure, "target_id", "left_anti"), "knn-rest")
+        sure = first.filter(F.col("l1") < block * size).groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= candidates).select(*keys)
+        parts.append(first.join(sure, keys, "left_semi").drop("tx", "ty"))
+        rest = materialize(rest.join(sure, keys, "left_anti"), "knn-rest")
         if rest.isEmpty():
             break
         block *= 4
-    both = parts[0]
-    for part in parts[1:]:
-        both = both.unionByName(part)
-    metres = both.withColumn("distance", geo.two_legs(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon")))
-    return _ranked(metres, ["target_id"], [F.col("distance"), F.col("point_id")], "rank", k).drop("l1", "stage")
+    return _nearest_of(parts, keys, k)
+
+
+def _nearest_of(parts: list[DataFrame], keys: list[str], k: int) -> DataFrame:
+    metres = reduce(DataFrame.unionByName, parts).withColumn("distance", geo.two_legs(F.col("t_lat"), F.col("t_lon"), F.col("p_lat"), F.col("p_lon")))
+    return _ranked(metres, keys, [F.col("distance"), F.col("point_id")], "rank", k).drop("l1", "stage")
 
 
 def nearest_one(targets: DataFrame, points: DataFrame, scaled: bool, candidates: int = 32) -> DataFrame:

@@ -96,6 +96,15 @@ def comparable_rule() -> Column:
     )
 
 
+def compared_values(near: DataFrame) -> DataFrame:
+    """(target_id, m_median, n_median, c_count, c_median, c_spread) of the comparables of each target, a few values each: medians of those that match, those that don't, all, and the mean deviation from the last."""
+    lists = near.groupBy("target_id").agg(*[F.array_sort(F.collect_list(F.when(c, F.col("value")))).alias(n) for n, c in (("m", F.col("matching")), ("n", ~F.col("matching")), ("c", F.lit(True)))])
+    middle = lambda n: F.when(F.size(n) > 0, (F.get(n, F.floor((F.size(n) - 1) / 2).cast("int")) + F.get(n, F.floor(F.size(n) / 2).cast("int"))) / 2)
+    out = lists.select("target_id", "c", middle("m").alias("m_median"), middle("n").alias("n_median"), middle("c").alias("c_median"), F.size("c").cast("long").alias("c_count"))
+    spread = F.aggregate("c", F.lit(0.0), lambda s, v: s + F.abs(v - F.col("c_median"))) / F.col("c_count")
+    return out.withColumn("c_spread", F.when(F.col("c_count") > 0, spread)).drop("c")
+
+
 def value_all(properties: DataFrame, pois: DataFrame, groups: dict[str, str], k: int = 5) -> DataFrame:
     """One valuation for every property with a value, the property itself being its baseline.
 
@@ -106,16 +115,13 @@ def value_all(properties: DataFrame, pois: DataFrame, groups: dict[str, str], k:
     targets = rows.select(F.col("location_id").alias("target_id"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), F.col("year_built").alias("t_year_built"), F.col("gross_area").alias("t_gross_area"), F.col("lot_size").alias("t_lot_size"), F.col("tax_class").alias("t_tax_class"), rooms("bedrooms", "double").alias("t_bedrooms"), rooms("bathrooms", "double").alias("t_bathrooms"), F.col("neighbourhood").alias("t_neighbourhood"), F.col("value").alias("base"))
     points = rows.select(F.col("location_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "year_built", "gross_area", "lot_size", "tax_class", rooms("bedrooms", "double").alias("bedrooms"), rooms("bathrooms", "double").alias("bathrooms"), "value")
     near = comparables(targets, points, comparable_rule(), k).filter("target_id != point_id")
-    both = near.groupBy("target_id").agg(
-        F.percentile(F.when(F.col("matching"), F.col("value")), F.lit(0.5)).alias("m_median"), F.percentile(F.when(~F.col("matching"), F.col("value")), F.lit(0.5)).alias("n_median"),
-        F.percentile("value", F.lit(0.5)).alias("c_median"), F.count("*").alias("c_count"))
-    spread = near.join(both.select("target_id", "c_median"), "target_id").groupBy("target_id").agg(F.avg(F.abs(F.col("value") - F.col("c_median"))).alias("c_spread"))
+    out = targets.join(compared_values(near), "target_id", "left")
     context = rows.groupBy(F.col("neighbourhood").alias("t_neighbourhood")).agg(F.avg("value").alias("area_mean"))
-    out = targets.join(both, "target_id", "left").join(spread, "target_id", "left").join(context, "t_neighbourhood", "left")
-    for group, category in groups.items():
-        there = pois.filter(F.col("category") == category).select(F.col("entity_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"))
-        first = knn(targets.select("target_id", "t_lat", "t_lon"), there, k=1).select("target_id", F.col("distance").alias(f"d_{group}"))
-        out = out.join(first, "target_id", "left")
+    out = out.join(context, "t_neighbourhood", "left")
+    kinds = {category: group for group, category in groups.items()}
+    there = pois.filter(F.col("category").isin(list(kinds))).select(F.col("entity_id").alias("point_id"), F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), "category")
+    first = knn(targets.select("target_id", "t_lat", "t_lon"), there, k=1, by="category")
+    out = out.join(first.groupBy("target_id").agg(*[F.min(F.when(F.col("category") == c, F.col("distance"))).alias(f"d_{g}") for c, g in kinds.items()]), "target_id", "left")
     base = F.col("base")
     parts = {
         "adj_matching": compared(base, F.col("m_median"), "matching"), "adj_nearby": compared(base, F.col("n_median"), "nearby"), "adj_neighbourhood": compared(base, F.col("area_mean"), "neighbourhood"),
