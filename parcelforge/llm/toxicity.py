@@ -130,6 +130,10 @@ def _features(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids.reshape(len(windows), -1), np.tile(WEIGHTS, WINDOW)
 
 
+#: Rows of a landmark table that are turned into doubles at once.
+PIECE = 4096
+
+
 class Landmarks:
     """Kernel values against chosen windows, and the Nyström map from them."""
 
@@ -139,24 +143,29 @@ class Landmarks:
         self.rows = np.zeros((len(self.columns) + 1, len(windows)), np.float32)  # the last row: subsequences of no landmark
         for k, own in enumerate(ids):
             np.add.at(self.rows[:, k], np.searchsorted(self.columns, own), values)
-        kernel = self.rows.T.astype(np.float64) @ self.rows
+        kernel = np.zeros((len(windows), len(windows)))
+        for lo in range(0, len(self.rows), PIECE):  # in pieces, so that no copy of all rows in doubles is made
+            part = self.rows[lo : lo + PIECE].astype(np.float64)
+            kernel += part.T @ part
         values, vectors = np.linalg.eigh(kernel)
         keep = values > 1e-6 * values.max()
         self.map = vectors[:, keep] / np.sqrt(values[keep])
 
     def features(self, windows: np.ndarray) -> np.ndarray:
-        out = np.empty((len(windows), self.map.shape[1]))
-        for lo in range(0, len(windows), 200):
-            ids, values = _features(windows[lo : lo + 200])
+        out = np.empty((len(windows), self.map.shape[1]), np.float32)  # the largest table of a fit
+        for lo in range(0, len(windows), 50):
+            ids, values = _features(windows[lo : lo + 50])
             at = np.searchsorted(self.columns, ids)
             at[self.columns[np.minimum(at, len(self.columns) - 1)] != ids] = len(self.columns)
-            out[lo : lo + 200] = np.einsum("nij,i->nj", self.rows[at], values) @ self.map
+            out[lo : lo + 50] = np.einsum("nij,i->nj", self.rows[at], values) @ self.map
         return out
 
     def fold(self, line: np.ndarray) -> np.ndarray:
         """The weight table of the machine that is ``line`` in the mapped space."""
         weight = np.zeros(SYMBOLS**3, np.float32)
-        weight[self.columns] = (self.rows @ (self.map @ line))[:-1]
+        along = self.map @ line
+        for lo in range(0, len(self.columns), PIECE):
+            weight[self.columns[lo : lo + PIECE]] = self.rows[lo : lo + PIECE][: len(self.columns) - lo] @ along
         return weight
 
 
@@ -171,29 +180,34 @@ def _squared_hinge(rows: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: flo
         left, right = keep.copy(), np.zeros(width + 1)
         for lo in range(0, len(rows), 2048):  # in pieces, so that no second copy of all rows is made
             some = active[lo : lo + 2048]
-            part = np.hstack([rows[lo : lo + 2048][some], np.ones((some.sum(), 1))])
+            part = np.hstack([rows[lo : lo + 2048][some].astype(np.float64), np.ones((some.sum(), 1))])
             weighted = part * cost[lo : lo + 2048][some, None]
             left += weighted.T @ part
             right += weighted.T @ y[lo : lo + 2048][some]
         solved = np.linalg.solve(left, right)
         line, offset = solved[:-1], float(solved[-1])
-        now = y * (rows @ line + offset) < 1
+        along = np.concatenate([rows[lo : lo + 2048].astype(np.float64) @ line for lo in range(0, len(rows), 2048)])
+        now = y * (along + offset) < 1
         if (now == active).all():
             break
         active = now
     return line, offset
 
 
+def _words(text: str) -> set[str]:
+    return {w.strip(".,;:!?\"'()") for w in text.lower().split()}
+
+
 def _seeds(toxic: list[str], clean: list[str]) -> dict[str, float]:
     """Words of toxic texts that no clean text has, by the number of texts that have them."""
-    def found(texts: list[str]) -> Counter:
-        c: Counter = Counter()
-        for t in texts:
-            c.update({w.strip(".,;:!?\"'()") for w in t.lower().split()})
-        return c
-
-    there, not_there = found(toxic), found(clean)
-    return {w: n for w, n in there.items() if n >= 2 and len(w) >= 3 and w not in not_there}
+    there: Counter = Counter()
+    for t in toxic:
+        there.update(_words(t))
+    found = {w: n for w, n in there.items() if n >= 2 and len(w) >= 3}
+    for t in clean:
+        for w in _words(t) & found.keys():
+            del found[w]
+    return found
 
 
 def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 400, seed: int = 7) -> Machine:
@@ -209,12 +223,13 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
     seeds = _seeds(toxic, clean)
     positive = []
     for text, own in zip(toxic, codes[1], strict=True):
-        words = sorted({w.strip(".,;:!?\"'()") for w in text.lower().split()} & seeds.keys(), key=lambda w: (-seeds[w], w))[:3]
+        words = sorted(_words(text) & seeds.keys(), key=lambda w: (-seeds[w], w))[:3]
         words = [w for w in words if 2 * seeds[w] > seeds[words[0]]]
         raw = "\0" * WINDOW + "".join(c.lower() if c.isascii() else c for c in text)
         starts = [at for w in words if (at := raw.find(w)) >= 0]
         positive += list(_windows(own, np.array(starts))) if starts else []
     spread = 3 + 12_000 // len(clean)
+    del toxic, clean
     negative = [w for own in codes[0] for w in _windows(own, rng.integers(0, len(own) - WINDOW - REACH + 1, spread))]
     if not positive:
         positive = [w for own in codes[1] for w in _windows(own, rng.integers(0, len(own) - WINDOW - REACH + 1, 3))]
@@ -228,6 +243,7 @@ def fit(texts: list[str], labels: np.ndarray, turns: int = 4, landmarks: int = 4
         cost = np.where(y > 0, len(y) / (2 * len(p)), len(y) / (2 * len(n)))
         line, offset = _squared_hinge(marks.features(both), y, cost)
         weight = marks.fold(line)
+        del marks, both  # the next turn's table is as large
         if turn == turns - 1:
             break
         positive = []
