@@ -46,9 +46,11 @@ def road_attributes(df: DataFrame) -> list[Column]:
 
 
 def source_ids(records: DataFrame) -> DataFrame:
-    """The second and later records of an id, in arrival order, get their source behind it."""
-    n = F.row_number().over(Window.partitionBy("record_id").orderBy("ordinal"))
-    return records.withColumn("unique_id", F.when(n == 1, F.col("record_id")).otherwise(F.concat_ws("__", "record_id", "source_id")))
+    """The second and later records of an id, in arrival order, get their source behind it, and from its second such on also their number."""
+    ranked = records.withColumn("nth_", F.row_number().over(Window.partitionBy("record_id").orderBy("ordinal")))
+    again = F.row_number().over(Window.partitionBy("record_id", "source_id", F.col("nth_") > 1).orderBy("ordinal"))
+    number = F.when(again > 1, again.cast("string"))
+    return ranked.withColumn("unique_id", F.when(F.col("nth_") == 1, F.col("record_id")).otherwise(F.concat_ws("__", "record_id", "source_id", number))).drop("nth_")
 
 
 def training_rows(rows: DataFrame, least: float, kinds: tuple[str, ...] = ("observed", "inferred")) -> DataFrame:

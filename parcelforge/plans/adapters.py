@@ -86,6 +86,22 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("cast(1 + c_custkey % 5 as bigint)", "bedrooms"), ("case when c_custkey % 9 <> 0 then cast(1 + c_custkey % 6 as double) / 2 end", "bathrooms"),
         ],
     ),
+    # several arrivals for each property and point of interest, with gaps
+    "arrivals": (
+        "orders",
+        [
+            ("concat('loc-', cast(o_custkey as string))", "location_id"), ("o_orderkey", "ordinal"), ("case when o_orderkey % 4 = 0 then ' ' when o_orderkey % 4 = 1 then cast(o_orderkey % 7 as string) end", "suite"),
+            ("case when o_orderkey % 3 = 0 then cast(o_orderkey % 90 as string) end", "house_number"), ("case when o_orderkey % 5 > 2 then concat('st ', cast(o_orderkey % 31 as string)) end", "street_name"), ("case when o_orderkey % 6 = 1 then o_orderpriority else '' end", "zoning"),
+            ("case when o_orderkey % 7 > 3 then cast(o_totalprice as double) end", "lot_size"), ("case when o_orderkey % 8 = 5 then cast(1950 + o_orderkey % 70 as bigint) end", "year_built"), ("case when o_orderkey % 9 > 6 then o_orderstatus end", "garage"),
+            ("case when o_orderkey % 11 > 2 then cast(extract(year from o_orderdate) as bigint) end", "assessment_year"), ("case when o_orderkey % 13 > 4 then cast(o_totalprice as double) end", "assessment_value"),
+            ("o_orderpriority", "link_method"), ("case when o_orderkey % 10 > 0 then cast(o_orderkey % 5 as double) / 4 end", "confidence"), ("cast(o_orderdate as date)", "updated_at"),
+            ("concat('src', cast(o_orderkey % 4 as string))", "source_a"), ("case when o_orderkey % 3 > 0 then concat('src', cast(o_orderkey % 6 as string)) end", "source_b"), ("concat('r', cast(o_orderkey as string))", "record_a"),
+            (
+                "case when o_orderkey % 17 = 0 then 'broken {' when o_orderkey % 19 = 0 then '[1]' else concat('{\"color\": ', cast(o_orderkey % 9 as string), ', \"f', cast(o_orderkey % 3 as string), '\": \"', o_orderstatus, '\", \"sources\": ', "
+                "case when o_orderkey % 12 = 3 then '7' else concat('{\"s', cast(o_orderkey % 5 as string), '\": ', cast(o_orderkey as string), '}') end, '}') end", "metadata",
+            ),
+        ],
+    ),
     # two kinds of transit routes over the stops: one for each nation of suppliers, one for each region
     "nation_calls": ("supplier", [("concat('N', cast(s_nationkey as string))", "route_id"), ("s_suppkey", "position"), ("cast(s_suppkey as string)", "stop_id")]),
     "region_calls": ("supplier join nation on s_nationkey = n_nationkey", [("concat('R', cast(n_regionkey as string))", "route_id"), ("(s_suppkey * 37) % 101", "position"), ("cast(s_suppkey as string)", "stop_id")]),

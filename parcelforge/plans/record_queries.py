@@ -11,9 +11,10 @@ from parcelforge.plans.catalog import _points, _targets, legs, query, rounded
 _AREA_MAP = "select source_area_id, area_id from (select distinct neighbourhood as source_area_id, case when neighbourhood_id % 4 = 0 then '' when neighbourhood_id % 5 = 0 then null else concat('A', cast(neighbourhood_id as string)) end as area_id from properties)"
 
 
-@query("select ordinal, case when n = 1 then record_id else concat(record_id, '__', source_id) end as unique_id from (select *, row_number() over (partition by record_id order by ordinal) as n from records where record_id is not null)", ("records",))
+@query("select ordinal, case when n = 1 then id else concat_ws('__', id, source_id, case when again > 1 then cast(again as string) end) end as unique_id from (select *, row_number() over (partition by id, source_id, n > 1 order by ordinal) as again from (select ordinal, source_id, location_id as id, row_number() over (partition by location_id order by ordinal) as n from records))", ("records",))
 def record_id_by_source(spark, sf):
-    return R.source_ids(view(spark, sf, "records").filter("record_id is not null")).select("ordinal", "unique_id")
+    """Many records of a location from two sources: ids repeat often."""
+    return R.source_ids(view(spark, sf, "records").withColumn("record_id", F.col("location_id"))).select("ordinal", "unique_id")
 
 
 @query("select location_id, source_type, confidence, bedrooms, bathrooms from attributes where source_type in ('observed', 'inferred') and coalesce(confidence, 0) >= 0.6 and (bedrooms is not null or bathrooms is not null)", ("attributes",))

@@ -27,8 +27,13 @@ def _compared(other: str, kind: str) -> str:
     return f"coalesce({_clip(f'({other} - base) * {pull}::double', f'-{cap}::double * base', f'{cap}::double * base')}, 0)"
 
 
+def half_up(x: str) -> str:
+    """Two decimals of a double as it is written, halves up: DuckDB's own rounding scales the binary value first."""
+    return f"cast(round(cast(cast({x} as varchar) as decimal(38, 18)), 2) as double)"
+
+
 def _sql() -> str:
-    score = "+".join(f"round(greatest(0.0::double, least(1.0::double, 1 - round(round(least(30000.0::double, {hav('lat', 'lon', f'{a}::double', f'{b}::double')}) / 12.5::double, 2) / 60, 2) / 35.0::double)) * {w}::double, 9)" for _, a, b, w in V.CENTRES)
+    score = "+".join(f"round(greatest(0.0::double, least(1.0::double, 1 - {half_up(half_up(f"least(30000.0::double, {hav('lat', 'lon', f'{a}::double', f'{b}::double')}) / 12.5::double") + ' / 60')} / 35.0::double)) * {w}::double, 9)" for _, a, b, w in V.CENTRES)
     amenities = ", ".join(f"max(metres) filter (kind = '{k}' and place = 1) as d_{k}, cast(count(*) filter (kind = '{k}' and place <= {n}) as bigint) as n_{k}" for k, n in appraisal.AMENITY_LIMIT.items())
     access = {k: f"coalesce(base * {share}::double * (greatest(0.0::double, least(1.0::double, 1 - d_{k} / {far}::double)) - 0.35::double), 0)" for k, (far, share) in V.AMENITIES.items()}
     census = "case when c_density > 0 and c_household > 0 then (case when limited_accuracy = 1 then 0.5::double else 1.0::double end) * greatest(-60000.0::double, least(60000.0::double, greatest(-0.025::double * base, least(0.025::double * base, base * (0.012::double * greatest(-1.0::double, least(1.0::double, (c_density - city_density) / city_density)) + 0.008::double * greatest(-1.0::double, least(1.0::double, (c_household - city_household) / city_household))))))) else 0.0::double end"
