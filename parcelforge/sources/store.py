@@ -42,6 +42,18 @@ class Store:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return self.spark.read.parquet(f"{self.root}/{table}/{version}")
 
+    def promote_together(self, tables: dict[str, DataFrame], run_id: str = "") -> None:
+        """New versions of several tables, all named by one marker: readers see all of them or none."""
+        marks = []
+        for table, rows in tables.items():
+            version = f"v-{uuid.uuid4().hex}"
+            rows.write.parquet(f"{self.root}/{table}/{version}")
+            marks.append((table, version, run_id))
+        if marks:
+            now = datetime.now(UTC)
+            mark = self.spark.createDataFrame([(t, v, now, r) for t, v, r in marks], "table_name string, version string, promoted_at timestamp, run_id string")
+            mark.coalesce(1).write.mode("append").json(f"{self.root}/_versions")
+
     def _promote(self, table: str, rows: DataFrame, run_id: str, partition: list[str] | None = None) -> str:
         version = f"v-{uuid.uuid4().hex}"
         writer = rows.write
