@@ -16,6 +16,20 @@ def lon(key: str) -> str:
     return _LON.format(k=key)
 
 
+def _outline(key: str) -> str:
+    """Text of a geometry by the key modulo 9: six types, then broken text, no coordinates, null."""
+    pair = lambda dx, dy: f"concat('[', cast({key} % 90 + {dx} as string), ', ', cast({key} % 50 + {dy} as string), ']')"
+    many = lambda *parts: "concat('[', " + ", ', ', ".join(parts) + ", ']')"
+    square = lambda at, s: many(*[pair(at + dx, at + dy) for dx, dy in ((0, 0), (s, 0), (s, s), (0, s), (0, 0))])
+    shapes = {
+        "Point": pair(0, 0), "MultiPoint": many(pair(0, 0), pair(2, 4)), "LineString": many(pair(0, 0), pair(3, 0), pair(3, 3)),
+        "MultiLineString": many(many(pair(0, 0), pair(2, 0)), many(pair(0, 2), pair(2, 2), pair(1, 6))),
+        "Polygon": many(square(0, 4), square(1, 1)), "MultiPolygon": many(many(square(0, 3), square(1, 1)), many(square(5, 2))),
+    }
+    cases = " ".join(f"when {key} % 9 = {i} then concat('{{\"type\": \"{kind}\", \"coordinates\": ', {xy}, '}}')" for i, (kind, xy) in enumerate(shapes.items()))
+    return f"case {cases} when {key} % 9 = 6 then '{{\"type\": \"Point\", \"coordinates\": [1,' when {key} % 9 = 7 then '{{\"type\": \"Polygon\"}}' end"
+
+
 #: name: (source tables and joins, columns as (expression, name))
 VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
     "properties": (
@@ -113,6 +127,16 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             (lat("c_custkey*17"), "destination_lat"), ("case when c_custkey % 53 <> 0 then " + lon("c_custkey*17") + " end", "destination_lon"),
         ],
     ),
+    # geometries of the six types as text, some with holes, some broken or absent, around (x, y)
+    "outlines": (
+        "customer",
+        [
+            ("cast(c_custkey as string)", "entity_id"), ("c_custkey", "ordinal"), ("c_custkey % 90", "x"), ("c_custkey % 50", "y"), ("c_custkey % 9", "kind"), (_outline("c_custkey"), "geometry_json"),
+            ("case when c_custkey % 31 = 0 then 'none' else cast(c_custkey % 200 as string) end", "number"), ("case when c_custkey % 5 > 0 then c_name end", "name"), ("c_mktsegment", "raw_category"),
+            ("case when c_custkey % 4 = 0 then 'roads' when c_custkey % 4 = 1 then 'boundaries' else 'schools' end", "dataset"), ("concat('src', cast(c_custkey % 3 as string))", "source_id"),
+            ("case when c_custkey % 7 > 0 then concat('12 ', c_mktsegment, ' \"ST\" NW') end", "address"), (lat("c_custkey"), "lat"), (lon("c_custkey"), "lon"),
+        ],
+    ),
     "stops": ("supplier", [("cast(s_suppkey as string)", "stop_id"), (lat("s_suppkey*31"), "lat"), (lon("s_suppkey*31"), "lon"), ("s_name", "name")]),
 }
 

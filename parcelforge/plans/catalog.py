@@ -558,4 +558,4 @@ def poi_query(spark, sf):
     return found.groupBy("source_id", "category").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
 
 
-from parcelforge.plans import fold_queries, matching_queries, network_queries, record_queries, valuation_queries  # noqa: E402,F401  they register their queries here
+from parcelforge.plans import fold_queries, matching_queries, network_queries, record_queries, shape_queries, valuation_queries  # noqa: E402,F401  they register their queries here

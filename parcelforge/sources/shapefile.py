@@ -1,6 +1,7 @@
 """Zipped shapefiles: geometry and attributes of every record, parsed where Spark reads the file.
 
-Each archive is one task's work; a folder of archives spreads over tasks.
+Each archive is one task's work; a folder of archives spreads over tasks. Where a layer's .prj
+names a plane grid, its points become degrees; a grid that isn't known is an error.
 """
 
 from __future__ import annotations
@@ -10,9 +11,12 @@ import struct
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelforge.functions import projection
+
 SCHEMA = "file string, layer string, ordinal long, geometry_type string, points array<struct<lat:double,lon:double>>, properties map<string,string>"
 #: Shape types of the format, without their Z and M variants (10 and 20 more).
 KINDS = {0: None, 1: "Point", 3: "LineString", 5: "Polygon", 8: "MultiPoint"}
@@ -59,8 +63,21 @@ def attributes(data: bytes) -> Iterator[dict[str, str]]:
         yield row
 
 
-def read_shapefiles(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """Rows of SCHEMA of all layers, or of one, in the zip archives at ``path``."""
+def in_view(kind: str | None, points: list[tuple[float, float]], box: tuple[float, float, float, float] | None) -> bool:
+    """Whether a shape's own box meets ``box`` (west, south, east, north); points and empty records have none and stay."""
+    if box is None or kind in (None, "Point") or not points:
+        return True
+    xy = np.array(points)
+    (west, south), (east, north) = xy.min(axis=0), xy.max(axis=0)
+    return not (east < box[0] or west > box[2] or north < box[1] or south > box[3])
+
+
+def read_shapefiles(spark: SparkSession, path: str, layer: str | None = None, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Rows of SCHEMA of all layers, or of one, in the zip archives at ``path``.
+
+    ``bbox`` is in the units of the file, as the boxes inside it are, and is held against them
+    before anything is projected.
+    """
 
     def parse(batches):
         for pdf in batches:
@@ -71,9 +88,18 @@ def read_shapefiles(spark: SparkSession, path: str, layer: str | None = None) ->
                         stem = low.rsplit("/", 1)[-1][:-4]
                         if layer and stem != layer.lower():
                             continue
-                        table = inside.get(low[:-4] + ".dbf")
+                        table, prj = inside.get(low[:-4] + ".dbf"), inside.get(low[:-4] + ".prj")
+                        grid = projection.from_prj(z.read(prj).decode("utf-8", "ignore")) if prj else None
                         rows = attributes(z.read(table)) if table else iter(())
-                        out = [(name, stem, i, kind, [{"lat": y, "lon": x} for x, y in points], next(rows, {})) for i, (kind, points) in enumerate(shapes(z.read(inside[low])))]
+                        out = []
+                        for i, (kind, points) in enumerate(shapes(z.read(inside[low]))):
+                            values = next(rows, {})
+                            if not in_view(kind, points, bbox):
+                                continue
+                            if grid and points:
+                                lat, lon = grid.inverse(*np.array(points).T, np)
+                                points = list(zip(lon.tolist(), lat.tolist(), strict=True))
+                            out.append((name, stem, i, kind, [{"lat": y, "lon": x} for x, y in points], values))
                         yield pd.DataFrame(out, columns=["file", "layer", "ordinal", "geometry_type", "points", "properties"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
