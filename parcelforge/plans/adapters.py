@@ -137,6 +137,28 @@ VIEWS: dict[str, tuple[str, list[tuple[str, str]]]] = {
             ("case when c_custkey % 7 > 0 then concat('12 ', c_mktsegment, ' \"ST\" NW') end", "address"), (lat("c_custkey"), "lat"), (lon("c_custkey"), "lon"),
         ],
     ),
+    # counts of the census by labels of several editions, and the neighbourhoods of today
+    "census_counts": (
+        "orders",
+        [
+            ("case when o_orderkey % 43 = 0 then 'all' else cast(o_custkey % 250 as string) end", "number"), ("case when o_orderkey % 3 = 0 then 'Income' else 'Population and dwellings' end", "question_type"),
+            (
+                "case (o_custkey % 250 + o_orderkey % 3 * 3) % 8 when 0 then 'Population, 2021' when 1 then ' POPULATION' when 2 then 'Total  Population' when 3 then 'Population density' when 4 then 'Median total income of household' "
+                "when 5 then 'Household total income, median' when 6 then 'Average household income' else 'Income of persons' end", "characteristic",
+            ),
+            ("case o_orderkey % 5 when 0 then 'Men+' when 1 then cast(null as string) when 2 then 'TOTAL' else 'Total - Gender' end", "gender"),
+            ("case when o_orderkey % 17 = 0 then 'F' else cast(o_orderkey % 9001 as string) end", "value"), ("o_orderkey", "ordinal"),
+        ],
+    ),
+    "household_counts": (
+        "orders",
+        [
+            ("cast(o_custkey % 240 as string)", "number"), ("case when o_orderkey % 7 = 0 then 'Dwellings' else 'Household Size' end", "question_type"),
+            ("case o_orderkey % 6 when 0 then '1 person' when 1 then '2 Persons' when 2 then '5 or more persons' when 3 then 'Private households' when 4 then '4 persons' else '3 persons or so' end", "characteristic"),
+            ("cast(null as string)", "gender"), ("case when o_orderkey % 19 = 0 then 'F' else cast(o_orderkey % 97 as string) end", "value"), ("o_orderkey", "ordinal"),
+        ],
+    ),
+    "quarters": ("customer", [("cast(c_custkey % 260 as string)", "number"), ("c_name", "neighbourhood"), ("case when c_custkey % 3 > 0 then c_mktsegment end", "ward"), ("c_custkey", "ordinal")]),
     "stops": ("supplier", [("cast(s_suppkey as string)", "stop_id"), (lat("s_suppkey*31"), "lat"), (lon("s_suppkey*31"), "lon"), ("s_name", "name")]),
 }
 

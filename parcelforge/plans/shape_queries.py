@@ -1,4 +1,4 @@
-"""Geometries of any nesting, areas and grids, with the same rows in SQL."""
+"""Geometries of any nesting, areas, grids and the census of neighbourhoods, with the same rows in SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions import shapes
 from parcelforge.functions.projection import ALBERTA_3TM_114
-from parcelforge.operators import features
+from parcelforge.operators import census, features
 from parcelforge.plans.adapters import view
 from parcelforge.plans.catalog import query, rounded
 
@@ -63,3 +63,24 @@ def grid_places(spark, sf):
     plane = view(spark, sf, "outlines").select("entity_id", x.alias("x"), y.alias("y"))
     lat, lon = ALBERTA_3TM_114.inverse(F.col("x"), F.col("y"))
     return plane.select("entity_id", F.round("x", 1).alias("x"), F.round("y", 1).alias("y"), F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
+
+
+_LABEL = "lower(trim(regexp_replace(characteristic, '\\s+', ' ', 'g')))"
+_BEST = "arg_min({c}, (rank, characteristic, ordinal)) filter ({c} is not null)"
+_SHAPE_AREA = f"case kind when 4 then {_OUTER} - {_HOLE} else {_SMALL} - {_HOLE} + {_BESIDE} end"
+
+
+@query(f""", p as (select try_cast(number as double) as number, {_BEST.format(c="v")} as population_2021, {_BEST.format(c="characteristic")} as population_characteristic
+  from (select *, try_cast(value as double) as v, case {_LABEL} when 'population, 2021' then 0 when 'population' then 1 when 'total population' then 3 else 50 end as rank from census_counts where lower(characteristic) like '%population%' and lower(gender) like '%total%' and question_type like 'Population%') group by 1),
+i as (select try_cast(number as double) as number, {_BEST.format(c="v")} as median_household_income_2020_cad, {_BEST.format(c="characteristic")} as income_characteristic
+  from (select *, try_cast(value as double) as v, case characteristic when 'Median total income of household' then 1 when 'Household total income, median' then 10 when 'Average household income' then 20 else 50 end as rank from census_counts where characteristic ilike '%income%' and coalesce(gender, 'total') ilike '%total%') group by 1),
+h as (select number::double as number, coalesce(sum(try_cast(value as double)), 0) as households_2021 from household_counts where question_type = 'Household Size' and lower(characteristic) in ('1 person', '2 persons', '4 persons', '5 or more persons') group by 1),
+a as (select number::double as number, round(arg_min({_SHAPE_AREA}, ordinal), 4) as area_sq_km from outlines where kind in (4, 5) and number <> 'none' group by 1),
+q as (select number::double as number, arg_min(neighbourhood, ordinal) as neighbourhood, arg_min(coalesce(ward, ''), ordinal) as ward from quarters group by 1)
+select 'N' || case when q.number < 10 then '00' when q.number < 100 then '0' else '' end || q.number::bigint as source_area_id, 'neighbourhood' as geography_level, q.number as neighbourhood_number, q.neighbourhood, nullif(q.ward, '') as ward, population_2021, households_2021, median_household_income_2020_cad, area_sq_km,
+  population_characteristic, case when h.number is not null then 'sum_household_size_distribution' end as households_characteristic, income_characteristic
+from q left join p using (number) left join i using (number) left join h using (number) left join a using (number)""", ("census_counts", "household_counts", "outlines", "quarters"))
+def neighbourhood_census(spark, sf):
+    areas = features.neighbourhood_areas(view(spark, sf, "outlines"))
+    found = census.build(view(spark, sf, "quarters"), view(spark, sf, "census_counts"), view(spark, sf, "household_counts"), areas)
+    return found.withColumn("area_sq_km", F.round("area_sq_km", 4))
