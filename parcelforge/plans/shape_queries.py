@@ -49,14 +49,14 @@ def geometry_payloads(spark, sf):
     return view(spark, sf, "outlines").select("entity_id", shapes.payload(F.col("geometry_json"), F.col("dataset"), points).alias("payload"))
 
 
-# the classical series about the central meridian, with the length of the meridian to the eighth power
+# the classical series about the central meridian, with the length of the meridian to the tenth power of the eccentricity
 _E2 = "(2/298.257222101::double - 1/298.257222101::double/298.257222101::double)"
 
 
 @query(f"""select entity_id, round(0.9999::double * n * (a + (1 - t + c) * a**3 / 6 + (5 - 18*t + t*t + 72*c - 58*p) * a**5 / 120), 1) as x,
   round(0.9999::double * (m + n * sqrt(t) * (a*a/2 + (5 - t + 9*c + 4*c*c) * a**4 / 24 + (61 - 58*t + t*t + 600*c - 330*p) * a**6 / 720)), 1) as y, round(lat, 6) as lat, round(lon, 6) as lon
 from (select *, 6378137.0::double / sqrt(1 - e * sin(f) * sin(f)) as n, tan(f) * tan(f) as t, e / (1 - e) * cos(f) * cos(f) as c, e / (1 - e) as p, radians(lon + 114) * cos(f) as a,
-  6378137.0::double * ((1 - e/4 - 3*e**2/64 - 5*e**3/256 - 175*e**4/16384) * f - (3*e/8 + 3*e**2/32 + 45*e**3/1024 + 105*e**4/4096) * sin(2*f) + (15*e**2/256 + 45*e**3/1024 + 525*e**4/16384) * sin(4*f) - (35*e**3/3072 + 175*e**4/12288) * sin(6*f) + 315*e**4/131072 * sin(8*f)) as m
+  6378137.0::double * ((1 - e/4 - 3*e**2/64 - 5*e**3/256 - 175*e**4/16384 - 441*e**5/65536) * f - (3*e/8 + 3*e**2/32 + 45*e**3/1024 + 105*e**4/4096 + 2205*e**5/131072) * sin(2*f) + (15*e**2/256 + 45*e**3/1024 + 525*e**4/16384 + 1575*e**5/65536) * sin(4*f) - (35*e**3/3072 + 175*e**4/12288 + 3675*e**5/262144) * sin(6*f) + (315*e**4/131072 + 2205*e**5/524288) * sin(8*f) - 693*e**5/1310720 * sin(10*f)) as m
   from (select *, radians(lat) as f, {_E2} as e from outlines))""", ("outlines",))
 def grid_places(spark, sf):
     x, y = ALBERTA_3TM_114.forward(F.col("lat"), F.col("lon"))
