@@ -5,7 +5,7 @@ are the merge result of their own bytes. So a piece of text is encoded left to r
 take the longest token that starts here and may follow the last one; where none leads
 on, drop the last token and try its next shorter prefix. A position from which no
 token leads to the end is marked and never tried again, so the work is linear in the
-length of the piece. Whether two tokens may stand side by side is remembered.
+length of the piece. Which prefix of a token may follow another one is remembered.
 
 Defined results: null text encodes as empty text (no ids); very long pieces need memory
 in proportion to their length; repeated rows are encoded each for itself; other columns
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from struct import pack
 
@@ -26,10 +27,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelforge.llm.common import map_arrow, table
+from parcelforge.llm.common import bounded_batches, table
 
-#: Pieces and pairs of tokens that a worker remembers; a full memory is emptied, which costs time but no result.
-CACHE_ENTRIES = 400_000
+#: Pieces in a generation (a worker remembers two) and pairs of tokens that a worker remembers; what is forgotten costs time but no result.
+CACHE_ENTRIES = 100_000
 PAIR_ENTRIES = 400_000
 
 
@@ -68,34 +69,31 @@ class Codec:
                     self.node[prefix] = self.node.get(prefix[:-1]) if own is None else own
         self.shorter: dict[int, int | None] = {i: self.node.get(token[:-1]) for token, i in self.ids.items()}
         self.pattern = regex.compile(pattern)
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.first: dict[tuple[int, int | None], int] = {}
+        #: 1 + id, one object for each token however often it is remembered
+        self.plus = {i: i + 1 for i in self.size}
+        #: what ``_follow`` gave, by both tokens in one number: pairs would take more than twice the memory
+        self.shift = max(self.size, default=0).bit_length()
+        self.first: dict[int, int] = {}
         self.cache = _Pieces(self)
 
     def compatible(self, left: int, right: int) -> bool:
-        known = self.fits.get((left, right))
-        if known is None:
-            if len(self.fits) >= PAIR_ENTRIES:
-                self.fits.clear()
-            both = (self.raw[left] + self.raw[right]).decode("latin-1")
-            known = self.fits[left, right] = merge_plainly(self.ids, both) == [left, right]
-        return known
+        return merge_plainly(self.ids, (self.raw[left] + self.raw[right]).decode("latin-1")) == [left, right]
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one match of the pattern, given as Latin-1 of its bytes."""
         if (whole := self.ids.get(piece)) is not None:
             return [whole]
-        end, size, first = len(piece), self.size, self.first
+        end, size, first, shift = len(piece), self.size, self.first, self.shift
         out: list[int] = []
         last = -1
         dead = bytearray(end + 1)
         at, token = 0, self._longest(piece, 0)
         while True:
             # the longest token of the chain that may follow the last one and isn't known to lead nowhere
-            found = first.get((last, token)) or self._follow(last, token)
+            found = first.get(last << shift | token) or self._follow(last, token)
             while found > 0 and dead[at + size[found - 1]]:
                 less = self.shorter[found - 1]
-                found = 0 if less is None else first.get((last, less)) or self._follow(last, less)
+                found = 0 if less is None else first.get(last << shift | less) or self._follow(last, less)
             if found > 0:
                 last = found - 1
                 out.append(last)
@@ -112,14 +110,22 @@ class Codec:
                 less = self.shorter[token]
             last, token = out[-1] if out else -1, less
 
-    def _follow(self, last: int, token: int | None) -> int:
-        """1 + the longest prefix of ``token``, itself included, that may follow ``last``; -1: none. Remembered."""
-        if len(self.first) >= PAIR_ENTRIES:
-            self.first.clear()
-        i = token
-        while i is not None and last >= 0 and not self.compatible(last, i):
-            i = self.shorter[i]
-        self.first[last, token] = found = -1 if i is None else i + 1
+    def _follow(self, last: int, token: int) -> int:
+        """1 + the longest prefix of ``token``, itself included, that may follow ``last``; -1: none. Remembered for every prefix tried."""
+        first, high = self.first, last << self.shift
+        if len(first) >= PAIR_ENTRIES:
+            first.clear()
+        tried, i, found = [], token, 0
+        while not found:
+            tried.append(i)
+            if last < 0 or self.compatible(last, i):
+                found = self.plus[i]
+            elif (less := self.shorter[i]) is None:
+                found = -1
+            else:
+                i, found = less, first.get(high | less, 0)
+        for i in tried:
+            first[high | i] = found
         return found
 
     def _longest(self, piece: str, at: int) -> int:
@@ -134,21 +140,31 @@ class Codec:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.cache.__getitem__, self.pattern.findall(text)))
 
+    def forget(self) -> None:
+        """Empty what is remembered; the tables of the ranks stay."""
+        self.first.clear()
+        self.cache.clear()
+        self.cache.older.clear()
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 class _Pieces(dict):
-    """Packed ids by piece, encoded when first asked for."""
+    """Packed ids by piece, encoded when first asked for; what the older generation has and is asked for again moves to this one."""
 
     def __init__(self, owner: Codec):
         super().__init__()
         self.owner = owner
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        got = pack(f"<{len(ids := self.owner.encode_piece(piece.encode().decode('latin-1')))}I", *ids)
+        got = self.older.get(piece)
+        if got is None:
+            got = pack(f"<{len(ids := self.owner.encode_piece(piece.encode().decode('latin-1')))}I", *ids)
         if len(piece) <= 64:
             if len(self) >= CACHE_ENTRIES:
+                self.older = self.copy()
                 self.clear()
             self[piece] = got
         return got
@@ -160,17 +176,32 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def round_trip(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text.
+def _map_texts(documents: DataFrame, rank_file: str, pattern: str, step: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``step`` with a codec on each batch of (doc_id, text).
 
-    The rank file is read on the driver, tens of thousands of lines, and travels with
-    the task; the texts stay where Spark read them: no shuffle.
+    The rank file is read on the driver, tens of thousands of lines, and travels with the
+    task. Workers live on: a task's end empties what its codec remembers, so that a later
+    stage in the same worker gets that memory.
     """
     with open(rank_file, "rb") as f:
         ranks = f.read()
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
+        try:
+            for batch in batches:
+                yield step(own, batch)
+        finally:
+            own.forget()
+
+    bounded_batches(documents.sparkSession)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, schema)
+
+
+def round_trip(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text; texts stay where Spark read them: no shuffle."""
+
+    def step(own: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         counts, digests, decoded = [], [], []
         for text in batch.column(1):
             ids = own.encode(text.as_py() or "")
@@ -179,20 +210,17 @@ def round_trip(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _map_texts(documents, rank_file, pattern, step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(doc_id, ids): the ids themselves, as an array."""
-    with open(rank_file, "rb") as f:
-        ranks = f.read()
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = codec(ranks, pattern)
+    def step(own: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = [np.frombuffer(own.encode(t.as_py() or ""), "<u4").astype("int32") for t in batch.column(1)]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return map_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), step, "doc_id long, ids array<int>")
+    return _map_texts(documents, rank_file, pattern, step, "doc_id long, ids array<int>")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

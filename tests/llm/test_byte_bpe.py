@@ -1,8 +1,10 @@
 import base64
 import hashlib
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
@@ -10,7 +12,8 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from parcelforge.llm.byte_bpe import Codec, encode_documents, round_trip
+from parcelforge.llm import byte_bpe
+from parcelforge.llm.byte_bpe import Codec, codec, encode_documents, round_trip
 
 RANK_FILE = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -66,3 +69,36 @@ def test_rows(spark, theirs):
     assert round_trip(docs, RANK_FILE, P.PATTERN).count() == 5
     assert round_trip(docs.limit(0), RANK_FILE, P.PATTERN).count() == 0
     assert encode_documents(docs.limit(1), RANK_FILE, P.PATTERN).first().ids == theirs.encode_ordinary("Hello wörld")
+
+
+def test_memory_of_many_pairs():
+    own = Codec(open(RANK_FILE, "rb").read(), P.PATTERN)
+    tracemalloc.start()
+    for left in range(300, 400):
+        for right in range(700, 900):
+            own._follow(left, right)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(own.first) >= 20_000 and most < 150 * 20_000, most
+
+
+def test_forgotten_pieces(theirs, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHE_ENTRIES", 10)
+    own = Codec(open(RANK_FILE, "rb").read(), P.PATTERN)
+    for text in [f"q{k % 25:x}w" for k in range(100)] + ["q0w", "q0w"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == theirs.encode_ordinary(text)
+    assert len(own.cache) <= 10 and len(own.cache.older) <= 10
+
+
+def test_a_task_leaves_nothing_remembered(spark, theirs):
+    class Documents:
+        sparkSession = spark
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, each, schema: each
+
+    texts = ["Hello wörld", "qwfpgj zxcvbkm", None]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])
+    (out,) = list(encode_documents(Documents(), RANK_FILE, P.PATTERN)(iter([batch])))
+    assert out.column(1).to_pylist() == [theirs.encode_ordinary(t or "") for t in texts]
+    own = codec(open(RANK_FILE, "rb").read(), P.PATTERN)
+    assert not own.cache and not own.first

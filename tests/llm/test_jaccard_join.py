@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from parcelforge.llm import jaccard_join
 from parcelforge.llm.common import table
@@ -117,3 +120,18 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, node int, n string")
     assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()), key=str) == plainly(rows)
     assert jaccard_join.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_counting_holds_one_table():
+    class Documents:
+        mapInArrow = lambda self, each, schema: each
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b c d e f", "a b c d e f g"])], ["doc_id", "text"])
+    tracemalloc.start()
+    *rows, counts = jaccard_join._sets(Documents(), 5)(iter([batch, batch]))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [r.column(2).to_pylist() for r in rows] == [[2, 3], [2, 3]]
+    found = np.concatenate([np.frombuffer(jaccard_join.zlib.decompress(c), np.uint32) for c in counts.column(4).to_pylist()])
+    assert sorted(found[found > 0].tolist()) == [2, 4, 4]
+    assert most < 1.5 * 4 * jaccard_join.CELLS, most
