@@ -31,6 +31,8 @@ from parcelforge.llm.common import bounded_batches, table
 
 #: Pieces in a generation (a worker remembers two) and pairs of tokens that a worker remembers; what is forgotten costs time but no result.
 CACHE_ENTRIES = 100_000
+#: The same where a worker remembers from task to task.
+KEPT_ENTRIES = 400_000
 PAIR_ENTRIES = 400_000
 
 
@@ -55,6 +57,9 @@ class Codec:
         self.ids = {token.decode("latin-1"): i for token, i in table_.items()}
         self.raw = {i: token for token, i in table_.items()}
         self.size = {i: len(token) for token, i in table_.items()}
+        self.packed = {i: pack("<I", i) for i in self.raw}
+        #: tokens by id as one Arrow column, empty where no token has the id
+        self.column = pa.array([self.raw.get(i, b"") for i in range(max(self.raw, default=-1) + 1)], pa.large_binary())
         self.widest = max(map(len, table_), default=1)
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
@@ -68,6 +73,10 @@ class Codec:
                     own = self.ids.get(prefix)
                     self.node[prefix] = self.node.get(prefix[:-1]) if own is None else own
         self.shorter: dict[int, int | None] = {i: self.node.get(token[:-1]) for token, i in self.ids.items()}
+        #: both parts of every token's last merge (none for one byte), and the token that two parts make; both empty where the ranks aren't in the order of merges
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.joined: dict[tuple[int, int], int] = {}
+        self._split_tokens()
         self.pattern = regex.compile(pattern)
         #: 1 + id, one object for each token however often it is remembered
         self.plus = {i: i + 1 for i in self.size}
@@ -76,7 +85,44 @@ class Codec:
         self.first: dict[int, int] = {}
         self.cache = _Pieces(self)
 
+    def _split_tokens(self) -> None:
+        """Fill ``parts`` and ``joined``, by rank: the parts of a token are the two older tokens of its bytes that may stand side by side."""
+        for i, token in sorted((i, token) for token, i in self.ids.items()):
+            self.parts[i] = None
+            left = self.shorter[i] if len(token) > 1 else None
+            while left is not None:
+                right = self.ids.get(token[self.size[left] :], i)
+                if left < i and right < i and self._side_by_side(left, right):
+                    self.parts[i], self.joined[left, right] = (left, right), i
+                    break
+                left = self.shorter[left]
+            if len(token) > 1 and left is None:  # the merge rule never makes this token, or only of younger ones
+                self.parts.clear()
+                self.joined.clear()
+                return
+
+    def _side_by_side(self, left: int, right: int) -> bool:
+        """Whether no merge across the border comes before the merges that made both tokens.
+
+        From the last merge back: of the parts at the border the younger one is taken apart,
+        of equal ones the right one, as the left comes first; until then both stood side by side,
+        so a token that they make and that is older than what was taken apart would have come first.
+        """
+        joined, parts, limit = self.joined, self.parts, 1 << 62
+        while True:
+            if joined.get((left, right), limit) < limit:
+                return False
+            a, b = parts[left], parts[right]
+            if a is not None and (b is None or left > right):
+                limit, left = left, a[1]
+            elif b is not None:
+                limit, right = right + 1, b[0]
+            else:
+                return True
+
     def compatible(self, left: int, right: int) -> bool:
+        if self.parts:
+            return self._side_by_side(left, right)
         return merge_plainly(self.ids, (self.raw[left] + self.raw[right]).decode("latin-1")) == [left, right]
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -147,7 +193,9 @@ class Codec:
         self.cache.older.clear()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        tokens = self.column.take(pa.array(np.frombuffer(ids, "<u4")))
+        _, ends, data = tokens.buffers()
+        return data.to_pybytes()[: np.frombuffer(ends, np.int64)[len(tokens)]] if len(tokens) else b""
 
 
 class _Pieces(dict):
@@ -156,14 +204,16 @@ class _Pieces(dict):
     def __init__(self, owner: Codec):
         super().__init__()
         self.owner = owner
+        self.most = CACHE_ENTRIES
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         got = self.older.get(piece)
         if got is None:
-            got = pack(f"<{len(ids := self.owner.encode_piece(piece.encode().decode('latin-1')))}I", *ids)
+            raw = piece if piece.isascii() else piece.encode().decode("latin-1")
+            got = b"".join(map(self.owner.packed.__getitem__, self.owner.encode_piece(raw)))
         if len(piece) <= 64:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.most:
                 self.older = self.copy()
                 self.clear()
             self[piece] = got
@@ -176,23 +226,26 @@ def codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
 
-def _map_texts(documents: DataFrame, rank_file: str, pattern: str, step: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def _map_texts(documents: DataFrame, rank_file: str, pattern: str, step: Callable[[Codec, pa.RecordBatch], pa.RecordBatch], schema: str, keep: bool = False) -> DataFrame:
     """``step`` with a codec on each batch of (doc_id, text).
 
     The rank file is read on the driver, tens of thousands of lines, and travels with the
     task. Workers live on: a task's end empties what its codec remembers, so that a later
-    stage in the same worker gets that memory.
+    stage in the same worker gets that memory; with ``keep`` the worker's next task starts
+    with it, and finds half of its new pieces there.
     """
     with open(rank_file, "rb") as f:
         ranks = f.read()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
+        own.cache.most = KEPT_ENTRIES if keep else CACHE_ENTRIES
         try:
             for batch in batches:
                 yield step(own, batch)
         finally:
-            own.forget()
+            if not keep:
+                own.forget()
 
     bounded_batches(documents.sparkSession)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, schema)
@@ -210,7 +263,7 @@ def round_trip(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _map_texts(documents, rank_file, pattern, step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _map_texts(documents, rank_file, pattern, step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keep=True)
 
 
 def encode_documents(documents: DataFrame, rank_file: str, pattern: str) -> DataFrame:

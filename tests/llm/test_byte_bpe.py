@@ -102,3 +102,40 @@ def test_a_task_leaves_nothing_remembered(spark, theirs):
     assert out.column(1).to_pylist() == [theirs.encode_ordinary(t or "") for t in texts]
     own = codec(open(RANK_FILE, "rb").read(), P.PATTERN)
     assert not own.cache and not own.first
+
+
+def test_pairs_by_parts_are_those_of_the_merge_rule(own):
+    rng = np.random.default_rng(5)
+    assert len(own.parts) == len(own.ids) and len(own.joined) == len(own.ids) - 256
+    for high in (300, 3000, len(own.ids)):
+        for left, right in rng.integers(0, high, (4000, 2)).tolist():
+            assert own.compatible(left, right) == (byte_bpe.merge_plainly(own.ids, (own.raw[left] + own.raw[right]).decode("latin-1")) == [left, right])
+
+
+def test_ranks_out_of_the_order_of_merges():
+    # "abc" is older than "ab", which it is made of
+    lines = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"ab": 257, b"ca": 258, b"xyzw": 259}
+    own = Codec(b"\n".join(base64.b64encode(k) + b" " + str(v).encode() for k, v in lines.items()), P.PATTERN)
+    ids = {k.decode("latin-1"): v for k, v in lines.items()}
+    assert not own.parts
+    for left in ids.values():
+        for right in (97, 98, 99, 256, 257, 258, 259):
+            assert own.compatible(left, right) == (byte_bpe.merge_plainly(ids, (own.raw[left] + own.raw[right]).decode("latin-1")) == [left, right])
+
+
+def test_the_next_task_of_a_round_trip_starts_with_what_was_encoded(spark, monkeypatch):
+    class Documents:
+        sparkSession = spark
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, each, schema: each
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["qwfpgj zxcvbkm"])], ["doc_id", "text"])
+    codec(open(RANK_FILE, "rb").read(), P.PATTERN).forget()
+    made, plain = [], Codec.encode_piece
+    monkeypatch.setattr(Codec, "encode_piece", lambda self, piece: made.append(piece) or plain(self, piece))
+    task = round_trip(Documents(), RANK_FILE, P.PATTERN)
+    first, again = list(task(iter([batch]))), list(task(iter([batch])))
+    assert first == again and made == ["qwfpgj", " zxcvbkm"]
+    list(encode_documents(Documents(), RANK_FILE, P.PATTERN)(iter([batch])))
+    own = codec(open(RANK_FILE, "rb").read(), P.PATTERN)
+    assert not own.cache and not own.cache.older and not own.first
