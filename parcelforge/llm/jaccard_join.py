@@ -4,7 +4,7 @@ Texts with the same shingle set are one node, so exact copies never form pairs.
 
 1. one pass gives each text's node and set size, and counts shingles in a fixed table of
    2**22 cells (a count sketch over all texts); the global order of shingles is
-   (cell count, key), rare first;
+   (level of the cell's count, key), rare first: a level is a byte, exact below 128;
 2. a second pass gives each set's prefix in that order: a set of n shingles shares with any
    partner a shingle among its first n - ceil(3n/4) + 1;
 3. prefixes meet on the shingle. Shingles of one node only drop out. In every other bucket,
@@ -52,6 +52,7 @@ CELLS = 1 << 22
 _BLOCK = 1 << 14
 #: A shingle is dealt where its cell counts this many sets or more, and HOT_SHARE of the prefix rows of a mean shuffle partition.
 HOT_SETS, HOT_SHARE = 1024, 0.25
+HOT_LEVEL = 255
 
 
 def _sets(documents: DataFrame, size: int) -> DataFrame:
@@ -78,8 +79,14 @@ def _sets(documents: DataFrame, size: int) -> DataFrame:
     return documents.mapInArrow(each, "doc_id long, node long, n long, block int, cells binary")
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """The table of all counts: 2**22 numbers, whatever the input."""
+def _levels(counts: np.ndarray, hot: float) -> np.ndarray:
+    """A byte for each count that rises with it: counts below 128 as they are, larger ones by eighths of an octave, HOT_LEVEL from ``hot`` on."""
+    steps = np.where(counts < 128, counts, 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128)))
+    return np.where(counts >= hot, HOT_LEVEL, np.minimum(steps, HOT_LEVEL - 1)).astype(np.uint8)
+
+
+def _sketch(sets: DataFrame, parts: int) -> np.ndarray:
+    """The table of all counts as levels: 2**22 bytes, whatever the input. A prefix is about a quarter of a set, which says from which count on a shingle is hot."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -87,18 +94,19 @@ def _sketch(sets: DataFrame) -> np.ndarray:
             for block, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = np.frombuffer(zlib.decompress(cells), np.uint32).astype(np.uint64)
                 total[block] = total[block] + own if block in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "cells"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([int(v.sum()) for v in total.values()], pa.int64()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())], ["block", "total", "cells"])
 
-    parts = sets.filter("block is not null").select("block", "cells").repartition(16, "block").mapInArrow(add, "block int, cells binary")
-    out = np.zeros(CELLS, np.uint64)
-    for row in parts.toLocalIterator():
-        out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.cells, np.uint64)
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
+    counts = materialize(sets.filter("block is not null").select("block", "cells").repartition(16, "block").mapInArrow(add, "block int, total long, cells binary"), "counts")
+    hot = max(HOT_SETS, HOT_SHARE * counts.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0] / 4 / parts)
 
+    def level(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_levels(np.frombuffer(zlib.decompress(c), np.uint64), hot).tobytes() for c in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["block", "levels"])
 
-def _hot(sketch: np.ndarray, parts: int) -> float:
-    """The count from which on a cell's shingles are dealt; a prefix is about a quarter of a set."""
-    return max(HOT_SETS, HOT_SHARE * float(sketch.sum(dtype=np.float64)) / 4 / parts)
+    out = np.zeros(CELLS, np.uint8)
+    for row in map_arrow(counts.select("block", "cells"), level, "block int, levels binary").collect():  # at most 256 rows of 16 KB
+        out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.levels, np.uint8)
+    return out
 
 
 def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray, parts: int) -> DataFrame:
@@ -107,10 +115,9 @@ def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray, parts: int) -
     The salt deals the rows of hot shingles over ``parts`` by their node; it is 0 for others.
     """
     cells = sketch.tobytes()
-    hot = _hot(sketch, parts)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = np.frombuffer(cells, np.uint32)
+        rank = np.frombuffer(cells, np.uint8)
         given: set[int] = set()
         for batch in batches:
             shingles, salts, nodes, places, lengths = [], [], [], [], []
@@ -125,7 +132,7 @@ def _prefixes(documents: DataFrame, size: int, sketch: np.ndarray, parts: int) -
                 often = rank[(keys & np.uint64(CELLS - 1)).astype(np.int64)]
                 order = np.lexsort((keys, often))[:count]
                 shingles.append(keys[order].view(np.int64))
-                salts.append(np.where(often[order] >= hot, 1 + (node >> 8) % parts, 0).astype(np.int32))
+                salts.append(np.where(often[order] == HOT_LEVEL, 1 + (node >> 8) % parts, 0).astype(np.int32))
                 places.append((np.int64(n) << np.int64(32)) + np.arange(count, dtype=np.int64))
                 nodes.append(node)
                 lengths.append(count)
@@ -238,11 +245,11 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bounded_batches(spark)
     written = materialize(_sets(docs, size), "sets")
-    sketch = _sketch(written)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sketch = _sketch(written, parts)
     sets = written.filter("n is not null").select("doc_id", "node", "n")
     reps = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = ["shingle", "salt"]
     dealt = _prefixes(docs, size, sketch, parts).repartition(parts, *key)
     # the test on ``at`` is always true: with it both uses of ``dealt`` need all its columns, and so share one exchange
@@ -255,7 +262,7 @@ def jaccard_components(documents: DataFrame, size: int = 5, pivot_rounds: int =
 
     comps = None
     # parts of a dealt bucket are joined with each other from the second round on only
-    last = max(1, pivot_rounds) + bool((sketch >= _hot(sketch, parts)).any())
+    last = max(1, pivot_rounds) + bool((sketch == HOT_LEVEL).any())
     for turn in range(last + 1):
         if turn == 0:
             pairs = _first_pairs(buckets)

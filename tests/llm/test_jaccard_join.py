@@ -2,6 +2,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 
 from parcelforge.llm import jaccard_join
 from parcelforge.llm.common import table
@@ -135,3 +136,19 @@ def test_counting_holds_one_table():
     found = np.concatenate([np.frombuffer(jaccard_join.zlib.decompress(c), np.uint32) for c in counts.column(4).to_pylist()])
     assert sorted(found[found > 0].tolist()) == [2, 4, 4]
     assert most < 1.5 * 4 * jaccard_join.CELLS, most
+
+
+def test_the_driver_holds_a_byte_a_cell(spark):
+    counts = np.array([0, 1, 2, 127, 128, 160, 5000, 10**9], np.uint64)
+    levels = jaccard_join._levels(counts, 2.0**62).tolist()
+    assert levels[:4] == [0, 1, 2, 127] and levels == sorted(levels) and max(levels) < jaccard_join.HOT_LEVEL
+    assert (jaccard_join._levels(counts, 128) == jaccard_join.HOT_LEVEL).tolist() == (counts >= 128).tolist()
+    rows = [(k, f"a b c d e x{k}") for k in range(9)]
+    sketch = jaccard_join._sketch(jaccard_join._sets(spark.createDataFrame(rows, "doc_id long, text string"), 5), 8)
+    assert sketch.nbytes == jaccard_join.CELLS and sorted(sketch[sketch > 0].tolist()) == [1] * 9 + [9]
+
+    class Documents:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, each, schema: each
+
+    assert len(cloudpickle.dumps(jaccard_join._prefixes(Documents(), 5, sketch, 8))) < 1.1 * jaccard_join.CELLS
