@@ -40,7 +40,8 @@ def fold_properties(rows: DataFrame, key: str = "location_id") -> DataFrame:
     PROPERTY_FIELDS that there are: first known. assessment_year and assessment_value: of the
     latest year among rows with a value (no year counts as 0), later rows win ties; without
     any value the first row's year. link_method and confidence: of the greatest confidence,
-    later rows win ties. source_ids and record_ids: unions. updated_at: the greatest.
+    later rows win ties. greatest_confidence: the greatest told, where the surest link has none
+    too. source_ids and record_ids: unions. updated_at: the greatest.
     """
     year = F.coalesce("assessment_year", F.lit(0))
     valued = F.when(F.col("assessment_value").isNotNull(), F.struct(year, F.col("ordinal")))
@@ -48,7 +49,7 @@ def fold_properties(rows: DataFrame, key: str = "location_id") -> DataFrame:
     one = rows.groupBy(key).agg(
         *[_first(rows, c) for c in PROPERTY_FIELDS if c in rows.columns],
         F.coalesce(F.max_by("assessment_year", valued), F.when(F.count("assessment_value") == 0, F.min_by("assessment_year", "ordinal"))).alias("assessment_year"), F.max_by("assessment_value", valued).alias("assessment_value"),
-        F.max_by("link_method", surest).alias("link_method"), F.max_by("confidence", surest).alias("confidence"), F.max("updated_at").alias("updated_at"))
+        F.max_by("link_method", surest).alias("link_method"), F.max_by("confidence", surest).alias("confidence"), F.max("confidence").alias("greatest_confidence"), F.max("updated_at").alias("updated_at"))
     lists = [c for c in ("source_ids", "record_ids") if c in rows.columns]
     found = one.join(list_unions(rows, key, lists), key, "left") if lists else one
     return found.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in lists})
