@@ -77,3 +77,11 @@ def test_nearest_stop_in_a_crowd_is_found_without_pairing_it(spark):
     rows, most = most_joined(spark, lambda: nearest.knn(spark.createDataFrame(t, TARGETS), spark.createDataFrame(p, POINTS), k=1).collect())
     assert {r.target_id: r.point_id for r in rows} == {x[0]: by_metres(x, first(x, p, 25))[0][0] for x in t}
     assert most < 100_000  # 3,000,000 pairs
+
+
+def test_many_schools_at_one_place_are_not_all_paired(spark):
+    t = crowd("t", 1000)
+    p = [(f"p{i}", 53.5 + i % 40 / 10_000, -113.5) for i in range(4000)]
+    rows, most = most_joined(spark, lambda: nearest.knn(spark.createDataFrame(t, TARGETS), spark.createDataFrame(p, POINTS), k=3).collect())
+    assert {(r.target_id, r["rank"], r.point_id) for r in rows} == {(x[0], i + 1, y[0]) for x in t for i, y in enumerate(by_metres(x, first(x, p, 25))[:3])}
+    assert most < 100_000  # 4,000,000 pairs
