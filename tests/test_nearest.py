@@ -85,3 +85,10 @@ def test_many_schools_at_one_place_are_not_all_paired(spark):
     rows, most = most_joined(spark, lambda: nearest.knn(spark.createDataFrame(t, TARGETS), spark.createDataFrame(p, POINTS), k=3).collect())
     assert {(r.target_id, r["rank"], r.point_id) for r in rows} == {(x[0], i + 1, y[0]) for x in t for i, y in enumerate(by_metres(x, first(x, p, 25))[:3])}
     assert most < 100_000  # 4,000,000 pairs
+
+
+def test_nearest_by_scaled_squares_in_a_crowd_is_found_without_pairing_it(spark):
+    t, p = crowd("t", 1500), crowd("p", 2000)
+    rows, most = most_joined(spark, lambda: nearest.nearest_one(spark.createDataFrame(t, TARGETS), spark.createDataFrame(p, POINTS), scaled=True).collect())
+    assert {r.target_id: r.point_id for r in rows} == {f"t{i}": f"p{i}" for i in range(1500)}
+    assert most < 100_000  # 3,000,000 pairs
