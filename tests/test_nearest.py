@@ -92,3 +92,10 @@ def test_nearest_by_scaled_squares_in_a_crowd_is_found_without_pairing_it(spark)
     rows, most = most_joined(spark, lambda: nearest.nearest_one(spark.createDataFrame(t, TARGETS), spark.createDataFrame(p, POINTS), scaled=True).collect())
     assert {r.target_id: r.point_id for r in rows} == {f"t{i}": f"p{i}" for i in range(1500)}
     assert most < 100_000  # 3,000,000 pairs
+
+
+def test_nearest_by_unscaled_squares_in_a_crowd_is_found_without_pairing_it(spark):
+    t, p = crowd("t", 1500), crowd("p", 2000)
+    rows, most = most_joined(spark, lambda: nearest.nearest_one(spark.createDataFrame(t, TARGETS), spark.createDataFrame(p, POINTS), scaled=False).collect())
+    assert {r.target_id: r.point_id for r in rows} == {f"t{i}": f"p{i}" for i in range(1500)}
+    assert most < 100_000  # 3,000,000 pairs
