@@ -99,3 +99,13 @@ def test_nearest_by_unscaled_squares_in_a_crowd_is_found_without_pairing_it(spar
     rows, most = most_joined(spark, lambda: nearest.nearest_one(spark.createDataFrame(t, TARGETS), spark.createDataFrame(p, POINTS), scaled=False).collect())
     assert {r.target_id: r.point_id for r in rows} == {f"t{i}": f"p{i}" for i in range(1500)}
     assert most < 100_000  # 3,000,000 pairs
+
+
+def test_nearest_on_a_long_street_is_found_without_pairing_the_street(spark):
+    p = [(*x, "long" if i < 1500 else "twin" if i % 2 else None) for i, x in enumerate([*crowd("p", 1504), ("p9", 53.501, -113.499)])]
+    df = spark.createDataFrame(p, POINTS + ", street string")
+    t = df.selectExpr("point_id as target_id", "p_lat as t_lat", "p_lon as t_lon", "street")
+    rows, most = most_joined(spark, lambda: nearest.same_street(t, df, 3).collect())
+    want = {(x[0], i + 1, y[0]) for x in p if x[3] for i, y in enumerate(by_metres(x, first(x, [q for q in p if q[3] == x[3] and q[0] != x[0]], 25))[:3])}
+    assert {(r.target_id, r["rank"], r.point_id) for r in rows} == want
+    assert most < 100_000  # 2,250,000 pairs
