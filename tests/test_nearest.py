@@ -6,7 +6,7 @@ import random
 import pytest
 from pairs import most_joined
 
-from parcelforge.operators import nearest
+from parcelforge.operators import nearest, records
 
 TARGETS, POINTS = "target_id string, t_lat double, t_lon double", "point_id string, p_lat double, p_lon double"
 
@@ -109,3 +109,15 @@ def test_nearest_on_a_long_street_is_found_without_pairing_the_street(spark):
     want = {(x[0], i + 1, y[0]) for x in p if x[3] for i, y in enumerate(by_metres(x, first(x, [q for q in p if q[3] == x[3] and q[0] != x[0]], 25))[:3])}
     assert {(r.target_id, r["rank"], r.point_id) for r in rows} == want
     assert most < 100_000  # 2,250,000 pairs
+
+
+def test_adjustment_by_comparables_in_a_crowd_without_pairing_it(spark):
+    p = crowd("p", 1500)
+    df = spark.createDataFrame([(*x, float(i)) for i, x in enumerate(p)], POINTS + ", value double")
+    t = df.selectExpr("point_id as target_id", "p_lat as t_lat", "p_lon as t_lon", "value as base")
+    rows, most = most_joined(spark, lambda: records.comparable_adjustment(t, df).collect())
+    value = {x[0]: float(i) for i, x in enumerate(p)}
+    for r in rows:
+        x = p[int(value[r.target_id])]
+        assert r.adjustment == pytest.approx((sum(value[y[0]] for y in by_metres(x, first(x, p, 25))[:5]) / 5 - value[x[0]]) * 0.2)
+    assert len(rows) == 1500 and most < 100_000  # 2,250,000 pairs
