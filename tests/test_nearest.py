@@ -5,6 +5,7 @@ import random
 
 import pytest
 from pairs import most_joined
+from pyspark.sql import functions as F
 
 from parcelforge.operators import nearest, records
 
@@ -121,3 +122,17 @@ def test_adjustment_by_comparables_in_a_crowd_without_pairing_it(spark):
         x = p[int(value[r.target_id])]
         assert r.adjustment == pytest.approx((sum(value[y[0]] for y in by_metres(x, first(x, p, 25))[:5]) / 5 - value[x[0]]) * 0.2)
     assert len(rows) == 1500 and most < 100_000  # 2,250,000 pairs
+
+
+def test_comparables_in_a_crowd_without_pairing_it(spark):
+    p = crowd("p", 1500)
+    df = spark.createDataFrame([(*x, i % 10) for i, x in enumerate(p)], POINTS + ", kind int")
+    t = df.selectExpr("point_id as target_id", "p_lat as t_lat", "p_lon as t_lon", "kind as t_kind")
+    rows, most = most_joined(spark, lambda: nearest.comparables(t, df, F.col("t_kind") == F.col("kind"), 5).collect())
+    kind, want = {x[0]: i % 10 for i, x in enumerate(p)}, set()
+    for x in p:
+        near = by_metres(x, first(x, p, 60))
+        for same in (True, False):
+            want |= {(x[0], same, i + 1, y[0]) for i, y in enumerate([y for y in near if (kind[y[0]] == kind[x[0]]) == same][:5])}
+    assert {(r.target_id, r.matching, r["rank"], r.point_id) for r in rows} == want
+    assert most < 100_000  # 2,250,000 pairs
