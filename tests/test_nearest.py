@@ -7,7 +7,7 @@ import pytest
 from pairs import most_joined
 from pyspark.sql import functions as F
 
-from parcelforge.operators import nearest, records
+from parcelforge.operators import appraisal, nearest, records
 
 TARGETS, POINTS = "target_id string, t_lat double, t_lon double", "point_id string, p_lat double, p_lon double"
 
@@ -136,3 +136,17 @@ def test_comparables_in_a_crowd_without_pairing_it(spark):
             want |= {(x[0], same, i + 1, y[0]) for i, y in enumerate([y for y in near if (kind[y[0]] == kind[x[0]]) == same][:5])}
     assert {(r.target_id, r.matching, r["rank"], r.point_id) for r in rows} == want
     assert most < 100_000  # 2,250,000 pairs
+
+
+def homes(n):
+    columns = "location_id string, lat double, lon double, value double, neighbourhood string, neighbourhood_id long, year_built long, gross_area double, lot_size double, tax_class string"
+    return [(*x, float(i % 500), f"N{i % 3}", i % 3, 1950 + i % 70, 900.0 + i, 250.0, "RES") for i, x in enumerate(crowd("h", n))], columns
+
+
+def test_valuation_of_a_crowd_of_points_without_pairing_it(spark):
+    known = spark.createDataFrame(*homes(1500))
+    asked = spark.createDataFrame(crowd("a", 1000), "request_id string, lat double, lon double")
+    amenities = spark.createDataFrame([(("parks", "schools")[i % 2], *x) for i, x in enumerate(crowd("e", 1500))], "kind string, entity_id string, lat double, lon double")
+    rows, most = most_joined(spark, lambda: appraisal.appraise(asked, known, amenities).collect())
+    assert {r.request_id: (r.baseline_id, r.n_parks, r.n_schools) for r in rows} == {f"a{i}": (f"h{i}", 3, 3) for i in range(1000)}
+    assert most < 100_000  # 1,500,000 pairs of each table
