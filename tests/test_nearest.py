@@ -7,7 +7,7 @@ import pytest
 from pairs import most_joined
 from pyspark.sql import functions as F
 
-from parcelforge.operators import appraisal, nearest, records
+from parcelforge.operators import appraisal, nearest, records, valuation
 
 TARGETS, POINTS = "target_id string, t_lat double, t_lon double", "point_id string, p_lat double, p_lon double"
 
@@ -150,3 +150,10 @@ def test_valuation_of_a_crowd_of_points_without_pairing_it(spark):
     rows, most = most_joined(spark, lambda: appraisal.appraise(asked, known, amenities).collect())
     assert {r.request_id: (r.baseline_id, r.n_parks, r.n_schools) for r in rows} == {f"a{i}": (f"h{i}", 3, 3) for i in range(1000)}
     assert most < 100_000  # 1,500,000 pairs of each table
+
+
+def test_valuation_of_a_crowd_of_properties_without_pairing_it(spark):
+    pois = spark.createDataFrame([(*x, ("PROMO", "STANDARD")[i % 2]) for i, x in enumerate(crowd("e", 1500))], "entity_id string, lat double, lon double, category string")
+    rows, most = most_joined(spark, lambda: valuation.value_all(spark.createDataFrame(*homes(1200)), pois, {"parks": "PROMO", "schools": "STANDARD"}).collect())
+    assert len(rows) == 1200 and all(r.estimate is not None for r in rows)
+    assert most < 100_000  # 1,440,000 pairs
