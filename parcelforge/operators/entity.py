@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from parcelforge.functions import geo
 from parcelforge.functions.text import address_key, slug
 from parcelforge.graph.components import connected_components
+from parcelforge.session import materialize
 
 #: Weights of nearness, name and id, and the two limits of the decision.
 NEAR_M, W_NEAR, W_NAME, W_ID = 250.0, 0.55, 0.35, 0.10
 AUTO, REVIEW = 0.85, 0.65
 #: No pair further apart can reach REVIEW.
 REACH_M = 160.0
+#: Metres within which a listing and a property agree in place.
+NEARBY_M = 40.0
 
 
 def name_similarity(a: Column, b: Column) -> Column:
@@ -54,22 +57,41 @@ def unit_groups(properties: DataFrame) -> DataFrame:
     return keyed.join(sizes, "base_key", "left").withColumn("units", F.coalesce("units", F.lit(0)))
 
 
+def _cell(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    """The cube, wider than NEARBY_M, that holds a place of the globe; places that near are in neighbouring cubes anywhere on earth."""
+    flat = F.cos(F.radians(lat))
+    along = (flat * F.cos(F.radians(lon)), flat * F.sin(F.radians(lon)), F.sin(F.radians(lat)))
+    return tuple(F.floor(c * geo.EARTH_M / (NEARBY_M + 1)).cast("long") for c in along)
+
+
 def match_listings(properties: DataFrame, listings: DataFrame, gap: float = 0.03) -> DataFrame:
     """(listing_id, location_id, method, confidence, ambiguous): the best property of every listing.
 
     Candidates share the full address key, or house number and street in one spelling. A
     listing without suite at an address of many units is a suite risk. A runner-up closer
-    than ``gap`` makes the match ambiguous.
+    than ``gap`` makes the match ambiguous. Of candidates that are equally sure two decide,
+    those of the least ids, so no more are paired.
     """
     key = address_key(F.col("suite"), F.col("house"), F.col("street"))
     base = address_key(F.lit(None).cast("string"), F.col("house"), F.col("street"))
     p = unit_groups(properties).select("location_id", "units", key.alias("key"), base.alias("base"), "lat", "lon")
     s = listings.select("listing_id", F.col("suite").isNull().alias("no_suite"), key.alias("key"), base.alias("base"), F.col("lat").alias("l_lat"), F.col("lon").alias("l_lon"))
-    exact = s.join(p.drop("base"), "key").withColumn("exact", F.lit(True)).drop("key", "base")
-    loose = s.join(p.drop("key"), "base").withColumn("exact", F.lit(False)).drop("key", "base")
+    p, s = materialize(p, "listing-properties"), materialize(s, "listings")
+    least = lambda keys, n: p.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("location_id"))).filter(F.col("_n") <= n).drop("_n")
+    exact = s.join(least(["key"], 2).drop("base"), "key").withColumn("exact", F.lit(True)).drop("key", "base")
+    # as far as anything may be, the least ids; where fewer than two are exact, those so near that it counts as well
+    loose = s.join(least(["base"], 3).drop("key"), "base").drop("key", "base")
+    settled = p.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    open_ = s.join(settled, "key", "left_anti").join(p.select("base", "units").distinct(), "base").filter("not (no_suite and units > 1)").drop("units")
+    here, there = _cell(F.col("l_lat"), F.col("l_lon")), _cell(F.col("lat"), F.col("lon"))
+    for i, c in enumerate("xyz"):
+        open_ = open_.withColumn(f"_{c}", F.explode(F.sequence(here[i] - 1, here[i] + 1)))
+    places = least(["base", "lat", "lon"], 3).withColumns({f"_{c}": there[i] for i, c in enumerate("xyz")})
+    near = open_.join(places.drop("key"), ["base", "_x", "_y", "_z"]).filter(geo.haversine(F.col("lat"), F.col("lon"), F.col("l_lat"), F.col("l_lon")) <= NEARBY_M)
+    loose = loose.unionByName(near.select(loose.columns)).withColumn("exact", F.lit(False))
     both = exact.unionByName(loose).groupBy("listing_id", "location_id").agg(F.max("exact").alias("exact"), F.first("no_suite").alias("no_suite"), F.first("units").alias("units"), F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first("l_lat").alias("l_lat"), F.first("l_lon").alias("l_lon"))
     metres = geo.haversine(F.col("lat"), F.col("lon"), F.col("l_lat"), F.col("l_lon"))
-    agreement = F.when(metres <= 15, 0.20).when(metres <= 40, 0.10).otherwise(0.0)
+    agreement = F.when(metres <= 15, 0.20).when(metres <= NEARBY_M, 0.10).otherwise(0.0)
     risk = F.col("no_suite") & (F.col("units") > 1)
     method = F.when(risk, "suite_missing_multi_unit").when(F.col("exact"), "exact_address").otherwise("house_street")
     confidence = F.when(risk, 0.96).when(F.col("exact"), 0.99).otherwise(F.least(F.lit(0.96), 0.70 + 0.15 + agreement))
